@@ -15,7 +15,7 @@ import regex
 
 # The pre-token pattern of the vocabulary, with white space spelled out as
 # Unicode defines it, once for any text and once for texts of ASCII and Latin letters alone.
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ANY_TEXT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 LETTERS = r"A-Za-zÀ-ÖØ-öø-ſ"
 PLAIN_TEXT = rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[0-9]+| ?[^\t-\r {LETTERS}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"

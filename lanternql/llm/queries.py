@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanternql.llm import mixing, packing, token_counts
+from lanternql.llm import mixing, packing, quality, secret_scan, token_counts
 from lanternql.llm.common import table
 
 
@@ -16,6 +16,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("draw")
 
@@ -29,7 +37,7 @@ def op8_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_mix_sources, op7_token_counts, op8_pack_windows)}
+    return {f.__name__: f for f in (op2_quality_divergence, op4_secret_scan, op5_mix_sources, op7_token_counts, op8_pack_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
