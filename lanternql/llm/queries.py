@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanternql.llm import mixing, packing, quality, secret_scan, token_counts
+from lanternql.llm import mixing, packing, quality, secret_scan, token_counts, toxicity
 from lanternql.llm.common import table
 
 
@@ -36,8 +36,12 @@ def op8_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_divergence, op4_secret_scan, op5_mix_sources, op7_token_counts, op8_pack_windows)}
+    return {f.__name__: f for f in (op2_quality_divergence, op4_secret_scan, op5_mix_sources, op7_token_counts, op8_pack_windows, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
