@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanternql.llm import mixing, packing, quality, secret_scan, token_counts, toxicity
+from lanternql.llm import mixing, packing, pii, quality, secret_scan, token_counts, toxicity
 from lanternql.llm.common import table
 
 
@@ -40,8 +40,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_divergence, op4_secret_scan, op5_mix_sources, op7_token_counts, op8_pack_windows, op9_toxicity)}
+    return {f.__name__: f for f in (op2_quality_divergence, op4_secret_scan, op5_mix_sources, op7_token_counts, op8_pack_windows, op9_toxicity, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
