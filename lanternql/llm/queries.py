@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanternql.llm import mixing, packing, pii, quality, secret_scan, token_counts, toxicity
+from lanternql.llm import jaccard_join, mixing, packing, pii, quality, secret_scan, token_counts, toxicity
 from lanternql.llm.common import table
 
 
@@ -16,6 +16,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents")).drop("id")
+
+
 def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_divergence, op4_secret_scan, op5_mix_sources, op7_token_counts, op8_pack_windows, op9_toxicity, op10_personal_data)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_quality_divergence, op4_secret_scan, op5_mix_sources, op7_token_counts, op8_pack_windows, op9_toxicity, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
