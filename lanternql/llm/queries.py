@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanternql.llm import jaccard_join, mixing, packing, pii, quality, secret_scan, token_counts, toxicity
+from lanternql.llm import embedding_dedup, jaccard_join, mixing, packing, pii, quality, secret_scan, token_counts, toxicity
 from lanternql.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("draw")
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -49,7 +53,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_quality_divergence, op4_secret_scan, op5_mix_sources, op7_token_counts, op8_pack_windows, op9_toxicity, op10_personal_data)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_quality_divergence, op4_secret_scan, op5_mix_sources, op6_embedding_dedup, op7_token_counts, op8_pack_windows, op9_toxicity, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
