@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Where this machine keeps a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see; a local one only where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -6,14 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanternql.llm import embedding_dedup, jaccard_join, mixing, packing, pii, quality, secret_scan, token_counts, toxicity
-from lanternql.llm.common import table
-
-
-def vocabulary(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+from lanternql.llm import embedding_dedup, jaccard_join, lm_scoring, mixing, packing, pii, quality, secret_scan, token_counts, toxicity
+from lanternql.llm.common import table, vocabulary
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +18,10 @@ def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op3_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
@@ -53,7 +51,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_quality_divergence, op4_secret_scan, op5_mix_sources, op6_embedding_dedup, op7_token_counts, op8_pack_windows, op9_toxicity, op10_personal_data)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_quality_divergence, op3_katz_scores, op4_secret_scan, op5_mix_sources, op6_embedding_dedup, op7_token_counts, op8_pack_windows, op9_toxicity, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
