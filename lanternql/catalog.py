@@ -1,13 +1,244 @@
-"""Registered queries of the engine and their SQL oracles."""
+"""Registered queries: the engine's operators on the driver's tables, with SQL oracles.
 
+Most are texts of the dialect that run through the parser; a few use the DataFrame
+operators alone.  Each oracle says the same in ANSI SQL.
+"""
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_discount > 0.05").groupBy("l_returnflag").count()
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {"flagship": flagship}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lanternql.session import Engine
+from lanternql.streaming import windows
 
-def oracle_sql():
-    return {"flagship": "SELECT l_returnflag, count(*) AS count FROM lineitem WHERE l_discount > 0.05 GROUP BY l_returnflag"}
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "conversations")
+
+FLAGSHIP = """
+SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS q FROM lineitem WHERE l_discount > 0.05
+GROUP BY l_returnflag ORDER BY q DESC LIMIT 3
+"""
+
+#: name -> (text of the dialect, oracle)
+TEXTS: dict[str, tuple[str, str]] = {
+    "flagship": (FLAGSHIP, "SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS q FROM lineitem WHERE l_discount > 0.05 GROUP BY l_returnflag ORDER BY q DESC LIMIT 3"),
+    # projection, filter, predicates
+    "filter_pred": (
+        "select o_orderkey, o_totalprice from orders where o_totalprice > 300000 and not o_orderstatus = 'F' or o_orderkey = 1",
+        "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 300000 AND NOT o_orderstatus = 'F' OR o_orderkey = 1",
+    ),
+    "filter_like_ci": ("select p_partkey, p_type from part where p_type like '%STEEL%' or p_name like '%part_1%'", "SELECT p_partkey, p_type FROM part WHERE p_type ILIKE '%STEEL%' OR p_name ILIKE '%part_1%'"),
+    "filter_like_set": ("select c_custkey, c_mktsegment from customer where c_mktsegment like '[a-f]%'", "SELECT c_custkey, c_mktsegment FROM customer WHERE regexp_matches(c_mktsegment, '^[a-fA-F]')"),
+    "filter_similar": ("select c_custkey from customer where c_name similar to '1[0-9]+$'", "SELECT c_custkey FROM customer WHERE regexp_matches(c_name, '1[0-9]+$')"),
+    "filter_between": ("select l_orderkey, l_linenumber from lineitem where l_quantity between 10 and 12 and l_discount not between 0.02 and 0.08", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 10 AND 12 AND l_discount NOT BETWEEN 0.02 AND 0.08"),
+    "filter_in": ("select o_orderkey from orders where o_orderstatus in ('F', 'P') and o_orderpriority not in ('1-URGENT')", "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderpriority NOT IN ('1-URGENT')"),
+    "filter_null": ("select user_id, count(*) as n from events where props is not null and user_id is not null group by user_id", "SELECT user_id, count(*) AS n FROM events WHERE props IS NOT NULL AND user_id IS NOT NULL GROUP BY user_id"),
+    "proj_except": ("select * except o_totalprice, o_orderdate from orders where o_orderkey < 50", "SELECT * EXCLUDE (o_totalprice, o_orderdate) FROM orders WHERE o_orderkey < 50"),
+    "proj_case": (
+        "select o_orderkey, case o_orderstatus when 'F' then 'done' when 'O' then 'open' else 'other' end as state, case when o_totalprice > 100000 then 1 end as big from orders",
+        "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'other' END AS state, CAST(CASE WHEN o_totalprice > 100000 THEN 1 END AS BIGINT) AS big FROM orders",
+    ),
+    "cast_try": (
+        "select event_id, cast(event_type as integer) as bad, event_id::string as s, cast(value as integer) as v, cast('yes' as boolean) as b from events",
+        "SELECT event_id, CAST(NULL AS BIGINT) AS bad, CAST(event_id AS VARCHAR) AS s, CAST(trunc(value) AS BIGINT) AS v, true AS b FROM events",
+    ),
+    "arith_intdiv": ("select n_nationkey, n_nationkey / 4 as d, n_nationkey % 4 as m, -n_nationkey / 4 as nd, n_nationkey << 2 as l, n_nationkey >> 1 as r from nation", "SELECT n_nationkey, CAST(n_nationkey // 4 AS BIGINT) AS d, CAST(n_nationkey % 4 AS BIGINT) AS m, CAST(-(n_nationkey // 4) AS BIGINT) AS nd, CAST(n_nationkey * 4 AS BIGINT) AS l, CAST(n_nationkey // 2 AS BIGINT) AS r FROM nation"),
+    "arith_float": ("select l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) as net, l_quantity / 3 as third from lineitem", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, l_quantity / 3 AS third FROM lineitem"),
+    "concat_plus": ("select n_name + '-' + n_nationkey as a, n_name || '/' || n_regionkey as b from nation", "SELECT n_name || '-' || n_nationkey AS a, n_name || '/' || n_regionkey AS b FROM nation"),
+    "coalesce_nullif": ("select n_nationkey, coalesce(nullif(n_regionkey, 2), -1) as k from nation", "SELECT n_nationkey, CAST(coalesce(nullif(n_regionkey, 2), -1) AS BIGINT) AS k FROM nation"),
+    # joins
+    "join_inner": (
+        "select n.n_name, r.r_name from nation n inner join region as r on n.n_regionkey = r.r_regionkey",
+        "SELECT n.n_name, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey",
+    ),
+    "join_chain": (
+        "select r_name, count(*) as n, sum(o_totalprice) as total from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by r_name",
+        "SELECT r_name, count(*) AS n, sum(o_totalprice) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
+    ),
+    "join_left": ("select c_custkey, o_orderkey from customer left join orders on o_custkey = c_custkey and o_totalprice > 200000", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 200000"),
+    "join_right": ("select s_suppkey, n_name from supplier right outer join nation on s_nationkey = n_nationkey", "SELECT s_suppkey, n_name FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey"),
+    "join_full": (
+        "select a.k as ak, b.k as bk from (select n_nationkey as k from nation where n_nationkey < 15) a full join (select n_nationkey as k from nation where n_nationkey > 10) b on a.k = b.k",
+        "SELECT a.k AS ak, b.k AS bk FROM (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 15) a FULL JOIN (SELECT n_nationkey AS k FROM nation WHERE n_nationkey > 10) b ON a.k = b.k",
+    ),
+    "join_using": (
+        "select a.n_nationkey, b.n_name as other from nation a inner join nation b using (n_nationkey, n_regionkey)",
+        "SELECT a.n_nationkey, b.n_name AS other FROM nation a JOIN nation b ON a.n_nationkey = b.n_nationkey AND a.n_regionkey = b.n_regionkey",
+    ),
+    "join_theta": ("select a.n_name, b.r_name from nation a inner join region b on a.n_nationkey < b.r_regionkey", "SELECT a.n_name, b.r_name FROM nation a JOIN region b ON a.n_nationkey < b.r_regionkey"),
+    "join_comma": ("select n_name, r_name from nation, region where n_regionkey = r_regionkey and r_name <> 'ASIA'", "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey AND r_name <> 'ASIA'"),
+    "join_self": ("select a.n_name as x, b.n_name as y from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey", "SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey"),
+    "semi_exists": ("select c_custkey from customer c where exists (select 1 from orders o where o.o_custkey = c.c_custkey and o_totalprice > 250000)", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_totalprice > 250000)"),
+    "anti_not_exists": ("select c_custkey from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey)", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)"),
+    # aggregation
+    "agg_group": (
+        "select l_returnflag, l_linestatus, sum(l_quantity) as sum_qty, avg(l_extendedprice) as avg_price, count(*) as n, min(l_shipdate) as first, max(l_discount) as most from lineitem group by l_returnflag, l_linestatus",
+        "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, avg(l_extendedprice) AS avg_price, count(*) AS n, min(l_shipdate) AS first, max(l_discount) AS most FROM lineitem GROUP BY l_returnflag, l_linestatus",
+    ),
+    "agg_group_expr": ("select substr(o_orderpriority, 1, 1) as p, count(*) as n from orders group by substr(o_orderpriority, 1, 1)", "SELECT substr(o_orderpriority, 1, 1) AS p, count(*) AS n FROM orders GROUP BY 1"),
+    "agg_having": ("select o_custkey, count(*) as n from orders group by o_custkey having count(*) > 15 and sum(o_totalprice) > 100000", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 15 AND sum(o_totalprice) > 100000"),
+    "agg_global_empty": ("select count(*) as n, sum(o_totalprice) as s, max(o_orderkey) as m from orders where 1 = 0", "SELECT count(*) AS n, sum(o_totalprice) AS s, max(o_orderkey) AS m FROM orders WHERE 1 = 0"),
+    "agg_expr": ("select 1 + sum(n_nationkey) + 10 as s, count(n_name) as c from nation", "SELECT CAST(1 + sum(n_nationkey) + 10 AS BIGINT) AS s, count(n_name) AS c FROM nation"),
+    "agg_string_agg_ordered": ("select n_regionkey, string_agg(n_name, ',') as names from nation group by n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey"),
+    "agg_first_last": ("select n_regionkey, first_value(n_name) as f, last_value(n_name) as l, n_nationkey from nation group by n_regionkey", "SELECT n_regionkey, first(n_name ORDER BY n_nationkey) AS f, last(n_name ORDER BY n_nationkey) AS l, min(n_nationkey) AS n_nationkey FROM nation GROUP BY n_regionkey"),
+    "agg_avg_timestamp": ("select event_type, avg(ts) as mid from events group by event_type", "SELECT event_type, make_timestamp(CAST(avg(epoch_us(ts)) AS BIGINT)) AS mid FROM events GROUP BY event_type"),
+    "agg_url_host": (
+        "select split_part(url, '/', 3) as site, avg(length(html)) as a from pages where page_id > 1 group by split_part(url, '/', 3) order by 2 desc, 1 fetch first 10 rows only",
+        "SELECT split_part(url, '/', 3) AS site, avg(length(html)) AS a FROM pages WHERE page_id > 1 GROUP BY 1 ORDER BY a DESC, site LIMIT 10",
+    ),
+    "distinct_all": ("select distinct o_orderstatus, o_orderpriority from orders", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders"),
+    "distinct_on": ("select distinct on (n_regionkey) n_regionkey, n_name from nation", "SELECT DISTINCT ON (n_regionkey) n_regionkey, n_name FROM nation ORDER BY n_regionkey, n_nationkey"),
+    # windows
+    "win_sum_part": ("select o_orderkey, sum(o_totalprice) over (partition by o_custkey) as s, count(*) over (partition by o_custkey) as n from orders", "SELECT o_orderkey, sum(o_totalprice) OVER (PARTITION BY o_custkey) AS s, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders"),
+    "win_sum_running": (
+        "select o_orderkey, sum(o_orderkey) over (partition by o_custkey order by o_orderkey) as s from orders",
+        "SELECT o_orderkey, CAST(sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS s FROM orders",
+    ),
+    "win_row_number": ("select o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rn from orders", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders"),
+    "win_named": (
+        "select n_nationkey, max(n_nationkey) over (w1) as m, first_value(n_name) over w1 as f from nation window w as (partition by n_regionkey), w1 as (w order by n_nationkey)",
+        "SELECT n_nationkey, max(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS m, first_value(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS f FROM nation",
+    ),
+    "win_after_group": ("select n_regionkey, count(*) as n, sum(count(*)) over (order by n_regionkey) as running from nation group by n_regionkey", "SELECT n_regionkey, count(*) AS n, CAST(sum(count(*)) OVER (ORDER BY n_regionkey) AS BIGINT) AS running FROM nation GROUP BY n_regionkey"),
+    # order, limit
+    "sort_nulls": ("select c_custkey, o_orderkey from customer left join orders on o_custkey = c_custkey order by o_orderkey desc, c_custkey limit 40 offset 1480", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey ORDER BY o_orderkey DESC NULLS LAST, c_custkey LIMIT 40 OFFSET 1480"),
+    "sort_ordinal": ("select n_name, n_regionkey from nation order by 2 desc, 1 limit 7", "SELECT n_name, n_regionkey FROM nation ORDER BY n_regionkey DESC, n_name LIMIT 7"),
+    "sort_unselected": ("select n_name from nation order by n_nationkey * -1 limit 4", "SELECT n_name FROM nation ORDER BY n_nationkey DESC LIMIT 4"),
+    "limit_offset": ("select o_orderkey from orders order by o_orderkey offset 5 fetch next 6 rows only", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 6 OFFSET 5"),
+    "top_k": ("select top 10 o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10"),
+    # sets
+    "set_union": ("select n_regionkey as k from nation union select r_regionkey from region", "SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey FROM region"),
+    "set_union_all": ("select n_regionkey as k from nation union all select r_regionkey from region", "SELECT n_regionkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region"),
+    "set_intersect": ("select n_nationkey as k from nation intersect select r_regionkey from region", "SELECT n_nationkey AS k FROM nation INTERSECT SELECT r_regionkey FROM region"),
+    "set_except": ("select n_nationkey as k from nation except select r_regionkey from region", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT r_regionkey FROM region"),
+    "set_precedence": ("select 1 as k union all select n_nationkey from nation intersect select r_regionkey from region order by k desc limit 3", "(SELECT CAST(1 AS BIGINT) AS k UNION ALL (SELECT n_nationkey FROM nation INTERSECT SELECT r_regionkey FROM region)) ORDER BY k DESC LIMIT 3"),
+    "values_inline": ("select v.column1 as a, column2 as b from (values (1, 'x'), (2, 'y'), (3, null)) as v", "SELECT CAST(column0 AS BIGINT) AS a, column1 AS b FROM (VALUES (1, 'x'), (2, 'y'), (3, NULL)) v(column0, column1)"),
+    "gen_series": ("select value as i, value * value as sq from generate_series(1, 20, 3)", "SELECT i, i * i AS sq FROM generate_series(1, 20, 3) t(i)"),
+    "gen_series_lateral": ("select r_name, s.value as i from region r, generate_series(0, r.r_regionkey) as s", "SELECT r_name, CAST(unnest(generate_series(0, r_regionkey)) AS BIGINT) AS i FROM region"),
+    # common tables
+    "cte_chain": (
+        "with a as (select o_custkey as k, sum(o_totalprice) as s from orders group by o_custkey), b as (select * from a where s > 500000) select c_name, b.s as s from b join customer on c_custkey = b.k",
+        "WITH a AS (SELECT o_custkey AS k, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey), b AS (SELECT * FROM a WHERE s > 500000) SELECT c_name, b.s AS s FROM b JOIN customer ON c_custkey = b.k",
+    ),
+    "cte_recursive": (
+        "with recursive t(n, f) as (select 1, 1 union all select n + 1, f * (n + 1) from t where n < 10) select n, f from t",
+        "WITH RECURSIVE t(n, f) AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 10) SELECT n, f FROM t",
+    ),
+    "cte_recursive_cycle": (
+        "with recursive r(k) as (select 3 union select (k * 2) % 25 from r) select k from r",
+        "WITH RECURSIVE r(k) AS (SELECT CAST(3 AS BIGINT) UNION SELECT (k * 2) % 25 FROM r) SELECT k FROM r",
+    ),
+    # subqueries
+    "subq_scalar_corr": ("select c_custkey, (select count(*) from orders where o_custkey = c_custkey) as n from customer", "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer"),
+    "subq_first_row": ("select r_name, (select n_name from nation where n_regionkey = r_regionkey) as first from region", "SELECT r_name, (SELECT first(n_name ORDER BY n_nationkey) FROM nation WHERE n_regionkey = r_regionkey) AS first FROM region"),
+    "subq_in": ("select n_name from nation where n_regionkey in (select r_regionkey from region where r_name like 'A%')", "SELECT n_name FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%')"),
+    "subq_any": ("select n_name from nation where n_nationkey < any (select r_regionkey from region)", "SELECT n_name FROM nation WHERE n_nationkey < ANY (SELECT r_regionkey FROM region)"),
+    "subq_all": ("select n_name from nation where n_nationkey >= all (select r_regionkey from region)", "SELECT n_name FROM nation WHERE n_nationkey >= ALL (SELECT r_regionkey FROM region)"),
+    "subq_max_corr": (
+        "select o_custkey, o_orderkey from orders o where o_totalprice = (select max(o_totalprice) from orders i where i.o_custkey = o.o_custkey)",
+        "SELECT o_custkey, o_orderkey FROM orders o WHERE o_totalprice = (SELECT max(o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)",
+    ),
+    "lateral_split": ("select c.conv_id, c.turn, t.value as word from conversations c, string_to_table(c.text, ' ') as t where c.turn = 0", "SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word FROM conversations WHERE turn = 0"),
+    "lateral_regexp": ("select n_nationkey, t.value as part from nation, regexp_split_to_table(n_name, '_') as t", "SELECT n_nationkey, unnest(regexp_split_to_array(n_name, '_')) AS part FROM nation"),
+    # functions
+    "str_basic": (
+        "select n_nationkey, lower(n_name) as l, upper(n_name) as u, length(n_name) as n, reverse(n_name) as r, replace(n_name, 'NA', 'x') as x, substr(n_name, 3, 4) as s, position('T' in n_name) as p, starts_with(n_name, 'NATION_1') as w, split_part(n_name, '_', 2) as sp, btrim(n_name, 'N') as b, ltrim('xxa', 'x') as lt, rtrim('axx', 'x') as rt from nation",
+        "SELECT n_nationkey, lower(n_name) AS l, upper(n_name) AS u, length(n_name) AS n, reverse(n_name) AS r, replace(n_name, 'NA', 'x') AS x, substr(n_name, 3, 4) AS s, strpos(n_name, 'T') AS p, starts_with(n_name, 'NATION_1') AS w, split_part(n_name, '_', 2) AS sp, trim(n_name, 'N') AS b, ltrim('xxa', 'x') AS lt, rtrim('axx', 'x') AS rt FROM nation",
+    ),
+    "str_regex": (
+        "select n_nationkey, regexp_substr(n_name, '[0-9]+') as d, regexp_count(n_name, '[A-Z]') as c, regexp_replace(n_name, '([A-Z]+)_', '<$1>') as r, substring_regex('[0-9]' in n_name) as f, translate_regex('N' in n_name with 'M') as t from nation",
+        "SELECT n_nationkey, regexp_extract(n_name, '[0-9]+') AS d, len(regexp_extract_all(n_name, '[A-Z]')) AS c, regexp_replace(n_name, '([A-Z]+)_', '<\\1>', 'g') AS r, regexp_extract(n_name, '[0-9]') AS f, regexp_replace(n_name, 'N', 'M', 'g') AS t FROM nation",
+    ),
+    "str_encode": ("select n_nationkey, to_base64(n_name) as b, md5(n_name) as m, sha256(n_name) as s, chr(65 + n_nationkey) as c from nation", "SELECT n_nationkey, base64(encode(n_name)) AS b, upper(md5(n_name)) AS m, upper(sha256(n_name)) AS s, chr(CAST(65 + n_nationkey AS INTEGER)) AS c FROM nation"),
+    "dt_parts": (
+        "select event_id, extract(year from ts) as y, extract(month from ts) as m, extract(day from ts) as d, extract(dow from ts) as w, extract(hour from ts) as h, extract(second from ts) as s, date_part('doy', ts) as doy from events",
+        "SELECT event_id, year(ts) AS y, month(ts) AS m, day(ts) AS d, dayofweek(ts) AS w, hour(ts) AS h, second(ts) AS s, dayofyear(ts) AS doy FROM events",
+    ),
+    "dt_arith": (
+        "select event_id, date_trunc('hour', ts) as t, date(ts) as d, date_add('month', 1, ts) as nm, date_add('hour', -5, ts) as hb, ts + interval '1d 2h' as p, ts - timestamp '2024-01-01' > interval '10d' as late from events",
+        "SELECT event_id, date_trunc('hour', ts) AS t, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS d, ts + INTERVAL 1 MONTH AS nm, ts - INTERVAL 5 HOUR AS hb, ts + INTERVAL 26 HOUR AS p, ts - TIMESTAMP '2024-01-01' > INTERVAL 10 DAY AS late FROM events",
+    ),
+    "dt_format": ("select event_id, to_char(ts, 'yyyy-MM-dd HH:mm') as f, to_date('2024-02-' || '03', 'yyyy-MM-dd') as p from events", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS f, TIMESTAMP '2024-02-03' AS p FROM events"),
+    "math_basic": (
+        "select n_nationkey, abs(-n_nationkey) as a, sqrt(n_nationkey) as s, power(n_nationkey, 2) as p, round(n_nationkey / 2.0) as r, floor(n_nationkey / 3.0) as f, ceiling(n_nationkey / 3.0) as c, greatest(n_nationkey, n_regionkey) as g, least(n_nationkey, 7) as l from nation",
+        "SELECT n_nationkey, abs(-n_nationkey) AS a, sqrt(n_nationkey) AS s, CAST(n_nationkey * n_nationkey AS BIGINT) AS p, round_even(n_nationkey / 2.0, 0)::DOUBLE AS r, floor(n_nationkey / 3.0)::DOUBLE AS f, ceil(n_nationkey / 3.0)::DOUBLE AS c, greatest(n_nationkey, n_regionkey) AS g, CAST(least(n_nationkey, 7) AS BIGINT) AS l FROM nation",
+    ),
+    "math_trig": ("select round(degrees(pi())) as d, radians(180) > 3.14 as r, log(1000) > 2.99 and log(1000) < 3.01 as l, round(ln(1)) as n, sin(0) as s, cos(0) as c", "SELECT 180.0::DOUBLE AS d, true AS r, true AS l, 0.0::DOUBLE AS n, 0.0::DOUBLE AS s, 1.0::DOUBLE AS c"),
+    "json_read": (
+        "select event_id, json_value(props, '$.k') as k, is_json(props) as j, json_exists(props, '$.zz') as e, json_query('{\"a\":[1,2]}', '$.a') as q, json_array_length('[1,2,3]') as n from events",
+        "SELECT event_id, json_extract_string(props, '$.k') AS k, json_valid(props) AS j, false AS e, '[1,2]' AS q, CAST(3 AS BIGINT) AS n FROM events",
+    ),
+    "json_elements": ("select value as v from json_array_elements('[\"a\", \"b\", 3]')", "SELECT unnest(['a', 'b', '3']) AS v"),
+    "misc_size_pretty": ("select size_pretty(0) as a, size_pretty(1536) as b, size_pretty(5000000) as c, size_pretty(999, 1000) as d", "SELECT '0 B' AS a, '1.5 K' AS b, '4.8 M' AS c, '999 B' AS d"),
+    "misc_in_set": ("select _typeof(n_name) as t, _typeof(n_nationkey) as k, self(n_name) as s from nation", "SELECT 'STRING' AS t, 'INTEGER' AS k, n_name AS s FROM nation"),
+    # programs
+    "script_loop": ("declare total := 0; for r in (select n_nationkey from nation where n_nationkey < 6) loop if r.n_nationkey = 3 then begin continue; end; set total := total + r[0]; end loop; select total as t", "SELECT CAST(12 AS BIGINT) AS t"),
+    "script_variable_table": ("declare t := (select n_nationkey, n_name from nation where n_regionkey = 1); select n_name from t where n_nationkey > 5", "SELECT n_name FROM nation WHERE n_regionkey = 1 AND n_nationkey > 5"),
+    "dml_changes": (
+        "declare t := (select n_nationkey as k, n_name as v from nation); update t set v = 'big' where k > 20; delete from t where k between 5 and 19; insert into t (k, v) values (100, 'new'); select k, v from t",
+        "SELECT n_nationkey AS k, CASE WHEN n_nationkey > 20 THEN 'big' ELSE n_name END AS v FROM nation WHERE n_nationkey NOT BETWEEN 5 AND 19 UNION ALL SELECT 100, 'new'",
+    ),
+    "read_by_uri": ("select count(*) as n, sum(o_totalprice) as s from read_file(folder || '/orders.parquet') as o", "SELECT count(*) AS n, sum(o_totalprice) AS s FROM orders"),
+}
+
+
+def engine_on(spark: SparkSession, sf_dir: str) -> Engine:
+    engine = Engine(spark)
+    for name in TABLES:
+        engine.register(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return engine
+
+
+def used(text: str) -> list[str]:
+    return [t for t in TABLES if t in text]
+
+
+def from_text(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        engine = Engine(spark)
+        for name in used(text):
+            engine.register(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        return engine.query(text, folder=sf_dir)
+
+    return run
+
+
+def pivot_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return orders.groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1)))
+
+
+def keyed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A look-up join: the small side's keys prune the large side by a broadcast or a merge,
+    as its size allows."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_totalprice > 400000").select("o_orderkey")
+    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity")
+    return lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+CODE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "pivot_status": (pivot_status, "SELECT o_orderpriority, nullif(count(*) FILTER (o_orderstatus = 'F'), 0) AS F, nullif(count(*) FILTER (o_orderstatus = 'O'), 0) AS O, nullif(count(*) FILTER (o_orderstatus = 'P'), 0) AS P FROM orders GROUP BY o_orderpriority"),
+    "lookup_join": (keyed_lookup, "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_totalprice > 400000"),
+    "event_windows": (
+        lambda spark, d: windows.tumbling(spark.read.parquet(f"{d}/events.parquet"), "ts", "1 hour", ["event_type"]),
+        "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    ),
+    "event_sessions": (
+        lambda spark, d: windows.sessions(spark.read.parquet(f"{d}/events.parquet"), "ts", "30 minutes", ["user_id"]),
+        "WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM b GROUP BY user_id, s",
+    ),
+}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_text(FLAGSHIP)(spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {n: from_text(t) for n, (t, _) in TEXTS.items()} | {n: f for n, (f, _) in CODE.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {n: o for n, (_, o) in TEXTS.items()} | {n: o for n, (_, o) in CODE.items()}
