@@ -62,6 +62,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def carried(docs: DataFrame, *names: str | Column) -> DataFrame:
+    """The named columns beside a struct _row of all columns, so that no column a stage
+    adds can clash with one of the input."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *names)
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

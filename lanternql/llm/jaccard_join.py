@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternql.llm.common import materialize, text_or_empty
+from lanternql.llm.common import carried, materialize, text_or_empty
 from lanternql.llm.grouping import LINKED, connected_components, gathered, in_blocks, linker, settle
 
 SHINGLE = 5
@@ -168,6 +168,6 @@ def join(docs: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """One document of each group stays, the one of least id; columns as in ``docs``."""
     stay = join(docs).filter("kept").select(F.col("doc_id").alias("_doc_id"), F.col("id").alias("_id")).distinct()
-    keyed = docs.withColumn("_key", F.unhex(F.md5(text_or_empty())))
+    keyed = carried(docs, "doc_id", F.unhex(F.md5(text_or_empty())).alias("_key"))
     left = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_key") == F.col("_id")), "left_semi")
-    return left.dropDuplicates(["doc_id", "_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return left.dropDuplicates(["doc_id", "_key"]).select("_row.*")

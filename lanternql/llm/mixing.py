@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from lanternql.llm.common import SPACE, WORD, materialize, text_or_empty
+from lanternql.llm.common import SPACE, WORD, carried, materialize, text_or_empty
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3
@@ -146,13 +146,13 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
         .agg(F.first("size").alias("size"), F.expr("sum(taken) div count(1)").alias("taken"))
         .filter("taken > 0")
     )
-    keyed = docs.withColumn("_draw", F.xxhash64(F.lit(seed), "doc_id", text_or_empty())).alias("d")
-    full = F.expr("taken div size")
-    rows = keyed.join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("_draw") == F.col("t.draw"))).select(
-        "d.*", F.explode(F.concat(F.array_repeat(F.col("size"), full.cast("int")), F.when(F.expr("taken % size > 0"), F.array(F.expr("taken % size"))).otherwise(F.array().cast("array<bigint>")))).alias("_words"), "size"
-    )
-    text = F.when(F.col("_words") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(F.split(F.regexp_replace("text", f"^{SPACE}", ""), SPACE), 1, F.col("_words").cast("int")), " "))
-    mixed = rows.withColumn("text", text)
+    keyed = carried(docs, "doc_id", "text", F.xxhash64(F.lit(seed), "doc_id", text_or_empty()).alias("_draw")).alias("d")
+    whole = F.array_repeat(F.col("size"), F.expr("taken div size").cast("int"))
+    part = F.when(F.expr("taken % size > 0"), F.array(F.expr("taken % size"))).otherwise(F.array().cast("array<bigint>"))
+    rows = keyed.join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("_draw") == F.col("t.draw"))).select("d._row", "d.text", "size", F.explode(F.concat(whole, part)).alias("words"))
+    words = F.split(F.regexp_replace("text", f"^{SPACE}", ""), SPACE)
+    text = F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("words").cast("int")), " "))
+    row = F.col("_row").withField("text", F.col("mixed"))
     if "n_chars" in docs.columns:
-        mixed = mixed.withColumn("n_chars", F.length("text").cast("long"))
-    return mixed.select(*[F.col(f"`{c}`") for c in docs.columns])
+        row = row.withField("n_chars", F.length("mixed").cast("long"))
+    return rows.withColumn("mixed", text).select(row.alias("_row")).select("_row.*")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanternql.llm.common import SPACE, let, text_or_empty
+from lanternql.llm.common import SPACE, carried, let, text_or_empty
 
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
@@ -153,4 +153,4 @@ def quality(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents kept, with their own columns."""
-    return judge(docs).filter("_quality.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judge(carried(docs, "text", "lang")).filter("_quality.kept").select("_row.*")

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanternql.llm.common import text_or_empty
+from lanternql.llm.common import carried, text_or_empty
 from lanternql.llm.spans import find_spans, written
 
 try:
@@ -197,7 +197,8 @@ def masked(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(state)
     clean = F.aggregate("found", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    out = scan(docs).withColumn("text", F.when(F.size("found") > 0, clean).otherwise(F.col("text")))
+    out = scan(carried(docs, "doc_id", "text")).withColumn("clean", F.when(F.size("found") > 0, clean).otherwise(F.col("text")))
+    row = F.col("_row").withField("text", F.col("clean"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        row = row.withField("n_chars", F.length("clean").cast("long"))
+    return out.select(row.alias("_row")).select("_row.*")
