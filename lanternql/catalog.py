@@ -83,7 +83,7 @@ TEXTS: dict[str, tuple[str, str]] = {
     "agg_expr": ("select 1 + sum(n_nationkey) + 10 as s, count(n_name) as c from nation", "SELECT CAST(1 + sum(n_nationkey) + 10 AS BIGINT) AS s, count(n_name) AS c FROM nation"),
     "agg_string_agg_ordered": ("select n_regionkey, string_agg(n_name, ',') as names from nation group by n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey"),
     "agg_first_last": ("select n_regionkey, first_value(n_name) as f, last_value(n_name) as l, n_nationkey from nation group by n_regionkey", "SELECT n_regionkey, first(n_name ORDER BY n_nationkey) AS f, last(n_name ORDER BY n_nationkey) AS l, min(n_nationkey) AS n_nationkey FROM nation GROUP BY n_regionkey"),
-    "agg_avg_timestamp": ("select event_type, avg(ts) as mid from events group by event_type", "SELECT event_type, make_timestamp(CAST(avg(epoch_us(ts)) AS BIGINT)) AS mid FROM events GROUP BY event_type"),
+    "agg_avg_timestamp": ("select event_type, avg(ts) as mid from events group by event_type", "SELECT event_type, make_timestamp(CAST(sum(epoch_us(ts)) // count(*) AS BIGINT)) AS mid FROM events GROUP BY event_type"),
     "agg_url_host": (
         "select split_part(url, '/', 3) as site, avg(length(html)) as a from pages where page_id > 1 group by split_part(url, '/', 3) order by 2 desc, 1 fetch first 10 rows only",
         "SELECT split_part(url, '/', 3) AS site, avg(length(html)) AS a FROM pages WHERE page_id > 1 GROUP BY 1 ORDER BY a DESC, site LIMIT 10",
