@@ -107,7 +107,7 @@ def first_edges(nodes: DataFrame, n_tables: int, seed: int, bits: int) -> DataFr
         ordered = keyed.filter(F.col("width") == width).repartitionByRange("table", "label", "place", "id").sortWithinPartitions("table", "label", "place", "id")
         edges = ordered.select("id", "vector", "block").mapInArrow(adjacent, EDGE)
         out = edges if out is None else out.union(edges)
-    return out
+    return nodes.sparkSession.createDataFrame([], EDGE) if out is None else out
 
 
 def best(edges: DataFrame) -> DataFrame:
