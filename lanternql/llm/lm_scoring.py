@@ -36,7 +36,7 @@ from lanternql.llm.common import in_hash_bucket, materialize
 K = 5
 HELD = 0.01
 END, START = 0, 1
-FLUSH_DOCS = 4096
+FLUSH_DOCS = 2048
 MASK = np.uint64((1 << 48) - 1)
 
 SENT = "part int, flush long, n int, n_train int, blob binary, ids array<long>"
@@ -356,7 +356,7 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     held = F.coalesce(in_hash_bucket("doc_id", 5, 1), F.lit(False)).alias("held")
     rows = docs.select("doc_id", held, "text")
-    n_parts = max(8, rows.rdd.getNumPartitions())
+    n_parts = max(8, 3 * rows.rdd.getNumPartitions() // 2)
 
     def by(frame: DataFrame, key: str) -> DataFrame:
         return frame.repartition(n_parts, key).sortWithinPartitions(key)
