@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanternql.llm import embedding_dedup, jaccard_join, lm_scoring, mixing, packing, pii, quality, secret_scan, token_counts, toxicity
+from lanternql.llm import embedding_dedup, jaccard_join, lm_scoring, mixing, oracles, packing, pii, quality, secret_scan, token_counts, toxicity
 from lanternql.llm.common import table, vocabulary
 
 
@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.all_sql()
