@@ -141,15 +141,11 @@ def refine(lists: DataFrame, nodes: DataFrame) -> DataFrame:
     """Neighbours of neighbours: the lists of a node, and the nodes that have it in theirs
     (of these at most NEIGHBOURS, the nearest, as their own lists hold the rest)."""
     reverse = lists.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")
-    around = lists.union(best_reverse(reverse)).select(F.col("a").alias("pivot"), F.col("b").alias("id")).distinct()
+    around = lists.union(best(reverse)).select(F.col("a").alias("pivot"), F.col("b").alias("id")).distinct()
     found = gathered(around.join(nodes.select("id", "vector"), "id").select("id", "vector", "pivot"), "pivot").mapInArrow(local_join, EDGE)
     return best(lists.union(found))
 
 
-def best_reverse(reverse: DataFrame) -> DataFrame:
-    return best(reverse)
-
-
 def similar_vectors(unit: pa.Table) -> np.ndarray:
     v = matrix(unit.column("vector"))
     return v @ v.T >= COSINE

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternql.llm.bpe import IdCache, splitter
-from lanternql.llm.common import discard, materialize, worker_memory
+from lanternql.llm.common import materialize, worker_memory
 
 WINDOW = 2048
 OPEN_WINDOWS = 32
