@@ -180,6 +180,33 @@ TEXTS: dict[str, tuple[str, str]] = {
         "declare t := (select n_nationkey as k, n_name as v from nation); update t set v = 'big' where k > 20; delete from t where k between 5 and 19; insert into t (k, v) values (100, 'new'); select k, v from t",
         "SELECT n_nationkey AS k, CASE WHEN n_nationkey > 20 THEN 'big' ELSE n_name END AS v FROM nation WHERE n_nationkey NOT BETWEEN 5 AND 19 UNION ALL SELECT 100, 'new'",
     ),
+    # formats, over texts written once where executors can read them
+    "fmt_csv": (
+        "select id, name, ok, price, day from read_text(E'id;name;ok;price;day\\n1;\"a;b\";yes;1.5;2024-01-02\\n2;;no;;\\n3;c;on;2;2024-02-03 04:05:06', fmt => csv(delimiter => ';'))",
+        "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'a;b', true, CAST(1.5 AS DOUBLE), TIMESTAMP '2024-01-02'), (2, '', false, NULL, NULL), (3, 'c', true, 2.0, TIMESTAMP '2024-02-03 04:05:06')) t(id, name, ok, price, day)",
+    ),
+    "fmt_csv_sniffed": ("select column0 + column1 as s from read_text(E'1|2\\n3|4', fmt => csv())", "SELECT * FROM (VALUES (CAST(3 AS BIGINT)), (7)) t(s)"),
+    "fmt_tsv": ("select n, text from read_text(E'n\\ttext\\n1\\ta b\\n2\\tc', fmt => tsv())", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'a b'), (2, 'c')) t(n, text)"),
+    "fmt_ltsv": ("select time, status from read_text(E'time:10:20\\tstatus:200\\ntime:10:21\\tstatus:404', fmt => ltsv()) where status > 300", "SELECT '10:21' AS time, CAST(404 AS BIGINT) AS status"),
+    "fmt_text_line": ("select text from read_text(E'one\\ntwo', fmt => text_line())", "SELECT * FROM (VALUES ('one'), ('two')) t(text)"),
+    "fmt_json": ("select id, o.a[1] as a, z from read_text(E'{\"id\":1,\"o\":{\"a\":[1,2]}}\\n{\"id\":2,\"z\":true}', fmt => json())", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), '2', NULL), (2, NULL, true)) t(id, a, z)"),
+    "fmt_json_path": ("select k from read_text('{\"p\":{\"items\":[{\"k\":5},{\"k\":6}]}}', fmt => json(jsonpath => '$.p.items[?(@.k>5)]'))", "SELECT CAST(6 AS BIGINT) AS k"),
+    "fmt_xml": ("select name, pop from read_text('<r><c name=\"A\"><pop>1</pop></c><c name=\"B\"><pop>2</pop></c></r>', fmt => xml(xpath => '//c'))", "SELECT * FROM (VALUES ('A', CAST(1 AS BIGINT)), ('B', 2)) t(name, pop)"),
+    "fmt_regex": ("select day, level from read_text(E'2024-01-02 INFO x\\nnothing\\n2024-01-03 WARN y', fmt => regex('^(?<day>[0-9-]+) (?<level>[A-Z]+)'))", "SELECT * FROM (VALUES (TIMESTAMP '2024-01-02', 'INFO'), (NULL, NULL), (TIMESTAMP '2024-01-03', 'WARN')) t(day, level)"),
+    "fmt_grok": ("select ip, verb, n from read_text(E'10.0.0.1 GET 12\\n10.0.0.2 PUT 7', fmt => grok('%{IPV4:ip} %{WORD:verb} %{INT:n:int}'))", "SELECT * FROM (VALUES ('10.0.0.1', 'GET', CAST(12 AS BIGINT)), ('10.0.0.2', 'PUT', 7)) t(ip, verb, n)"),
+    "fmt_iisw3c": ("select date, \"sc-status\" as s from read_text(E'#Version: 1.0\\n#Fields: date time cs-uri-stem sc-status\\n2022-08-26 00:00:01 /a 200\\n2022-08-26 00:00:02 /b -', fmt => iisw3c())", "SELECT * FROM (VALUES (TIMESTAMP '2022-08-26 00:00:01', CAST(200 AS BIGINT)), (TIMESTAMP '2022-08-26 00:00:02', NULL)) t(date, s)"),
+    "fmt_clef": ("select timestamp, level, x from read_text('{\"@t\":\"2024-01-02T03:04:05Z\",\"@l\":\"Warning\",\"x\":1}', fmt => clef())", "SELECT TIMESTAMP '2024-01-02 03:04:05' AS timestamp, 'Warning' AS level, CAST(1 AS BIGINT) AS x"),
+    "src_cache_input": ("select count(*) as n from cache_input(orders, key => 'o', expire => interval '1h')", "SELECT count(*) AS n FROM orders"),
+    "src_schema": ("select name, type from _schema(nation)", "SELECT * FROM (VALUES ('n_nationkey', 'integer'), ('n_name', 'string'), ('n_regionkey', 'integer')) t(name, type)"),
+    "src_functions": ("select kind from _functions() where name in ('substr', 'csv', 'write')", "SELECT * FROM (VALUES ('scalar'), ('formatter'), ('sink')) t(kind)"),
+    "src_buffer_retry": ("select count(*) as n from retry_input(buffer_input(region, 10), 2, 0.1)", "SELECT count(*) AS n FROM region"),
+    "lateral_json_elements": ("select c.id, e.value as v from (select 1 as id, '[\"a\",2]' as j) as c, json_array_elements(c.j) as e", "SELECT CAST(1 AS BIGINT) AS id, unnest(['a', '2']) AS v"),
+    "in_variable": ("declare keep := (select n_nationkey from nation where n_nationkey < 4); select n_name from nation where n_nationkey in keep", "SELECT n_name FROM nation WHERE n_nationkey < 4"),
+    "zone_shift": ("select event_id, ts at time zone 'Asia/Tokyo' as t from events", "SELECT event_id, ts + INTERVAL 9 HOUR AS t FROM events"),
+    "interval_parts": ("select extract(hour from interval '1d 2h 3m') as h, extract(day from interval '50h') as d, date_trunc('hour', interval '2h 59m') = interval '2h' as t", "SELECT CAST(2 AS BIGINT) AS h, CAST(2 AS BIGINT) AS d, true AS t"),
+    "str_pad_misc": ("select to_char(7, 'D3') as d, to_char(1234.5, 'N1') as n, to_char(255, 'X') as x, chr(8364) as e, regexp_replace('aXbX', 'x', '-', 1, 'i') as r", "SELECT '007' AS d, '1,234.5' AS n, 'FF' AS x, '€' AS e, 'a-b-' AS r"),
+    "hash_all": ("select sha1(n_name) as a, length(sha384(n_name)) as b, length(sha512(n_name)) as c from nation", "SELECT upper(sha1(n_name)) AS a, CAST(96 AS BIGINT) AS b, CAST(128 AS BIGINT) AS c FROM nation"),
+    "script_if_while": ("declare i := 0; declare s := ''; while i < 5 loop set i := i + 1; if i % 2 = 0 then begin set s := s || i; end else begin set s := s || '-'; end; end loop; select s as s, i as i", "SELECT '-2-4-' AS s, CAST(5 AS BIGINT) AS i"),
     "read_by_uri": ("select count(*) as n, sum(o_totalprice) as s from read_file(folder || '/orders.parquet') as o", "SELECT count(*) AS n, sum(o_totalprice) AS s FROM orders"),
 }
 
