@@ -70,6 +70,8 @@ def test_other_formats(engine, tmp_path):
     assert rows(engine.query(f'select "cs-uri-stem" as u, "sc-status" as s from \'{iis}\' format iisw3c() order by date')) == [("/a", 200), ("/b", None)]
     clef = put(tmp_path, "x.clef", '{"@t":"2024-01-02T03:04:05Z","@l":"Warning","@mt":"hi {x}","x":1}\n')
     assert rows(engine.query(f"select level, message_template, x from '{clef}'")) == [("Warning", "hi {x}", 1)]
+    table = put(tmp_path, "x.tab.txt", "| a | b    |\n| - | ---- |\n| 1 | NULL |\n| 2 | y z  |\n")
+    assert rows(engine.query(f"select a, b from '{table}' format text_table()")) == [(1, None), (2, "y z")]
     raw = put(tmp_path, "x.bin", "abc")
     assert rows(engine.query(f"select length(value) as n from '{raw}'")) == [(3,)]
 
