@@ -104,7 +104,7 @@ def test_masked(docs, spark):
 PERSONAL = [
     "a@b.c_d@e.f.g x@y x@y.z é 1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.255",
     "4111 1111 1111 1111 4111-1111-1111-1112 +49 (0)30 123456-78 +1 2",
-    "7" * 30000 + " " + "1.2." * 500,
+    "7" * 30000 + " " + "1.2." * 500 + " a@b" + ".c" * 20000 + " " + "1-" * 20000,
     "phone: (555) 123-4567, joe (at) foo (dot) com, iban DE89 3704 0044 0532 0130 00, version 1.22.33",
 ]
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
