@@ -54,6 +54,7 @@ REFERENCES = {
 }
 #: One letter for each common word, in their order; "." for any other word.
 CODES = ".abcdefghijkl"
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def words_of(text: Column) -> Column:
@@ -121,8 +122,21 @@ def by_language(lang: Column, measure) -> Column:
     return chosen.otherwise(F.least(*[measure(r) for r in REFERENCES.values()]))
 
 
+def verdict(m: Column) -> Column:
+    """The measures with base_failed and kept."""
+    base = (m["n_words"] < LEAST_WORDS) | (100 * m["n_repeat_words"] > MOST_REPEATED_PERCENT * m["n_words"])
+    root = F.sqrt(m["n_words"].cast("double"))
+    strange = F.lit(False)
+    for name, (limit, slope), guard in (("char_distance", CHAR_LIMIT, m["chars"] >= LEAST_CHARS_JUDGED), ("word_distance", WORD_LIMIT, m["n_words"] >= LEAST_WORDS_JUDGED)):
+        strange = strange | (guard & F.coalesce(m[name] > limit + slope / root, F.lit(False)))
+    return F.struct(*[m[n].alias(n) for n in MEASURES], base.alias("base_failed"), (~base & ~strange).alias("kept"))
+
+
 def judge(docs: DataFrame) -> DataFrame:
-    """``docs`` with the measures, base_failed and kept added under a struct named _quality."""
+    """``docs`` with the measures, base_failed and kept added under a struct named _quality.
+
+    It is one expression, so a filter on it that moves down to the scan computes it once.
+    """
     text = text_or_empty()
 
     def measures(words: Column) -> Column:
@@ -137,18 +151,11 @@ def judge(docs: DataFrame) -> DataFrame:
             F.length(text).alias("chars"),
         )
 
-    m = F.col("_m")
-    base = (m["n_words"] < LEAST_WORDS) | (100 * m["n_repeat_words"] > MOST_REPEATED_PERCENT * m["n_words"])
-    root = F.sqrt(m["n_words"].cast("double"))
-    strange = F.lit(False)
-    for name, (limit, slope), guard in (("char_distance", CHAR_LIMIT, m["chars"] >= LEAST_CHARS_JUDGED), ("word_distance", WORD_LIMIT, m["n_words"] >= LEAST_WORDS_JUDGED)):
-        strange = strange | (guard & F.coalesce(m[name] > limit + slope / root, F.lit(False)))
-    return docs.withColumn("_m", let(words_of(text), measures)).withColumn("_quality", F.struct("_m.*", base.alias("base_failed"), (~base & ~strange).alias("kept"))).drop("_m")
+    return docs.withColumn("_quality", let(let(words_of(text), measures), verdict))
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return judge(docs.select("doc_id", "text", "lang")).select("doc_id", *[F.col(f"_quality.{n}") for n in names])
+    return judge(docs.select("doc_id", "text", "lang")).select("doc_id", *[F.col(f"_quality.{n}") for n in (*MEASURES, "base_failed", "kept")])
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
