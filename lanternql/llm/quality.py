@@ -135,7 +135,8 @@ def verdict(m: Column) -> Column:
 def judge(docs: DataFrame) -> DataFrame:
     """``docs`` with the measures, base_failed and kept added under a struct named _quality.
 
-    It is one expression, so a filter on it that moves down to the scan computes it once.
+    The row number, always true here, makes it an expression that no filter is moved through:
+    moved down, its costly parts would be computed again for every mention.
     """
     text = text_or_empty()
 
@@ -151,7 +152,7 @@ def judge(docs: DataFrame) -> DataFrame:
             F.length(text).alias("chars"),
         )
 
-    return docs.withColumn("_quality", let(let(words_of(text), measures), verdict))
+    return docs.withColumn("_quality", F.when(F.monotonically_increasing_id() >= 0, let(let(words_of(text), measures), verdict)))
 
 
 def quality(docs: DataFrame) -> DataFrame:
