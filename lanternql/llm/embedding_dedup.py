@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternql.llm.common import materialize
-from lanternql.llm.grouping import LINKED, connected_components, gathered, in_blocks, linker, runs, settle
+from lanternql.llm.grouping import LINKED, connected_components, gathered, in_blocks, linker, runs, with_least
 
 COSINE = 0.93
 #: Edges below this are of no use for reaching one above COSINE.
@@ -210,10 +210,6 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
     members = nodes.select("id", "vector", "weight").join(groups, "id")
     units = in_blocks(members, "component", BLOCK)
     linked = materialize(gathered(units.select("id", "vector", "unit", "side", "both", "weight")).mapInArrow(linker(similar_vectors), LINKED), "linked")
-    links, exact = settle(linked)
-    classes = nodes.select("id", "least", "weight").join(links, "id", "left").join(exact, "id", "left")
-    classes = classes.select("id", "least", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
-    lowest = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    result = classes.join(lowest, "component").select("id", "n_links", "component_id")
+    result = with_least(nodes.select("id", "least", "weight"), linked, "least", "component_id").drop("least")
     component = F.coalesce("component_id", "vec_id").alias("component_id")
     return all_rows.select("vec_id", "id").join(result, "id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component, F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

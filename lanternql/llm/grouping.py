@@ -40,6 +40,14 @@ def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     return labels
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", parts: int = 16) -> DataFrame:
+    """Join to ``right``, of one row per key, with each key's rows of ``left`` spread over
+    ``parts`` tasks by ``by``: a hot key is split, and ``right`` is repeated."""
+    salted = left.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
+    repeated = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return salted.join(repeated, [key, "_part"], how).drop("_part")
+
+
 def in_blocks(members: DataFrame, group: str, block: int) -> DataFrame:
     """``members`` (with id and ``group``) dealt to units of work: adds unit, side and the
     flag ``both`` (the unit compares two different blocks).
@@ -48,7 +56,7 @@ def in_blocks(members: DataFrame, group: str, block: int) -> DataFrame:
     is spread before it is gathered.
     """
     sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    dealt = members.join(sizes, group).withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int")).withColumn("_own", F.pmod(F.xxhash64("id"), "_blocks").cast("int"))
+    dealt = spread_join(members, sizes, group, "id").withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int")).withColumn("_own", F.pmod(F.xxhash64("id"), "_blocks").cast("int"))
     other = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     low, high = F.least("_own", "_other"), F.greatest("_own", "_other")
     return other.withColumn("unit", F.xxhash64(F.col(group), low, high)).withColumn("side", (F.col("_own") > F.col("_other")).cast("int")).withColumn("both", low != high).drop("_n", "_blocks", "_own", "_other")
@@ -119,6 +127,16 @@ def linker(matrix_of: Callable[[pa.Table], np.ndarray], key: str = "unit"):
 LINKED = "id binary, links long, root binary"
 
 
+def with_least(nodes: DataFrame, linked: DataFrame, number: str, least: str) -> DataFrame:
+    """``nodes`` (id, weight, ``number``) with n_links and ``least``, the least ``number`` of
+    the node's group; most nodes are alone and keep their own."""
+    links, exact = settle(linked)
+    lowest = exact.join(nodes.select("id", number), "id").groupBy("component").agg(F.min(number).alias(least))
+    each = nodes.join(links, "id", "left").join(exact, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    found = spread_join(each, lowest, "component", "id", "left")
+    return found.withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("weight") - 1).withColumn(least, F.coalesce(least, number)).drop("links", "component", "weight")
+
+
 def settle(linked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Units' findings -> (id, links) and (id, component)."""
     return linked.groupBy("id").agg(F.sum("links").alias("links")), connected_components(linked.select(F.col("id").alias("a"), F.col("root").alias("b")))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternql.llm.common import carried, materialize, text_or_empty
-from lanternql.llm.grouping import LINKED, connected_components, gathered, in_blocks, linker, settle
+from lanternql.llm.grouping import LINKED, connected_components, gathered, in_blocks, linker, spread_join, with_least
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -130,7 +130,7 @@ def chosen_paths(nodes: DataFrame) -> DataFrame:
     found = None
     for depth in range(1, MOST_DEPTH + 1):
         often = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        shared = materialize(level.join(often, "bucket"), "buckets")
+        shared = materialize(spread_join(level, often, "bucket", "id"), "buckets")
         leaf = shared if depth == MOST_DEPTH else shared.filter(F.col("n") <= SMALL)
         units = in_blocks(leaf.select("id", "sketch", "bucket"), "bucket", SMALL).withColumn("weight", F.lit(1).cast("long"))
         links = gathered(units.select("id", "sketch", "unit", "side", "both", "weight")).mapInArrow(linker(similar_sketches), LINKED).select(F.col("id").alias("a"), F.col("root").alias("b")).filter("a != b")
@@ -157,11 +157,7 @@ def join(docs: DataFrame) -> DataFrame:
     texts = rows.join(members, (F.col("id") == F.col("_id")) & F.col("doc_id").eqNullSafe(F.col("copy_id"))).select("id", "text", "weight", "component").dropDuplicates(["id"])
     units = in_blocks(texts, "component", BLOCK)
     linked = materialize(gathered(units.select("id", "text", "unit", "side", "both", "weight")).mapInArrow(linker(similar_sets), LINKED), "linked")
-    links, exact = settle(linked)
-    classes = nodes.select("id", "copy_id", "weight").join(links, "id", "left").join(exact, "id", "left")
-    classes = classes.select("id", "copy_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
-    least = classes.groupBy("component").agg(F.min("copy_id").alias("class_id"))
-    result = classes.join(least, "component").select("id", "copy_id", "n_links", "class_id")
+    result = with_least(nodes.select("id", "copy_id", "weight"), linked, "copy_id", "class_id")
     return sketched.select("doc_id", "id").join(result, "id").select("doc_id", "class_id", "n_links", "copy_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"), "id")
 
 
