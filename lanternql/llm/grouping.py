@@ -13,17 +13,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from lanternql.llm.common import discard, materialize
 
 
+def shortened(edges: DataFrame) -> DataFrame:
+    """The same components with fewer edges: every node keeps one edge, to the least node it
+    is linked down to, and its other ends are linked to that one, once for all nodes."""
+    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()
+    lowest = down.withColumn("low", F.min("b").over(W.Window.partitionBy("a")))
+    return lowest.select("a", F.col("low").alias("b")).union(lowest.select(F.col("b").alias("a"), F.col("low").alias("b"))).filter("a != b").distinct()
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(id, component) for every end of ``edges`` (a, b): component is the least id reachable.
 
     Least labels travel along edges and then jump to their own label, so the rounds grow
     with the logarithm of a group's diameter rather than with its size.
     """
-    both = materialize(edges.filter("a != b").select("a", "b").union(edges.filter("a != b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    few = shortened(edges)
+    both = materialize(few.union(few.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     labels = materialize(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("id"), F.least("a", "low").alias("component")), "labels")
     for _ in range(most_rounds):
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
