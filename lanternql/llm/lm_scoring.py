@@ -15,7 +15,8 @@ frequent.  Words are known by 48 bits of a hash.
 Counts live in tables partitioned by word: all bigrams that end in w meet in w's part, so
 the part knows c(w), P(w) and every c(h,w); it adds to each document what depends on
 these, and sends to the part of h what a(h) needs.  Parts of frequent words are split by h.
-A task holds the tokens of one part; the number of parts follows the input's splits.
+A task goes through its part in FINE pieces, one after another, and holds the tokens of one
+piece; the number of parts follows the input's splits.
 
 Null text: as empty, one token (the end).  Null ids: training rows.  Repeated rows count
 each.  No training rows: every word is unknown.  Empty table: empty result.
@@ -37,6 +38,10 @@ K = 5
 HELD = 0.01
 END, START = 0, 1
 FLUSH_DOCS = 2048
+FINE = 4
+#: What a task gathers before it writes: documents with sums, and needs for histories.
+MOST_DOCS_HELD = 500_000
+MOST_NEEDS_HELD = 1_000_000
 MASK = np.uint64((1 << 48) - 1)
 
 SENT = "part int, flush long, n int, n_train int, blob binary, ids array<long>"
@@ -198,11 +203,13 @@ def bigram_sender(n_parts: int, uni: Unigrams):
                 h[1:] = w[:-1]
                 h[np.cumsum(n) - n] = np.uint64(START)
                 doc = np.repeat(np.arange(len(n), dtype=np.uint16), n)
-                part = np.where(uni.hot(w), (w + h * np.uint64(31)) % np.uint64(n_parts), w % np.uint64(n_parts)).astype(np.int32)
+                mixed = np.where(uni.hot(w), w + h * np.uint64(31), w)
+                part = (mixed % np.uint64(n_parts) * np.uint64(FINE) + mixed // np.uint64(n_parts) % np.uint64(FINE)).astype(np.int32)
+                del mixed
                 by = np.lexsort((h, w, part))
                 w, h, doc, part = w[by], h[by], doc[by], part[by]
-                rows = [(int(flush % n_parts), flush, len(n), n_train, pack(n), [ids[i] for i in order])]
-                for p, i, j in cut_by_part(part, n_parts):
+                rows = [(int(flush % n_parts) * FINE, flush, len(n), n_train, pack(n), [ids[i] for i in order])]
+                for p, i, j in cut_by_part(part, n_parts * FINE):
                     pw, ph = w[i:j], h[i:j]
                     pair = np.flatnonzero(np.r_[True, (pw[1:] != pw[:-1]) | (ph[1:] != ph[:-1])])
                     word = np.flatnonzero(np.r_[True, pw[pair][1:] != pw[pair][:-1]])
@@ -219,28 +226,65 @@ def made(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["kind", "key", "flush", "n", "n_train", "blob", "ids"])
 
 
+class Gathered:
+    """Sums of documents by flush, and needs by part; written out when they grow large."""
+
+    def __init__(self, n_parts: int):
+        self.n_parts = n_parts
+        self.sums: dict[int, list] = {}
+        self.docs = 0
+        self.needs: list[tuple[np.ndarray, np.ndarray, int]] = []
+        self.n_needs = 0
+
+    def add(self, flush: int, n: int, n_train: int, *sums: np.ndarray) -> None:
+        held = self.sums.get(flush)
+        if held is None:
+            self.sums[flush] = [n, n_train, *sums]
+            self.docs += n
+        else:
+            for have, more in zip(held[2:], sums, strict=True):
+                have += more
+
+    def need(self, history: np.ndarray, doc: np.ndarray, flush: int) -> None:
+        self.needs.append((history, doc, flush))
+        self.n_needs += len(doc)
+
+    def rows(self, last: bool = False) -> list[tuple]:
+        out = []
+        if last or self.docs > MOST_DOCS_HELD:
+            out += [("score", flush, flush, held[0], held[1], pack(*held[2:]), None) for flush, held in self.sums.items()]
+            self.sums, self.docs = {}, 0
+        if self.needs and (last or self.n_needs > MOST_NEEDS_HELD):
+            history = np.concatenate([x for x, _, _ in self.needs])
+            doc = np.concatenate([d for _, d, _ in self.needs])
+            flushes = np.array([f for _, _, f in self.needs], dtype=np.int64)
+            number = np.repeat(np.arange(len(flushes), dtype=np.int32), [len(d) for _, d, _ in self.needs])
+            to = (history % np.uint64(self.n_parts)).astype(np.int32)
+            o = np.argsort(to, kind="stable")
+            out += [("need", q, 0, 0, 0, pack(narrow(history[o[i:j]]), doc[o[i:j]], number[o[i:j]], flushes), None) for q, i, j in cut_by_part(to[o], self.n_parts)]
+            self.needs, self.n_needs = [], 0
+        return out
+
+
 def part_worker(n_parts: int, uni: Unigrams):
-    """One part: counts of its bigrams, and from these
+    """One piece of a part after another: counts of its bigrams, and from these
     score: per flush and document, sums that need nothing else;
     history: per history, seen counts 1..K and the unigram mass seen after it;
     need: unseen bigrams of documents, to be weighed by their history;
     stats: bigrams of count 1..K+1."""
 
-    def work(part: int, rows: list[dict]):
-        for r in rows:
-            if r["ids"] is not None:
-                yield [("doc", r["flush"], r["flush"], r["n"], r["n_train"], r["blob"], r["ids"])]
+    def work(rows: list[dict], gathered: Gathered) -> list[tuple]:
+        out = [("doc", r["flush"], r["flush"], r["n"], r["n_train"], r["blob"], r["ids"]) for r in rows if r["ids"] is not None]
         rows = [r for r in rows if r["ids"] is None]
         if not rows:
-            return
+            return out
         words, hists, times, trains, docs, spans, at = [], [], [], [], [], [], 0
         for r in rows:
             word, pairs, hist, n, doc = unpack(r.pop("blob"))
             words.append(np.repeat(widen(word), pairs))
             hists.append(widen(hist))
-            n = n.astype(np.int64)
-            first = np.cumsum(n) - n
-            trains.append(np.add.reduceat((doc < r["n_train"]).astype(np.int64), first))
+            n = n.astype(np.int32)
+            trains.append(np.add.reduceat((doc < r["n_train"]).astype(np.int32), np.cumsum(n) - n))
             times.append(n)
             docs.append(doc)
             spans.append((at, at + len(n)))
@@ -248,13 +292,14 @@ def part_worker(n_parts: int, uni: Unigrams):
         w, h, train = np.concatenate(words), np.concatenate(hists), np.concatenate(trains)
         del words, hists, trains
         order = np.lexsort((h, w))
-        sw, sh = w[order], h[order]
-        new = np.r_[True, (sw[1:] != sw[:-1]) | (sh[1:] != sh[:-1])]
-        pair = np.cumsum(new) - 1
+        w, h = w[order], h[order]
+        new = np.r_[True, (w[1:] != w[:-1]) | (h[1:] != h[:-1])]
+        pair = np.cumsum(new, dtype=np.int32) - 1
         count = np.bincount(pair, train[order]).astype(np.int64)
-        of_row = np.empty(len(w), dtype=np.int64)
+        of_row = np.empty(len(w), dtype=np.int32)
         of_row[order] = pair
-        pw, ph = sw[new], sh[new]
+        pw, ph = w[new], h[new]
+        del w, h, train, order, pair, new
         new_word = np.r_[True, pw[1:] != pw[:-1]]
         word_of_pair = np.cumsum(new_word) - 1
         c_word = np.bincount(word_of_pair, count).astype(np.int64)
@@ -275,26 +320,29 @@ def part_worker(n_parts: int, uni: Unigrams):
             size = r["n"]
             tally = np.bincount(doc * (K + 1) + low[each], minlength=size * (K + 1)).reshape(size, K + 1)[:, 1:]
             known = np.bincount(doc, cw[each] > 0, size)
-            yield [("score", r["flush"], r["flush"], size, r["n_train"], pack(np.bincount(doc, base[each], size), np.bincount(doc, plain[each], size), known.astype(np.uint32), tally.astype(np.uint32)), None)]
+            gathered.add(r["flush"], size, r["n_train"], np.bincount(doc, base[each], size), np.bincount(doc, plain[each], size), known.astype(np.uint32), tally.astype(np.uint32))
             unseen = np.flatnonzero(count[each] == 0)
             if len(unseen):
-                hist, d = ph[each[unseen]], doc[unseen]
-                to = (hist % np.uint64(n_parts)).astype(np.int64)
-                o = np.argsort(to, kind="stable")
-                yield [("need", q, r["flush"], size, r["n_train"], pack(narrow(hist[o[i:j]]), d[o[i:j]]), None) for q, i, j in cut_by_part(to[o], n_parts)]
+                gathered.need(ph[each[unseen]], doc[unseen], r["flush"])
         seen = np.flatnonzero(count > 0)
         if len(seen):
             hist, mass, *few = sums_by(ph[seen], p_word[seen], *[(count[seen] == r).astype(np.int64) for r in range(1, K + 1)])
             to = (hist % np.uint64(n_parts)).astype(np.int64)
             o = np.argsort(to, kind="stable")
             hist, mass, few = hist[o], mass[o], np.stack(few)[:, o].astype(np.uint32)
-            yield [("history", q, 0, 0, 0, pack(narrow(hist[i:j]), mass[i:j], *[f[i:j].astype(np.uint8 if f[i:j].max() < 256 else np.uint32) for f in few]), None) for q, i, j in cut_by_part(to[o], n_parts)]
-        yield [("stats", 0, 0, 0, 0, None, [int((count == r).sum()) for r in range(1, K + 2)])]
+            out += [("history", q, 0, 0, 0, pack(narrow(hist[i:j]), mass[i:j], *[f[i:j].astype(np.uint8 if f[i:j].max() < 256 else np.uint32) for f in few]), None) for q, i, j in cut_by_part(to[o], n_parts)]
+        out.append(("stats", 0, 0, 0, 0, None, [int((count == r).sum()) for r in range(1, K + 2)]))
+        return out
 
     def run(batches):
-        for part, rows in parts_of(batches, "part"):
-            for out in work(part, rows):
+        gathered = Gathered(n_parts)
+        for _, rows in parts_of(batches, "part"):
+            out = work(rows, gathered) + gathered.rows()
+            if out:
                 yield made(out)
+        out = gathered.rows(last=True)
+        if out:
+            yield made(out)
 
     return run
 
@@ -302,24 +350,45 @@ def part_worker(n_parts: int, uni: Unigrams):
 def history_worker(d: np.ndarray):
     """Adds to each document the weights of the histories it backs off from."""
 
+    def weights(rows: list[dict]):
+        got = [unpack(r["blob"]) for r in rows if r["kind"] == "history"]
+        hist, mass, *few = sums_by(np.concatenate([widen(g[0]) for g in got]), *[np.concatenate([g[k] for g in got]).astype(float) for k in range(1, K + 2)])
+        free = HELD + sum(r * (1 - d[r - 1]) * few[r - 1] for r in range(1, K + 1))
+        return hist, np.log10(free / np.maximum(1 - mass, 1e-300))
+
+    def written(found: list[tuple]) -> list[tuple]:
+        """(flush, doc, weight) arrays -> a row for each flush."""
+        flush, doc, value = (np.concatenate(x) for x in zip(*found, strict=True))
+        o = np.argsort(flush, kind="stable")
+        flush, doc, value = flush[o], doc[o], value[o]
+        first = np.flatnonzero(np.r_[True, flush[1:] != flush[:-1]])
+        out = []
+        for i, j in zip(first, [*first[1:], len(flush)], strict=True):
+            who, total = sums_by(doc[i:j], value[i:j])
+            out.append(("weight", int(flush[i]), int(flush[i]), 0, 0, pack(who, total), None))
+        return out
+
     def run(batches):
         for _, rows in parts_of(batches, "key"):
-            got = [unpack(r["blob"]) for r in rows if r["kind"] == "history"]
-            if not got:
+            if not any(r["kind"] == "history" for r in rows):
                 continue
-            hist, mass, *few = sums_by(np.concatenate([widen(g[0]) for g in got]), *[np.concatenate([g[k] for g in got]).astype(float) for k in range(1, K + 2)])
-            del got
-            free = HELD + sum(r * (1 - d[r - 1]) * few[r - 1] for r in range(1, K + 1))
-            weight = np.log10(free / np.maximum(1 - mass, 1e-300))
+            hist, weight = weights(rows)
+            found, n = [], 0
             for r in rows:
                 if r["kind"] != "need":
                     continue
-                need, doc = unpack(r["blob"])
+                need, doc, number, flushes = unpack(r["blob"])
                 need = widen(need)
                 at = np.minimum(np.searchsorted(hist, need), len(hist) - 1)
-                value = np.where(hist[at] == need, weight[at], 0.0)
-                who, total = sums_by(doc, value)
-                yield made([("weight", r["flush"], r["flush"], r["n"], r["n_train"], pack(who, total), None)])
+                hit = np.flatnonzero(hist[at] == need)
+                if len(hit):
+                    found.append((flushes[number[hit]], doc[hit], weight[at[hit]]))
+                    n += len(hit)
+                if n > MOST_NEEDS_HELD:
+                    yield made(written(found))
+                    found, n = [], 0
+            if found:
+                yield made(written(found))
 
     return run
 
@@ -358,8 +427,9 @@ def score(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", held, "text")
     n_parts = max(8, 3 * rows.rdd.getNumPartitions() // 2)
 
-    def by(frame: DataFrame, key: str) -> DataFrame:
-        return frame.repartition(n_parts, key).sortWithinPartitions(key)
+    def by(frame: DataFrame, key: str, *then: str) -> DataFrame:
+        """Keys are numbers of parts, dealt evenly; sorted, so that sums are the same in reruns."""
+        return frame.repartitionById(n_parts, F.pmod(F.col(key), F.lit(n_parts)).cast("int")).sortWithinPartitions(key, *then)
 
     counted = rows.filter("not held").select("text").mapInArrow(unigram_counter(n_parts), "part int, blob binary")
     unigrams = materialize(by(counted, "part").mapInArrow(unigram_merger, "part int, blob binary, stats array<long>"), "unigrams")
@@ -372,9 +442,10 @@ def score(docs: DataFrame) -> DataFrame:
         train_docs = rows.filter("not held").count()
 
     sent = rows.mapInArrow(bigram_sender(n_parts, uni), SENT)
-    worked = materialize(by(sent, "part").mapInArrow(part_worker(n_parts, uni), MADE), "bigrams")
+    pieces = sent.repartitionById(n_parts, F.expr(f"part div {FINE}").cast("int")).sortWithinPartitions("part", "flush")
+    worked = materialize(pieces.mapInArrow(part_worker(n_parts, uni), MADE), "bigrams")
     of_count = [sum(x) for x in zip(*[r["ids"] for r in worked.filter("kind = 'stats'").select("ids").collect()], strict=True)] or [0] * (K + 1)
     d = discounts(of_count)
-    weighed = by(worked.filter("kind in ('history', 'need')"), "key").mapInArrow(history_worker(d), MADE)
+    weighed = by(worked.filter("kind in ('history', 'need')"), "key", "kind").mapInArrow(history_worker(d), MADE)
     together = worked.filter("kind in ('doc', 'score')").union(weighed)
     return by(together, "key").mapInArrow(finisher(uni, d, train_docs), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
