@@ -2,8 +2,8 @@
 
 A neighbour graph starts from vectors that fall next to each other in a few tables sorted
 by random hyperplane signs.  Each round compares the neighbours of a vector, its own and
-those that name it, with one another, and keeps the best found.  Edges at the threshold
-connect groups.  A group may hold more links than a neighbour list: its lists are then
+those that name it, with one another, and keeps the best found.  All edges found at the
+threshold connect groups, also those a list has no room for.  A group may hold more links than a neighbour list: its lists are then
 enlarged to the whole group, compared in blocks, so links and counts within it are exact.
 Recall is audited on a bounded draw of query vectors against all rows; while it is short
 of the target, further tables and rounds are added.
@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternql.llm.common import materialize
-from lanternql.llm.grouping import LINKED, connected_components, gathered, in_blocks, linker, runs, with_least
+from lanternql.llm.common import discard, materialize
+from lanternql.llm.grouping import LINKED, connected_components, gathered, in_blocks, linker, runs, shortened, with_least
 
 COSINE = 0.93
 #: Edges below this are of no use for reaching one above COSINE.
@@ -137,13 +137,21 @@ def local_join(batches):
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)).cast(pa.binary()), ids.take(pa.array(j)).cast(pa.binary()), pa.array(s[i, j])], ["a", "b", "cosine"])
 
 
-def refine(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+def links_of(edges: DataFrame) -> DataFrame:
+    """All edges at the threshold, whatever the lists have room for, as fewer with the same components."""
+    return materialize(shortened(edges.filter(F.col("cosine") >= COSINE).select("a", "b")), "links")
+
+
+def refine(lists: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Neighbours of neighbours: the lists of a node, and the nodes that have it in theirs
-    (of these at most NEIGHBOURS, the nearest, as their own lists hold the rest)."""
+    (of these at most NEIGHBOURS, the nearest, as their own lists hold the rest).
+    Gives the new lists, and the links among all edges found."""
     reverse = lists.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")
     around = lists.union(best(reverse)).select(F.col("a").alias("pivot"), F.col("b").alias("id")).distinct()
-    found = gathered(around.join(nodes.select("id", "vector"), "id").select("id", "vector", "pivot"), "pivot").mapInArrow(local_join, EDGE)
-    return best(lists.union(found))
+    found = materialize(gathered(around.join(nodes.select("id", "vector"), "id").select("id", "vector", "pivot"), "pivot").mapInArrow(local_join, EDGE), "found")
+    new, links = materialize(best(lists.union(found)), "lists"), links_of(found)
+    discard(found)
+    return new, links
 
 
 def similar_vectors(unit: pa.Table) -> np.ndarray:
@@ -197,14 +205,16 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
     )
     n = nodes.count()
     bits = min(48, max(4, math.ceil(math.log2(max(2, n) / 50))))
-    edges, groups = None, None
+    lists, links, groups = None, None, None
     for turn in range(MOST_PASSES):
-        new = first_edges(nodes, TABLES * 2**turn, SEED + turn, bits)
-        lists = materialize(best(new if edges is None else edges.union(new)), "lists")
+        new = materialize(first_edges(nodes, TABLES * 2**turn, SEED + turn, bits), "found")
+        lists = materialize(best(new if lists is None else lists.union(new)), "lists")
+        links = links_of(new) if links is None else links.union(links_of(new))
+        discard(new)
         for _ in range(ROUNDS):
-            lists = materialize(refine(lists, nodes), "lists")
-        edges = lists
-        groups = connected_components(edges.filter(F.col("cosine") >= COSINE).select("a", "b"))
+            lists, more = refine(lists, nodes)
+            links = links.union(more)
+        groups = connected_components(links)
         if audit(nodes, groups, turn) >= RECALL:
             break
     members = nodes.select("id", "vector", "weight").join(groups, "id")

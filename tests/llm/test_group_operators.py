@@ -167,6 +167,22 @@ def test_embeddings(spark, monkeypatch):
     assert sorted((str(x["vec_id"]), x["n_links"], str(x["component_id"])) for x in got) == want
 
 
+def test_embeddings_links_beyond_the_lists(spark):
+    """Two groups of 40, each tight, linked across: no list of 10 has room for a link across."""
+    r = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v)
+    a = unit(r.normal(size=64))
+    side = r.normal(size=64)
+    side = unit(side - (side @ a) * a)
+    b = 0.953 * a + math.sqrt(1 - 0.953**2) * side
+    x = np.array([unit(c + 0.0085 * r.normal(size=64)) for c in (a, b) for _ in range(40)])
+    near = x @ x.T >= 0.93
+    assert near[:40, 40:].sum() > 1000 and (x @ x.T)[:40, :40].min() > 0.985
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {g["vec_id"]: (g["n_links"], g["component_id"]) for g in got} == {i: (int(near[i].sum()) - 1, 0) for i in range(80)}
+
+
 def katz(rows):
     """The model by plain dictionaries: {id: [score, base, known, tokens]} and probabilities."""
     tokens = {k: [*(t or "").encode().lower().split(), 0] for k, (_, t) in enumerate(rows)}
