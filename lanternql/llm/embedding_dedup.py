@@ -2,8 +2,8 @@
 
 A neighbour graph starts from vectors that fall next to each other in a few tables sorted
 by random hyperplane signs.  Each round compares the neighbours of a vector, its own and
-those that name it, with one another, and keeps the best found.  All edges found at the
-threshold connect groups, also those a list has no room for.  A group may hold more links than a neighbour list: its lists are then
+those that name it, with one another, and keeps the best found, whatever their cosine, until
+few lists change.  All edges found at the threshold connect groups, also those a list has no room for.  A group may hold more links than a neighbour list: its lists are then
 enlarged to the whole group, compared in blocks, so links and counts within it are exact.
 Recall is audited on a bounded draw of query vectors against all rows; while it is short
 of the target, further tables and rounds are added.
@@ -20,19 +20,21 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from lanternql.llm.common import discard, materialize
-from lanternql.llm.grouping import LINKED, connected_components, gathered, in_blocks, linker, runs, shortened, with_least
+from lanternql.llm.grouping import LINKED, connected_components, gathered, in_blocks, linker, shortened, whole_runs, with_least
 
 COSINE = 0.93
-#: Edges below this are of no use for reaching one above COSINE.
-FLOOR = 0.6
 TABLES = 10
 BESIDE = 4
 NEIGHBOURS = 10
-ROUNDS = 2
+#: Rounds go on until fewer of the list entries than this are new.
+SETTLED = 0.01
+MOST_ROUNDS = 12
 BLOCK = 1024
 AUDIT = 256
 RECALL = 0.97
@@ -91,7 +93,7 @@ def adjacent(batches):
             if len(v) <= k:
                 break
             cosine = np.einsum("ij,ij->i", v[:-k], v[k:])
-            near = np.flatnonzero((block[:-k] == block[k:]) & (cosine >= FLOOR))
+            near = np.flatnonzero(block[:-k] == block[k:])
             if len(near):
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(near)).cast(pa.binary()), ids.take(pa.array(near + k)).cast(pa.binary()), pa.array(cosine[near])], ["a", "b", "cosine"])
         held = t.slice(max(0, t.num_rows - BESIDE))
@@ -110,31 +112,38 @@ def first_edges(nodes: DataFrame, n_tables: int, seed: int, bits: int) -> DataFr
     return nodes.sparkSession.createDataFrame([], EDGE) if out is None else out
 
 
-def best(edges: DataFrame) -> DataFrame:
-    """The best NEIGHBOURS of every node, its edges taken both ways."""
-    both = edges.select("a", "b", "cosine").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")).distinct()
+def best(edges: DataFrame, most: int) -> DataFrame:
+    """The best ``most`` of every node, its edges taken both ways.  Each task ranks its own
+    edges before they are dealt, so no node brings all its edges to one task."""
+    both = edges.select("a", "b", "cosine", "born").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine", "born"))
+    # an edge found many times has one rank
+    rank = F.dense_rank().over(W.Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))
+    ranked = both.withColumn("_rank", rank).filter(F.col("_rank") <= most)
+    return ranked.groupBy("a", "b").agg(F.max("cosine").alias("cosine"), F.min("born").alias("born"))
 
-    def keep(batches):
-        for node in runs(batches, "a"):
-            yield from node.slice(0, NEIGHBOURS).combine_chunks().to_batches()
 
-    # partial lists first, then the lists of a node together: no node brings all its edges to one task
-    salted = both.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(16)).cast("int"))
-    part = salted.repartition("a", "salt").sortWithinPartitions("a", F.desc("cosine"), "b").select("a", "b", "cosine").mapInArrow(keep, EDGE)
-    return part.repartition("a").sortWithinPartitions("a", F.desc("cosine"), "b").mapInArrow(keep, EDGE)
+def by_width(t: pa.Table):
+    """Rows of one length of vector at a time: they form one matrix."""
+    width = pc.list_value_length(t.column("vector")).to_numpy()
+    for w in np.unique(width):
+        yield t.take(pa.array(np.flatnonzero(width == w))).combine_chunks()
 
 
 def local_join(batches):
-    """Of the members around a node, all pairs above FLOOR."""
-    for node in runs(batches, "pivot"):
-        if node.num_rows < 2:
-            continue
-        ids = node.column("id").combine_chunks()
-        v = matrix(node.column("vector"))
-        s = np.triu(v @ v.T, 1)
-        i, j = np.nonzero(s >= FLOOR)
+    """Of the members around a node, the pairs not compared before that improve the list of
+    one end or are links."""
+    for t in (part for t in whole_runs(batches, "pivot") for part in by_width(t)):
+        ids, pivot = t.column("id").combine_chunks(), t.column("pivot").to_numpy()
+        v, fresh, worst = matrix(t.column("vector")), t.column("fresh").to_numpy(), t.column("worst").to_numpy()
+        cuts = np.flatnonzero(np.r_[True, pivot[1:] != pivot[:-1], True])
+        out = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            s = v[a:b] @ v[a:b].T
+            i, j = np.nonzero(np.triu((fresh[a:b, None] | fresh[None, a:b]) & ((s > np.minimum(worst[a:b, None], worst[None, a:b])) | (s >= COSINE)), 1))
+            out.append((i + a, j + a, s[i, j]))
+        i, j, cosine = (np.concatenate(x) for x in zip(*out, strict=True))
         if len(i):
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)).cast(pa.binary()), ids.take(pa.array(j)).cast(pa.binary()), pa.array(s[i, j])], ["a", "b", "cosine"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)).cast(pa.binary()), ids.take(pa.array(j)).cast(pa.binary()), pa.array(cosine)], ["a", "b", "cosine"])
 
 
 def links_of(edges: DataFrame) -> DataFrame:
@@ -142,14 +151,17 @@ def links_of(edges: DataFrame) -> DataFrame:
     return materialize(shortened(edges.filter(F.col("cosine") >= COSINE).select("a", "b")), "links")
 
 
-def refine(lists: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def refine(lists: DataFrame, nodes: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     """Neighbours of neighbours: the lists of a node, and the nodes that have it in theirs
     (of these at most NEIGHBOURS, the nearest, as their own lists hold the rest).
     Gives the new lists, and the links among all edges found."""
-    reverse = lists.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")
-    around = lists.union(best(reverse)).select(F.col("a").alias("pivot"), F.col("b").alias("id")).distinct()
-    found = materialize(gathered(around.join(nodes.select("id", "vector"), "id").select("id", "vector", "pivot"), "pivot").mapInArrow(local_join, EDGE), "found")
-    new, links = materialize(best(lists.union(found)), "lists"), links_of(found)
+    around = best(lists, 2 * NEIGHBOURS).select(F.col("a").alias("pivot"), F.col("b").alias("id"), (F.col("born") == turn - 1).alias("fresh"))
+    moved = around.filter("fresh").select("pivot").distinct()
+    bound = lists.groupBy(F.col("a").alias("id")).agg(F.when(F.count(F.lit(1)) >= NEIGHBOURS, F.min("cosine")).otherwise(-2.0).alias("worst"))
+    members = around.join(moved, "pivot", "left_semi").join(nodes.select("id", "vector").join(bound, "id"), "id")
+    found = materialize(gathered(members.select("id", "vector", "fresh", "worst", "pivot"), "pivot").mapInArrow(local_join, EDGE).withColumn("cosine", F.round("cosine", 12)), "found")
+    new = materialize(best(lists.union(found.withColumn("born", F.lit(turn))), NEIGHBOURS), "lists")
+    links = links_of(found)
     discard(found)
     return new, links
 
@@ -192,6 +204,25 @@ def audit(nodes: DataFrame, groups: DataFrame, seed: int) -> float:
     return 1.0 if not total["pairs"] else total["found"] / total["pairs"]
 
 
+def descend(nodes: DataFrame, lists: DataFrame | None, links: DataFrame | None, turn: int, bits: int, born: int = 0) -> tuple[DataFrame, DataFrame, int]:
+    """One pass: edges from tables, then rounds until few list entries are new.  An entry
+    has the number of the round it was found in."""
+    new = materialize(first_edges(nodes, TABLES * 2**turn, SEED + turn, bits).withColumn("cosine", F.round("cosine", 12)).withColumn("born", F.lit(born)), "found")
+    lists = materialize(best(new if lists is None else lists.union(new), NEIGHBOURS), "lists")
+    links = links_of(new) if links is None else links.union(links_of(new))
+    discard(new)
+    for _ in range(MOST_ROUNDS):
+        count = lists.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("born") == born).alias("new")).first()
+        if count["new"] <= SETTLED * count["all"]:
+            break
+        born += 1
+        old = lists
+        lists, more = refine(old, nodes, born)
+        links = links.union(more)
+        discard(old)
+    return lists, links, born + 1
+
+
 def near_duplicates(rows: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row (vec_id, embedding, label)."""
     vector = F.col("embedding").cast("array<double>")
@@ -204,16 +235,11 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
         all_rows.filter("id is not null").groupBy("id").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"), F.first("label").alias("label"), F.first("vector").alias("vector")), "nodes"
     )
     n = nodes.count()
-    bits = min(48, max(4, math.ceil(math.log2(max(2, n) / 50))))
-    lists, links, groups = None, None, None
+    # enough to order nearly all rows: what is beside one then has the longest beginning in common, not the next id
+    bits = min(48, math.ceil(math.log2(max(2, n))) + 4)
+    lists, links, groups, born = None, None, None, 0
     for turn in range(MOST_PASSES):
-        new = materialize(first_edges(nodes, TABLES * 2**turn, SEED + turn, bits), "found")
-        lists = materialize(best(new if lists is None else lists.union(new)), "lists")
-        links = links_of(new) if links is None else links.union(links_of(new))
-        discard(new)
-        for _ in range(ROUNDS):
-            lists, more = refine(lists, nodes)
-            links = links.union(more)
+        lists, links, born = descend(nodes, lists, links, turn, bits, born)
         groups = connected_components(links)
         if audit(nodes, groups, turn) >= RECALL:
             break

@@ -95,6 +95,23 @@ def runs(batches, key: str = "unit") -> Iterator[pa.Table]:
         yield rest
 
 
+def whole_runs(batches, key: str) -> Iterator[pa.Table]:
+    """Tables of whole keys, many at a time, from batches sorted by ``key``."""
+    rest = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if rest is None else pa.concat_tables([rest, t])
+        if not t.num_rows:
+            continue
+        keys = t.column(key).to_numpy()
+        cut = int(np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])[-1])
+        if cut:
+            yield t.slice(0, cut).combine_chunks()
+        rest = t.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield rest.combine_chunks()
+
+
 def roots(near: np.ndarray) -> np.ndarray:
     """For a symmetric matrix of links: the least index reachable from each."""
     n = len(near)

@@ -183,6 +183,24 @@ def test_embeddings_links_beyond_the_lists(spark):
     assert {g["vec_id"]: (g["n_links"], g["component_id"]) for g in got} == {i: (int(near[i].sum()) - 1, 0) for i in range(80)}
 
 
+def test_embeddings_pairs_among_unlike_vectors(spark, monkeypatch):
+    """Pairs that two tables mostly miss meet through neighbours, though none of these is near."""
+    monkeypatch.setattr(embedding_dedup, "TABLES", 2)
+    monkeypatch.setattr(embedding_dedup, "audit", lambda *_: 1.0)  # one pass only
+    r = np.random.default_rng(9)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = unit(r.normal(size=(3000, 64)))
+    aside = r.normal(size=(100, 64))
+    aside = unit(aside - (aside * x[:100]).sum(axis=1, keepdims=True) * x[:100])
+    cosine = r.uniform(0.932, 0.95, size=(100, 1))
+    x = np.concatenate([x, cosine * x[:100] + np.sqrt(1 - cosine**2) * aside])
+    near = np.triu(x @ x.T >= 0.6, 1)
+    assert near.sum() <= 110  # nothing but the pairs
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sum(g["n_links"] for g in got) / 200 >= 0.97
+
+
 def katz(rows):
     """The model by plain dictionaries: {id: [score, base, known, tokens]} and probabilities."""
     tokens = {k: [*(t or "").encode().lower().split(), 0] for k, (_, t) in enumerate(rows)}
