@@ -5,8 +5,9 @@ by random hyperplane signs.  Each round compares the neighbours of a vector, its
 those that name it, with one another, and keeps the best found, whatever their cosine, until
 few lists change.  All edges found at the threshold connect groups, also those a list has no room for.  A group may hold more links than a neighbour list: its lists are then
 enlarged to the whole group, compared in blocks, so links and counts within it are exact.
-Recall is audited on a bounded draw of query vectors against all rows; while it is short
-of the target, further tables and rounds are added.
+Recall is audited on a bounded draw of query vectors against all rows, each query with
+links counted once; while it is short of the target, further tables and rounds are added,
+and where the last pass is short of it too, all vectors of a label are compared in blocks.
 
 Only vectors with a label, an id, and finite components not all zero take part; others
 stand alone.  Equal vectors of a label are one node.  Vectors of different length are
@@ -36,7 +37,10 @@ NEIGHBOURS = 10
 SETTLED = 0.01
 MOST_ROUNDS = 12
 BLOCK = 1024
-AUDIT = 256
+#: Drawn nodes with links that are enough, nodes drawn at first, and at most.
+AUDIT = 400
+FIRST_DRAWN = 4096
+MOST_DRAWN = 65536
 RECALL = 0.97
 MOST_PASSES = 4
 SEED = 977
@@ -171,37 +175,53 @@ def similar_vectors(unit: pa.Table) -> np.ndarray:
     return v @ v.T >= COSINE
 
 
-def auditor(ids, labels, vectors, components):
-    """Counts of pairs at the threshold with the query vectors, and of those found."""
+def auditor(keys, own, components, vectors):
+    """For each query vector the links it has among the rows (key, id, component, vector),
+    all by numbers, and how many of them its group holds."""
+    groups = {k: np.flatnonzero(keys == k) for k in np.unique(keys)}
 
     def run(batches):
-        pairs = found = 0
+        links, found = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            label, comp, own = np.array(batch.column(1).to_pylist(), dtype=object), np.array(batch.column(3).to_pylist(), dtype=object), np.array(batch.column(0).to_pylist(), dtype=object)
-            length = np.asarray(batch.column(2).value_lengths())
-            for i, q in enumerate(vectors):
-                rows = np.flatnonzero((label == labels[i]) & (length == len(q)) & (own != ids[i]))
-                if len(rows):
-                    hit = rows[matrix(batch.column(2).take(pa.array(rows))) @ q >= COSINE]
-                    pairs += len(hit)
-                    found += int((comp[hit] == components[i]).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([pairs], pa.int64()), pa.array([found], pa.int64())], ["pairs", "found"])
+            key, ids, comp = (batch.column(i).to_numpy() for i in range(3))
+            for k in np.unique(key):
+                rows = np.flatnonzero(key == k)
+                if k not in groups:
+                    continue
+                v, queries = matrix(batch.column(3).take(pa.array(rows))), groups[k]
+                for q in (queries[a : a + BLOCK] for a in range(0, len(queries), BLOCK)):
+                    near = (v @ np.array([vectors[x] for x in q]).T >= COSINE) & (ids[rows][:, None] != own[q])
+                    links[q] += near.sum(axis=0)
+                    found[q] += (near & (comp[rows][:, None] == components[q])).sum(axis=0)
+        some = np.flatnonzero(links)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(links[some]), pa.array(found[some])], ["query", "links", "found"])
 
     return run
 
 
 def audit(nodes: DataFrame, groups: DataFrame, seed: int) -> float:
-    """Share of the links of at most AUDIT drawn nodes, against all rows, that the groups hold."""
+    """Share of its links, against all rows, that the group of a drawn node holds: the mean
+    over drawn nodes that have links, each counted once.  More are drawn until AUDIT of
+    them have links, or all or MOST_DRAWN are drawn."""
     known = nodes.select("id", "label", "vector").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    drawn = known.orderBy(F.xxhash64("id", F.lit(seed))).limit(AUDIT).collect()
-    if not drawn:
-        return 1.0
-    unit = [np.array(r["vector"]) / np.linalg.norm(r["vector"]) for r in drawn]
-    run = auditor([bytes(r["id"]) for r in drawn], [r["label"] for r in drawn], unit, [bytes(r["component"]) for r in drawn])
-    total = known.select("id", "label", "vector", "component").mapInArrow(run, "pairs long, found long").agg(F.sum("pairs").alias("pairs"), F.sum("found").alias("found")).first()
-    return 1.0 if not total["pairs"] else total["found"] / total["pairs"]
+    numbers = known.select(F.xxhash64("label", F.size("vector")).alias("key"), F.xxhash64("id").alias("own"), F.xxhash64("component").alias("component"), "vector", F.xxhash64("id", F.lit(seed)).alias("draw"))
+    size = FIRST_DRAWN
+    while True:
+        drawn = numbers.orderBy("draw", "own").limit(size).drop("draw").toArrow()
+        if not drawn.num_rows:
+            return 1.0
+        keys, own, components = (drawn.column(i).to_numpy() for i in range(3))
+        vectors: list = [None] * len(keys)
+        width = pc.list_value_length(drawn.column("vector")).to_numpy()
+        for w in np.unique(width):
+            rows = np.flatnonzero(width == w)
+            for i, v in zip(rows, matrix(drawn.column("vector").take(pa.array(rows))), strict=True):
+                vectors[i] = v
+        each = numbers.select("key", "own", "component", "vector").mapInArrow(auditor(keys, own, components, vectors), "query int, links long, found long").groupBy("query").agg((F.sum("found") / F.sum("links")).alias("share"))
+        total = each.agg(F.count(F.lit(1)).alias("linked"), F.avg("share").alias("share")).first()
+        if total["linked"] >= AUDIT or len(keys) < size or size >= MOST_DRAWN:
+            return 1.0 if not total["linked"] else total["share"]
+        size *= 4
 
 
 def descend(nodes: DataFrame, lists: DataFrame | None, links: DataFrame | None, turn: int, bits: int, born: int = 0) -> tuple[DataFrame, DataFrame, int]:
@@ -242,9 +262,11 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
         lists, links, born = descend(nodes, lists, links, turn, bits, born)
         groups = connected_components(links)
         if audit(nodes, groups, turn) >= RECALL:
+            members, group = nodes.select("id", "vector", "weight").join(groups, "id"), "component"
             break
-    members = nodes.select("id", "vector", "weight").join(groups, "id")
-    units = in_blocks(members, "component", BLOCK)
+    else:  # the passes miss too much: all vectors that could be linked are compared
+        members, group = nodes.select("id", "vector", "weight", F.xxhash64("label", F.size("vector")).alias("all")), "all"
+    units = in_blocks(members, group, BLOCK)
     linked = materialize(gathered(units.select("id", "vector", "unit", "side", "both", "weight")).mapInArrow(linker(similar_vectors), LINKED), "linked")
     result = with_least(nodes.select("id", "least", "weight"), linked, "least", "component_id").drop("least")
     component = F.coalesce("component_id", "vec_id").alias("component_id")

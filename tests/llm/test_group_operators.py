@@ -201,6 +201,30 @@ def test_embeddings_pairs_among_unlike_vectors(spark, monkeypatch):
     assert sum(g["n_links"] for g in got) / 200 >= 0.97
 
 
+def scattered_pairs(seed, pairs, crowd):
+    """One group of ``crowd`` near vectors, and pairs."""
+    r = np.random.default_rng(seed)
+    centres = np.concatenate([np.repeat(r.normal(size=(1, 64)), crowd, axis=0), np.repeat(r.normal(size=(pairs, 64)), 2, axis=0)])
+    return [(i, v.tolist(), 0) for i, v in enumerate(centres + 0.1 * r.normal(size=centres.shape))]
+
+
+def test_embeddings_audit_counts_each_node_once(spark):
+    rows = scattered_pairs(10, 40, 300)
+    nodes = spark.createDataFrame([(bytearray(b"%05d" % i), v, str(g)) for i, v, g in rows], "id binary, vector array<double>, label string")
+    crowd = spark.createDataFrame([(bytearray(b"%05d" % i), bytearray(b"00000")) for i in range(300)], "id binary, component binary")
+    assert embedding_dedup.audit(nodes, crowd, 0) == pytest.approx(300 / 380)  # all pairs are missed
+    assert embedding_dedup.audit(nodes.limit(0), crowd, 0) == 1.0
+
+
+def test_embeddings_exact_where_passes_miss(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 32)
+    monkeypatch.setattr(embedding_dedup, "MOST_PASSES", 1)
+    monkeypatch.setattr(embedding_dedup, "first_edges", lambda nodes, *_: nodes.sparkSession.createDataFrame([], embedding_dedup.EDGE))
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(scattered_pairs(11, 30, 50), "vec_id long, embedding array<double>, label int")).collect()
+    want = {i: (49, 0) for i in range(50)} | {i: (1, i - i % 2) for i in range(50, 110)}
+    assert {g["vec_id"]: (g["n_links"], g["component_id"]) for g in got} == want
+
+
 def katz(rows):
     """The model by plain dictionaries: {id: [score, base, known, tokens]} and probabilities."""
     tokens = {k: [*(t or "").encode().lower().split(), 0] for k, (_, t) in enumerate(rows)}
