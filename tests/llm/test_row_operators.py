@@ -137,6 +137,26 @@ def test_personal_data(spark, texts):
     assert sorted(added) == ["account_like", "mail_like", "number_like"]
 
 
+RUNS = {
+    "(555) 123-4567 (555) 765-4321": ["(555) 123-4567", "(555) 765-4321"],
+    "123-45-6789 987-65-4321 111-22-3333": ["123-45-6789", "987-65-4321", "111-22-3333"],
+    "call 10.0.0.1 555-123-4567": ["555-123-4567"],
+    "10.0.0.1 (555) 123-4567": ["(555) 123-4567"],
+    "phone: 555-123-4567 / 555-765-4321": ["555-123-4567", "555-765-4321"],
+    "card 4111 1111 1111 1112 4222 2222 2222 2223": ["4111 1111 1111 1112", "4222 2222 2222 2223"],
+    "call (555) 123-4567": ["(555) 123-4567"],
+    "on 2024-01-02 2024-02-03 2024-03-04": [],
+}
+
+
+def test_personal_numbers_side_by_side(spark):
+    rows = list(enumerate(RUNS))
+    for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        text = rows[r["doc_id"]][1]
+        spans = [s.split(":") for s in r["spans"].split(",") if s]
+        assert [text[int(a) : int(b)] for k, a, b in spans if k == "number_like"] == RUNS[text], text
+
+
 def test_trees_as_sql(spark):
     import numpy as np
 
