@@ -78,6 +78,17 @@ def learn_lexicon(rows: DataFrame) -> dict[int, frozenset[str]]:
     return {k: frozenset(v) for k, v in out.items()}
 
 
+def near_any(places: list[int], others: list[int], most: int = 4) -> int:
+    """How many of ``places`` have one of ``others`` at most ``most`` away; both in order."""
+    if not places or not others:
+        return 0
+    at, other = np.array(places), np.array(others)
+    after = np.searchsorted(other, at)
+    right = np.abs(other[np.minimum(after, len(other) - 1)] - at)
+    left = np.abs(at - other[np.maximum(after - 1, 0)])
+    return int((np.minimum(left, right) <= most).sum())
+
+
 def features(text: str, lexicon: dict[int, frozenset[str]]) -> list[float]:
     lowered = text.lower()
     words = WORDS.findall(lowered)
@@ -90,7 +101,7 @@ def features(text: str, lexicon: dict[int, frozenset[str]]) -> list[float]:
     hidden_bad = sum(1 for h in hidden if re.sub(r"[^a-z]", "", h.translate(PLAIN)) in INSULTS)
     places = [i for i, w in enumerate(words) if w in bad] if bad else []
     you = [i for i, w in enumerate(words) if w in SECOND_PERSON] if places and kinds & SECOND_PERSON else []
-    near = sum(1 for i in places if any(abs(i - j) <= 4 for j in you)) if len(you) < 1000 else len(places)
+    near = near_any(places, you)
     raw = np.bincount(np.frombuffer(text.encode(), dtype=np.uint8), minlength=256)
     size, letters = max(1, int(raw.sum())), max(1, int(raw[65:91].sum() + raw[97:123].sum()))
     hits = len(places) + hidden_bad

@@ -306,6 +306,20 @@ def test_toxicity(spark):
     assert none < 0.7
 
 
+def test_near_second_person_at_every_length():
+    lexicon = {0: frozenset(["zurgle"]), **{k: frozenset() for k in toxicity.STEMS}}
+    r = np.random.default_rng(4)
+    for n_du in (3, 999, 1000, 2500):
+        words = ["du"] * n_du + ["wort"] * 2000
+        r.shuffle(words)
+        words += ["wort"] * 10 + ["zurgle", "wort", "zurgle", "wort", "wort", "wort", "du"]
+        for j in r.choice(len(words) - 20, 30, replace=False):
+            words[j] = "zurgle"
+        you = [j for j, w in enumerate(words) if w == "du"]
+        want = sum(any(abs(i - j) <= 4 for j in you) for i, w in enumerate(words) if w == "zurgle")
+        assert toxicity.features(" ".join(words), lexicon)[toxicity.NAMES.index("near")] == want
+
+
 def test_no_rows(spark, no_docs):
     assert mixing.mix(no_docs).count() == 0
     assert mixing.apply_mix(no_docs).count() == 0
