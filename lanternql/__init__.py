@@ -1 +1,10 @@
-"""A Spark-native analytics engine: SQL dialect, DataFrame operators, sources and streams."""
+"""A Spark-native analytics engine: SQL dialect, DataFrame operators, sources and streams.
+
+Worker functions are pickled by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -33,11 +33,12 @@ def main() -> None:
     elif a.schema:
         print(engine.schema(text).simpleString())
     elif a.tail is not None:
-        print(text_table(spark.createDataFrame(engine.tail(text, a.tail)), a.style))
+        print(*text_table(spark.createDataFrame(engine.tail(text, a.tail), engine.schema(text)), a.style), sep="\n")
     else:
         out = engine.numbered(text) if a.row_number else engine.run(text)
         if isinstance(out, DataFrame):
-            print(text_table(out, a.style))
+            for line in text_table(out, a.style):
+                print(line)
         elif out is not None:
             print(out)
 

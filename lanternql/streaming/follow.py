@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 class GrowingFile(DataSource):
-    """Lines of one file as they are appended; options: path, and tail=true to begin at its end.
+    """Lines of one file as they are appended; options: path, and tail=<n> to begin with its
+    last n lines (true: at its end).
 
     The file is read on the driver, so it must be one the driver sees.
     """
@@ -24,19 +25,35 @@ class GrowingFile(DataSource):
         return "value string"
 
     def simpleStreamReader(self, schema):
-        return GrowingFileReader(self.options["path"], self.options.get("tail", "false").lower() == "true")
+        tail = self.options.get("tail", "false").lower()
+        return GrowingFileReader(self.options["path"], {"true": 0, "false": None}[tail] if tail in ("true", "false") else int(tail))
 
 
 class GrowingFileReader(SimpleDataSourceStreamReader):
     MOST = 16 << 20
 
-    def __init__(self, path: str, tail: bool):
+    def __init__(self, path: str, tail: int | None):
         self.path, self.tail = path, tail
 
     def initialOffset(self):
-        import os
+        return {"byte": 0 if self.tail is None else self.start_of_last(self.tail)}
 
-        return {"byte": os.path.getsize(self.path) if self.tail else 0}
+    def start_of_last(self, n: int) -> int:
+        """Where the last n whole lines begin, found from the end in blocks."""
+        with open(self.path, "rb") as f:
+            at = f.seek(0, 2)
+            ends = 0
+            while at > 0:
+                size = min(1 << 16, at)
+                at -= size
+                f.seek(at)
+                block = f.read(size)
+                while (i := block.rfind(b"\n")) >= 0:
+                    ends += 1
+                    if ends > n:
+                        return at + i + 1
+                    block = block[:i]
+        return 0
 
     def lines(self, start: int, end: int | None):
         with open(self.path, "rb") as f:
@@ -58,7 +75,8 @@ def follow_folder(spark: SparkSession, folder: str, schema: T.StructType | str,
     return spark.readStream.schema(schema).options(**options).format(fmt).load(folder)
 
 
-def follow_file(spark: SparkSession, path: str, tail: bool = False) -> DataFrame:
+def follow_file(spark: SparkSession, path: str, tail: bool | int = False) -> DataFrame:
+    """tail: begin at the end, or with the last so many lines."""
     spark.dataSource.register(GrowingFile)
     return spark.readStream.format("growing_file").option("path", path).option("tail", str(tail).lower()).load()
 
