@@ -26,17 +26,32 @@ def vocabulary(name: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see; a local one only where the session names none."""
+    """The folder all executors see, as the session names it.  Only a local session that names
+    none uses a folder of this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return named or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
 
 
+#: Spark drops the shuffle files of a query once its result is written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: the lineage ends here,
-    and a lost executor costs no more than the stage that reads the files."""
+    and a lost executor costs no more than the stage that reads the files.  The folder goes
+    when the session ends, or earlier by ``discard``."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,152 +1,230 @@
-"""Language-model scoring: a bigram model with Katz backoff.
-
-Counts come from the training documents alone.  Good-Turing discounts apply to counts up
-to K; what they free in a history goes to the words not seen after it, in proportion to
-their unigram probability, by a weight that makes the history's probabilities sum to one:
-
-    P(w | h) = d(c(h,w)) c(h,w) / (c(h) + HELD)          if h w was seen
-    P(w | h) = a(h) P(w)                                 if only h was seen
-    P(w | h) = P(w)                                      otherwise
-    P(w)     = d(c(w)) c(w) / N, or the rest of the mass for all unknown words together
-
-HELD, a hundredth of a count, lets a history back off whose continuations are all
-frequent.  Words are known by 48 bits of a hash.
-
-Counts live in tables partitioned by word: all bigrams that end in w meet in w's part, so
-the part knows c(w), P(w) and every c(h,w); it adds to each document what depends on
-these, and sends to the part of h what a(h) needs.  Parts of frequent words are split by h.
-A task goes through its part in FINE pieces, one after another, and holds the tokens of one
-piece; the number of parts follows the input's splits.
+"""Language-model scoring: Katz backoff up to three words.
+
+Counts come from the training documents alone.  Good-Turing discounts apply to counts up to
+K; what they free after a history goes to the words not seen after it, in proportion to the
+next lower model, by a weight that makes the history's probabilities sum to one:
+
+    P3(w | u v) = d3(c) c(u v w) / (c(u v) + HELD)   if u v w was seen
+                = a(u v) P2(w | v)                   if only u v was seen
+                = P2(w | v)                          otherwise
+    P2(w | v)   = d2(c) c(v w) / (c(v) + HELD)       if v w was seen
+                = a(v) P1(w)                         if only v was seen
+                = P1(w)                              otherwise
+    P1(w)       = d1(c) c(w) / (N + HELD), or the rest for all unknown words together
+
+HELD, a hundredth of a count, is held back at every level, so a history whose continuations
+are all frequent can still back off and the rest for unknown words is never zero.  As unknown
+words are never seen after anything, what is left beside the seen words of a history is at
+least their share: no weight divides by zero, and no probability exceeds one.
+
+Words are known by numbers from a vocabulary of the whole corpus, so two words are never
+taken for one.  A document's text passes through four stages, each of which holds a bounded
+number of tokens in a task:
+
+* flushes of FLUSH_TOKENS tokens: distinct words, and the tokens as places among them;
+* parts of the vocabulary count the words of all flushes and number them;
+* parts of the n-grams count the distinct trigrams of all flushes.  A part holds all trigrams
+  around a middle word, so it knows c(u v w), c(u v), c(v w), c(v) and both weights.  Words of
+  more than half a part's tokens are spread over all parts by the word before; for these,
+  c(v w) and a(v) are added up across parts first;
+* the same parts look up the trigrams of every document, and give sums by document.
+
+Between stages travel rows of integer arrays (``packed``), one for each flush and part, at most
+WAYS parts at a time: beyond that, messages go to groups of parts and are dealt again there.
 
 Null text: as empty, one token (the end).  Null ids: training rows.  Repeated rows count
-each.  No training rows: every word is unknown.  Empty table: empty result.
+each.  Very long texts: a document is one flush of its own.  No training rows: every word is
+unknown.  Empty table: empty result.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
-import pickle
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanternql.llm.common import in_hash_bucket, materialize
+from lanternql.llm.common import discard, in_hash_bucket, materialize
+from lanternql.llm.grouping import spread_join
 
 K = 5
 HELD = 0.01
-END, START = 0, 1
-FLUSH_DOCS = 2048
-FINE = 4
-#: What a task gathers before it writes: documents with sums, and needs for histories.
-MOST_DOCS_HELD = 500_000
-MOST_NEEDS_HELD = 1_000_000
-MASK = np.uint64((1 << 48) - 1)
+ORDER = 3
+FLUSH_TOKENS = 1 << 20
+PART_TOKENS = 2 << 20
+#: Most parts that messages of one flush are dealt to at once.
+WAYS = 2048
+GROUP_DOCS = 500_000
+END = b""
+#: Number of the mark before a document; words are numbered from 1.
+START = 0
+
+TOKENS = "flush long, doc_ids array<long>, held array<boolean>, n array<int>, ids binary, words array<binary>, cuts array<int>, train array<long>"
+WORDS = "kind string, part int, flush long, words array<binary>, ids array<long>, counts array<long>"
+NUMBERED = "flush long, doc_ids array<long>, held array<boolean>, n array<int>, known array<int>, base array<double>, ids binary, names binary, totals binary"
+MESSAGE = "part int, kind string, flushes array<long>, names binary, totals binary, v binary, u binary, w binary, times binary, at binary, docs binary"
+COUNTS = "kind string, part int, names binary, totals binary, v binary, u binary, w binary, c3 binary, c2 binary, keys array<long>, seconds array<long>, thirds array<long>, counts array<long>"
+#: Sums by document; and for bigrams of hot words, what to add to a document's sum if the
+#: bigram was seen (score, beside its discounted count) and if not (unseen, beside the weight).
+RESULTS = "kind string, group int, flush array<long>, doc array<int>, score array<double>, v array<long>, w array<long>, unseen array<double>"
+
+
+# integers on the way
+
+
+def packed(a: np.ndarray) -> bytes:
+    """Non-negative integers: one byte for their width, then zstd of their bytes, first bytes first."""
+    import zstandard
 
-SENT = "part int, flush long, n int, n_train int, blob binary, ids array<long>"
-MADE = "kind string, key long, flush long, n int, n_train int, blob binary, ids array<long>"
+    a = np.asarray(a)
+    most = int(a.max()) if len(a) else 0
+    width = next(k for k in (1, 2, 4, 8) if most < 1 << (8 * k))
+    planes = a.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def unpacked(b: bytes) -> np.ndarray:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, 5))
+    width = b[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), dtype=np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
+
+
+def batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
+    fields = [f.split(" ") for f in schema.split(", ")]
+    types = [pa.list_(kinds[k[6:-1]]) if k.startswith("array<") else kinds[k] for _, k in fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [n for n, _ in fields])
+
+
+def rows_of(batches):
+    """Rows as dicts, one at a time; array columns as numpy arrays where they hold numbers."""
+    for b in batches:
+        columns = {n: b.column(i) for i, n in enumerate(b.schema.names)}
+        for i in range(b.num_rows):
+            out = {}
+            for n, c in columns.items():
+                v = c[i]
+                if not v.is_valid:
+                    out[n] = None
+                elif pa.types.is_list(c.type) and c.type.value_type in (pa.int32(), pa.float64()) or pa.types.is_list(c.type) and c.type.value_type == pa.int64() and not v.values.null_count:
+                    out[n] = v.values.to_numpy()
+                else:
+                    out[n] = v.as_py()
+            yield out
+
 
+def runs_of(rows, key: str):
+    """(key, iterator of its rows) from rows sorted by it."""
+    import itertools
 
-def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    import zstandard
+    for k, own in itertools.groupby(rows, lambda r: r[key]):
+        yield k, own
 
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers spread over all 64 bits."""
+    h = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
-def narrow(h: np.ndarray) -> np.ndarray:
-    """48-bit numbers as rows of six bytes."""
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
 
+# words
 
-def widen(b: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(b), 8), dtype=np.uint8)
-    out[:, :6] = b
-    return out.view("<u8").ravel()
 
+def flusher(n_parts: int):
+    """(doc_id, held, text) -> a row for each flush: its distinct words by part of the
+    vocabulary, their counts in training documents, and the tokens as places among them."""
 
-def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(token hashes, tokens per text): lower-cased words, then END."""
-    import xxhash
+    def flush_row(number: int, docs: list[tuple]) -> tuple:
+        import xxhash
 
-    parts, n = [], []
-    for a in range(0, len(texts), 256):
-        words = [(t or "").encode().lower().split() for t in texts[a : a + 256]]
-        count = [len(w) for w in words]
-        h = np.fromiter((xxhash.xxh3_64_intdigest(w) for ws in words for w in ws), dtype=np.uint64, count=sum(count))
-        parts.append(np.insert(np.maximum(h & MASK, np.uint64(2)), np.cumsum(count), np.uint64(END)))
-        n += [c + 1 for c in count]
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.array(n, dtype=np.int64)
+        place: dict[bytes, int] = {END: 0}
+        tokens = np.fromiter((place.setdefault(w, len(place)) for _, _, ws in docs for w in (*ws, END)), dtype=np.int64)
+        n = np.array([len(ws) + 1 for _, _, ws in docs], dtype=np.int32)
+        held = np.array([h for _, h, _ in docs], dtype=bool)
+        words = list(place)
+        part = np.fromiter((xxhash.xxh3_64_intdigest(w) % n_parts for w in words), dtype=np.int64, count=len(words))
+        order = np.argsort(part, kind="stable")
+        new = np.empty_like(order)
+        new[order] = np.arange(len(order))
+        tokens = new[tokens]
+        train = np.bincount(tokens[np.repeat(~held, n)], minlength=len(words))
+        return (number, [d for d, _, _ in docs], held, n, packed(tokens), [words[i] for i in order], np.searchsorted(part[order], np.arange(n_parts + 1)), train)
 
+    def run(batches):
+        from pyspark import TaskContext
 
-def sums_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys in order, and the sums of each value over them."""
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
-    return (k[first], *[np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values])
+        number = TaskContext.get().partitionId() << 32
+        docs, size = [], 0
+        for b in batches:
+            for doc_id, held, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                # lower case and white space of ASCII alone
+                words = (text.as_py() or "").encode().lower().split()
+                if docs and size + len(words) > FLUSH_TOKENS:
+                    yield batch([flush_row(number, docs)], TOKENS)
+                    docs, size, number = [], 0, number + 1
+                docs.append((doc_id, held, words))
+                size += len(words) + 1
+        if docs:
+            yield batch([flush_row(number, docs)], TOKENS)
 
+    return run
 
-def cut_by_part(part: np.ndarray, n: int):
-    """part is sorted: (part, from, to) of those that occur."""
-    at = np.searchsorted(part, np.arange(n + 1))
-    return [(p, at[p], at[p + 1]) for p in range(n) if at[p] < at[p + 1]]
 
+def asker(batches):
+    """The words of a flush, to the parts of the vocabulary."""
+    for r in rows_of(batches):
+        cuts = r["cuts"]
+        out = [("ask", p, r["flush"], r["words"][a:b], None, r["train"][a:b]) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+        yield batch(out, WORDS)
 
-def parts_of(batches, key: str):
-    """All rows of each key, from batches sorted by it, as lists of dicts."""
-    current, rows = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if rows and row[key] != current:
-                yield current, rows
-                rows = []
-            current = row[key]
-            rows.append(row)
-    if rows:
-        yield current, rows
 
+def word_counter(n_parts: int):
+    """A part of the vocabulary: words are numbered by falling count, and every flush gets the
+    numbers and counts of its words back, in its own order."""
 
-def unigram_counter(n_parts: int):
     def run(batches):
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a in range(0, len(texts), FLUSH_DOCS):
-                h, _ = token_hashes(texts[a : a + FLUSH_DOCS])
-                word, count = np.unique(h, return_counts=True)
-                part = (word % np.uint64(n_parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                word, count, part = word[order], count[order], part[order]
-                cuts = cut_by_part(part, n_parts)
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in cuts], pa.int32()), pa.array([pack(narrow(word[i:j]), count[i:j].astype(np.uint32)) for _, i, j in cuts], pa.binary())], ["part", "blob"])
+        for part, rows in runs_of(rows_of(batches), "part"):
+            place: dict[bytes, int] = {}
+            asked = []
+            counts = np.zeros(1024, dtype=np.int64)
+            for r in rows:
+                at = np.fromiter((place.setdefault(w, len(place)) for w in r["words"]), dtype=np.int64, count=len(r["words"]))
+                if len(place) > len(counts):
+                    counts = np.concatenate([counts, np.zeros(2 * len(place), dtype=np.int64)])
+                counts[at] += r["counts"]
+                asked.append((r["flush"], at))
+            counts = counts[: len(place)]
+            order = np.argsort(-counts, kind="stable")
+            number = np.empty_like(order)
+            number[order] = np.arange(len(order)) * n_parts + part + 1
+            for flush, at in asked:
+                yield batch([("answer", part, flush, None, number[at], counts[at])], WORDS)
+            words = list(place)
+            for a in range(0, len(words), 50_000):
+                yield batch([("word", part, None, words[a : a + 50_000], number[a : a + 50_000], counts[a : a + 50_000])], WORDS)
+            yield batch([("stats", part, None, None, None, [int(counts.sum()), int((counts > 0).sum()), *[int((counts == r).sum()) for r in range(1, K + 2)]])], WORDS)
 
     return run
 
 
-def unigram_merger(batches):
-    """One row per part: its words and counts; tokens, types, types of count 1 to K+1."""
-    for part, rows in parts_of(batches, "part"):
-        got = [unpack(r["blob"]) for r in rows]
-        word, count = sums_by(np.concatenate([widen(w) for w, _ in got]), np.concatenate([c for _, c in got]).astype(np.int64))
-        stats = [int(count.sum()), len(word), *[int((count == r).sum()) for r in range(1, K + 2)]]
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pack(word, count)], pa.binary()), pa.array([stats], pa.list_(pa.int64()))], ["part", "blob", "stats"])
+class Unigrams:
+    """What every task needs to know of all words: a few sums."""
 
+    def __init__(self, stats: list[int]):
+        self.tokens, self.types = stats[0], stats[1]
+        self.d = discounts(stats[2:])
+        freed = sum(r * n * (1 - d) for r, n, d in zip(range(1, K + 1), stats[2:], self.d, strict=False))
+        self.unknown = (freed + HELD) / (self.tokens + HELD)
 
-def frequent(least: float):
-    def run(batches):
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                word, count = unpack(blob)
-                often = count > least
-                yield pa.RecordBatch.from_arrays([pa.array(word[often].astype(np.int64)), pa.array(count[often])], ["word", "count"])
+    def probability(self, count: np.ndarray) -> np.ndarray:
+        return np.where(count > 0, discounted(count, self.d) / (self.tokens + HELD), self.unknown)
 
-    return run
+    def base(self, count: np.ndarray) -> np.ndarray:
+        return np.log10((count + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
 
 
 def discounts(of_count: list[int]) -> np.ndarray:
@@ -165,287 +243,444 @@ def discounted(count: np.ndarray, d: np.ndarray) -> np.ndarray:
     return count * np.concatenate([[0.0], d, [1.0]])[np.minimum(count, K + 1)]
 
 
-class Unigrams:
-    """What every part needs to know of all words."""
+def numberer(uni: Unigrams):
+    """A flush with the answers to it: tokens as places among the numbers of its words, the
+    frequent ones first, and by document the known tokens and the base score."""
 
-    def __init__(self, stats: list[int], hot: dict[int, int]):
-        self.tokens, self.types = stats[0], stats[1]
-        self.d = discounts(stats[2:])
-        low = sum(r * n * (1 - d) for r, n, d in zip(range(1, K + 1), stats[2:], self.d, strict=False))
-        self.unknown = low / self.tokens if self.tokens else 1.0
-        self.hot_words = np.array(sorted(hot), dtype=np.uint64)
-        self.hot_counts = np.array([hot[w] for w in sorted(hot)], dtype=np.int64)
-
-    def probability(self, count: np.ndarray) -> np.ndarray:
-        # without any count up to K nothing is freed: an unknown word then gets half a count
-        unknown = self.unknown or 0.5 / (self.tokens + 0.5)
-        return np.where(count > 0, discounted(count, self.d) / max(1, self.tokens), unknown)
+    def run(batches):
+        for _, rows in runs_of(rows_of(batches), "flush"):
+            own = next(rows)
+            answers = list(rows)  # by part, as the words are
+            names, totals = (np.concatenate([r[k] for r in answers]) for k in ("ids", "counts"))
+            order = np.argsort(-totals, kind="stable")
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
+            tokens = unpacked(own["blob"])
+            n = own["n"]
+            c = totals[tokens]
+            first = np.cumsum(n) - n
+            known = np.add.reduceat((c > 0).astype(np.int32), first)
+            base = np.add.reduceat(uni.base(c), first)
+            yield batch([(own["flush"], list(own["doc_ids"]), list(own["held"]), n, known, base, packed(place[tokens]), packed(names[order]), packed(totals[order]))], NUMBERED)
 
-    def hot(self, word: np.ndarray) -> np.ndarray:
-        return np.isin(word, self.hot_words)
+    return run
 
 
-def bigram_sender(n_parts: int, uni: Unigrams):
-    """Tokens of each flush, by part: distinct (word, history) with the documents they are in.
-    Training documents come first in a flush, so the number of a document tells its kind."""
+# trigrams
+
+
+class Dealer:
+    """Where trigrams go: by the middle word, or by the first two where it is hot."""
+
+    def __init__(self, n_parts: int, hot: int):
+        self.n_parts, self.hot = n_parts, hot
+
+    def part(self, names: np.ndarray, totals: np.ndarray, v: np.ndarray, u: np.ndarray) -> np.ndarray:
+        h = mixed(names)
+        own = np.where(totals[v] > self.hot, mixed((h[v] ^ (h[u] >> np.uint64(1))).astype(np.uint64)), h[v])
+        return (own % np.uint64(self.n_parts)).astype(np.int64)
+
+
+def trigrams(row: dict, start_total: int, only_training: bool):
+    """names, totals, u, v, w and document of every token of a flush."""
+    names, totals, tokens = unpacked(row["names"]), unpacked(row["totals"]), unpacked(row["ids"])
+    names, totals = np.append(names, START), np.append(totals, start_total)
+    n, mark = row["n"].astype(np.int64), len(names) - 1
+    doc = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
+    v = np.where(at > 0, np.r_[mark, tokens[:-1]], mark)
+    u = np.where(at > 1, np.r_[mark, mark, tokens[:-2]][: len(tokens)], mark)
+    if only_training:
+        keep = ~np.asarray(row["held"], dtype=bool)[doc]
+        return names, totals, u[keep], v[keep], tokens[keep], doc[keep]
+    return names, totals, u, v, tokens, doc
+
+
+def messages(names, totals, u, v, w, times, at, docs, flushes, part, kind):
+    """Rows of MESSAGE from trigram occurrences (sorted here): a dictionary of the words in
+    each, and the distinct trigrams with how often, or with the documents, they occur."""
+    width = np.int64(len(names))
+    by_name = np.argsort(names, kind="stable")
+    rank = np.empty_like(by_name)
+    rank[by_name] = np.arange(len(by_name))
+    names, totals = names[by_name], totals[by_name]
+    u, v, w = rank[u], rank[v], rank[w]
+    if width < 1 << 20:
+        key = (v * width + u) * width + w
+        order = np.argsort(key, kind="stable")
+        order = order[np.argsort(part[order], kind="stable")]
+    else:
+        order = np.lexsort((w, u, v, part))
+    u, v, w, part = u[order], v[order], w[order], part[order]
+    new = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1])]) if len(u) else np.zeros(0, np.int64)
+    if docs is None:
+        number = np.add.reduceat(times[order], new) if len(new) else new
+    else:
+        number, docs, at = np.diff(np.r_[new, len(u)]), docs[order], at[order]
+    u, v, w = u[new], v[new], w[new]
+    own = part[new]
+    starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+    seen = np.zeros(len(names), dtype=bool)
+    local = np.empty(len(names), dtype=np.int64)
+    out = []
+    for a, b in zip(starts, np.r_[starts[1:], len(own)], strict=True):
+        seen[u[a:b]] = seen[v[a:b]] = seen[w[a:b]] = True
+        used = np.flatnonzero(seen)
+        seen[used] = False
+        local[used] = np.arange(len(used))
+        held = (None, None)
+        if docs is not None:
+            i, j = new[a], new[b] if b < len(new) else len(docs)
+            held = (packed(at[i:j]), packed(docs[i:j]))
+        out.append((int(own[a]), kind, flushes, packed(names[used]), packed(totals[used]), packed(local[v[a:b]]), packed(local[u[a:b]]), packed(local[w[a:b]]), packed(number[a:b]), *held))
+    return out
+
+
+def sender(dealer: Dealer, start_total: int, only_training: bool, ways: int):
+    """The trigrams of a flush, to parts, or to groups of parts where these are many."""
 
     def run(batches):
-        from pyspark import TaskContext
-
-        flush = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            ids, held, texts = (c.to_pylist() for c in batch.columns)
-            for a in range(0, len(texts), FLUSH_DOCS):
-                order = sorted(range(a, min(a + FLUSH_DOCS, len(texts))), key=lambda i: held[i])  # noqa: B023
-                n_train = sum(not held[i] for i in order)
-                w, n = token_hashes([texts[i] for i in order])
-                h = np.empty_like(w)
-                h[1:] = w[:-1]
-                h[np.cumsum(n) - n] = np.uint64(START)
-                doc = np.repeat(np.arange(len(n), dtype=np.uint16), n)
-                mixed = np.where(uni.hot(w), w + h * np.uint64(31), w)
-                part = (mixed % np.uint64(n_parts) * np.uint64(FINE) + mixed // np.uint64(n_parts) % np.uint64(FINE)).astype(np.int32)
-                del mixed
-                by = np.lexsort((h, w, part))
-                w, h, doc, part = w[by], h[by], doc[by], part[by]
-                rows = [(int(flush % n_parts) * FINE, flush, len(n), n_train, pack(n), [ids[i] for i in order])]
-                for p, i, j in cut_by_part(part, n_parts * FINE):
-                    pw, ph = w[i:j], h[i:j]
-                    pair = np.flatnonzero(np.r_[True, (pw[1:] != pw[:-1]) | (ph[1:] != ph[:-1])])
-                    word = np.flatnonzero(np.r_[True, pw[pair][1:] != pw[pair][:-1]])
-                    times = np.diff(np.r_[pair, j - i])
-                    rows.append((p, flush, len(n), n_train, pack(narrow(pw[pair][word]), np.diff(np.r_[word, len(pair)]).astype(np.uint32), narrow(ph[pair]), times.astype(np.uint16 if times.max() < 65536 else np.uint32), doc[i:j]), None))
-                flush += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())), strict=True)], ["part", "flush", "n", "n_train", "blob", "ids"])
+        for r in rows_of(batches):
+            names, totals, u, v, w, doc = trigrams(r, start_total, only_training)
+            if not len(u):
+                continue
+            part = dealer.part(names, totals, v, u) // ways
+            if only_training:
+                out = messages(names, totals, u, v, w, np.ones(len(u), dtype=np.int64), None, None, [], part, "count")
+            else:
+                out = messages(names, totals, u, v, w, None, np.zeros(len(u), dtype=np.int64), doc, [r["flush"]], part, "look")
+            for a in range(0, len(out), 64):
+                yield batch(out[a : a + 64], MESSAGE)
 
     return run
 
 
-def made(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["kind", "key", "flush", "n", "n_train", "blob", "ids"])
+class Pile:
+    """Messages opened and put together, under one dictionary."""
 
+    def __init__(self):
+        self.parts: list[list[np.ndarray]] = [[] for _ in range(8)]
+        self.flushes: list[int] = []
+        self.size, self.words = 0, 0
 
-class Gathered:
-    """Sums of documents by flush, and needs by part; written out when they grow large."""
+    def add(self, r: dict) -> None:
+        names, totals, v, u, w, times = (unpacked(r[k]) for k in ("names", "totals", "v", "u", "w", "times"))
+        got = [names, totals, v + self.words, u + self.words, w + self.words, times]
+        if r["docs"] is not None:
+            got += [unpacked(r["at"]) + len(self.flushes), unpacked(r["docs"])]
+            self.flushes += list(r["flushes"])
+        for held, more in zip(self.parts, got, strict=False):
+            held.append(more)
+        self.words += len(names)
+        self.size += int(times.sum()) if r["docs"] is not None else len(times)
 
-    def __init__(self, n_parts: int):
-        self.n_parts = n_parts
-        self.sums: dict[int, list] = {}
-        self.docs = 0
-        self.needs: list[tuple[np.ndarray, np.ndarray, int]] = []
-        self.n_needs = 0
+    def opened(self):
+        """names (sorted), totals, v, u, w, times, at, docs."""
+        cat = [np.concatenate(p) if p else np.zeros(0, np.int64) for p in self.parts]
+        names, first, place = np.unique(cat[0], return_index=True, return_inverse=True)
+        return (names, cat[1][first], *(place[x] for x in cat[2:5]), *cat[5:])
 
-    def add(self, flush: int, n: int, n_train: int, *sums: np.ndarray) -> None:
-        held = self.sums.get(flush)
-        if held is None:
-            self.sums[flush] = [n, n_train, *sums]
-            self.docs += n
-        else:
-            for have, more in zip(held[2:], sums, strict=True):
-                have += more
-
-    def need(self, history: np.ndarray, doc: np.ndarray, flush: int) -> None:
-        self.needs.append((history, doc, flush))
-        self.n_needs += len(doc)
-
-    def rows(self, last: bool = False) -> list[tuple]:
-        out = []
-        if last or self.docs > MOST_DOCS_HELD:
-            out += [("score", flush, flush, held[0], held[1], pack(*held[2:]), None) for flush, held in self.sums.items()]
-            self.sums, self.docs = {}, 0
-        if self.needs and (last or self.n_needs > MOST_NEEDS_HELD):
-            history = np.concatenate([x for x, _, _ in self.needs])
-            doc = np.concatenate([d for _, d, _ in self.needs])
-            flushes = np.array([f for _, _, f in self.needs], dtype=np.int64)
-            number = np.repeat(np.arange(len(flushes), dtype=np.int32), [len(d) for _, d, _ in self.needs])
-            to = (history % np.uint64(self.n_parts)).astype(np.int32)
-            o = np.argsort(to, kind="stable")
-            out += [("need", q, 0, 0, 0, pack(narrow(history[o[i:j]]), doc[o[i:j]], number[o[i:j]], flushes), None) for q, i, j in cut_by_part(to[o], self.n_parts)]
-            self.needs, self.n_needs = [], 0
-        return out
-
-
-def part_worker(n_parts: int, uni: Unigrams):
-    """One piece of a part after another: counts of its bigrams, and from these
-    score: per flush and document, sums that need nothing else;
-    history: per history, seen counts 1..K and the unigram mass seen after it;
-    need: unseen bigrams of documents, to be weighed by their history;
-    stats: bigrams of count 1..K+1."""
-
-    def work(rows: list[dict], gathered: Gathered) -> list[tuple]:
-        out = [("doc", r["flush"], r["flush"], r["n"], r["n_train"], r["blob"], r["ids"]) for r in rows if r["ids"] is not None]
-        rows = [r for r in rows if r["ids"] is None]
-        if not rows:
-            return out
-        words, hists, times, trains, docs, spans, at = [], [], [], [], [], [], 0
-        for r in rows:
-            word, pairs, hist, n, doc = unpack(r.pop("blob"))
-            words.append(np.repeat(widen(word), pairs))
-            hists.append(widen(hist))
-            n = n.astype(np.int32)
-            trains.append(np.add.reduceat((doc < r["n_train"]).astype(np.int32), np.cumsum(n) - n))
-            times.append(n)
-            docs.append(doc)
-            spans.append((at, at + len(n)))
-            at += len(n)
-        w, h, train = np.concatenate(words), np.concatenate(hists), np.concatenate(trains)
-        del words, hists, trains
-        order = np.lexsort((h, w))
-        w, h = w[order], h[order]
-        new = np.r_[True, (w[1:] != w[:-1]) | (h[1:] != h[:-1])]
-        pair = np.cumsum(new, dtype=np.int32) - 1
-        count = np.bincount(pair, train[order]).astype(np.int64)
-        of_row = np.empty(len(w), dtype=np.int32)
-        of_row[order] = pair
-        pw, ph = w[new], h[new]
-        del w, h, train, order, pair, new
-        new_word = np.r_[True, pw[1:] != pw[:-1]]
-        word_of_pair = np.cumsum(new_word) - 1
-        c_word = np.bincount(word_of_pair, count).astype(np.int64)
-        known_hot = uni.hot(pw[new_word])
-        if known_hot.any():
-            c_word[known_hot] = uni.hot_counts[np.searchsorted(uni.hot_words, pw[new_word][known_hot])]
-        cw = c_word[word_of_pair]
-        p_word = uni.probability(cw)
-        is_word = pw != np.uint64(END)
-
-        # sums that one more occurrence of the pair adds to its document
-        base = np.log10(cw + 0.5)
-        with np.errstate(divide="ignore"):
-            plain = np.where(count > 0, np.log10(np.maximum(count, 1)), np.log10(p_word)) - np.where(is_word & (cw > 0), np.log10(cw + HELD), 0.0)
-        low = np.where(count <= K, count, 0)
-        for r, (a, b), n, doc in zip(rows, spans, times, docs, strict=True):
-            each = np.repeat(of_row[a:b], n)
-            size = r["n"]
-            tally = np.bincount(doc * (K + 1) + low[each], minlength=size * (K + 1)).reshape(size, K + 1)[:, 1:]
-            known = np.bincount(doc, cw[each] > 0, size)
-            gathered.add(r["flush"], size, r["n_train"], np.bincount(doc, base[each], size), np.bincount(doc, plain[each], size), known.astype(np.uint32), tally.astype(np.uint32))
-            unseen = np.flatnonzero(count[each] == 0)
-            if len(unseen):
-                gathered.need(ph[each[unseen]], doc[unseen], r["flush"])
-        seen = np.flatnonzero(count > 0)
-        if len(seen):
-            hist, mass, *few = sums_by(ph[seen], p_word[seen], *[(count[seen] == r).astype(np.int64) for r in range(1, K + 1)])
-            to = (hist % np.uint64(n_parts)).astype(np.int64)
-            o = np.argsort(to, kind="stable")
-            hist, mass, few = hist[o], mass[o], np.stack(few)[:, o].astype(np.uint32)
-            out += [("history", q, 0, 0, 0, pack(narrow(hist[i:j]), mass[i:j], *[f[i:j].astype(np.uint8 if f[i:j].max() < 256 else np.uint32) for f in few]), None) for q, i, j in cut_by_part(to[o], n_parts)]
-        out.append(("stats", 0, 0, 0, 0, None, [int((count == r).sum()) for r in range(1, K + 2)]))
-        return out
 
-    def run(batches):
-        gathered = Gathered(n_parts)
-        for _, rows in parts_of(batches, "part"):
-            out = work(rows, gathered) + gathered.rows()
-            if out:
-                yield made(out)
-        out = gathered.rows(last=True)
-        if out:
-            yield made(out)
+def redealer(dealer: Dealer):
+    """Messages of a group of parts, a pile at a time, to the parts."""
 
-    return run
+    def dealt(pile: Pile):
+        names, totals, v, u, w, times, at, docs = pile.opened()
+        if not len(docs):
+            return messages(names, totals, u, v, w, times, None, None, [], dealer.part(names, totals, v, u), "count")
+        u, v, w = (np.repeat(x, times) for x in (u, v, w))
+        return messages(names, totals, u, v, w, None, at, docs, pile.flushes, dealer.part(names, totals, v, u), "look")
 
+    def run(batches):
+        pile = Pile()
+        for r in rows_of(batches):
+            pile.add(r)
+            if pile.size >= FLUSH_TOKENS:
+                yield batch(dealt(pile), MESSAGE)
+                pile = Pile()
+        if pile.size:
+            yield batch(dealt(pile), MESSAGE)
 
-def history_worker(d: np.ndarray):
-    """Adds to each document the weights of the histories it backs off from."""
+    return run
 
-    def weights(rows: list[dict]):
-        got = [unpack(r["blob"]) for r in rows if r["kind"] == "history"]
-        hist, mass, *few = sums_by(np.concatenate([widen(g[0]) for g in got]), *[np.concatenate([g[k] for g in got]).astype(float) for k in range(1, K + 2)])
-        free = HELD + sum(r * (1 - d[r - 1]) * few[r - 1] for r in range(1, K + 1))
-        return hist, np.log10(free / np.maximum(1 - mass, 1e-300))
 
-    def written(found: list[tuple]) -> list[tuple]:
-        """(flush, doc, weight) arrays -> a row for each flush."""
-        flush, doc, value = (np.concatenate(x) for x in zip(*found, strict=True))
-        o = np.argsort(flush, kind="stable")
-        flush, doc, value = flush[o], doc[o], value[o]
-        first = np.flatnonzero(np.r_[True, flush[1:] != flush[:-1]])
-        out = []
-        for i, j in zip(first, [*first[1:], len(flush)], strict=True):
-            who, total = sums_by(doc[i:j], value[i:j])
-            out.append(("weight", int(flush[i]), int(flush[i]), 0, 0, pack(who, total), None))
-        return out
+def counter(hot: int):
+    """All trigrams of a part, counted: a row "table" of parallel arrays; a row "spread" of
+    the bigrams of hot middle words, which other parts hold too; count-of-counts."""
 
     def run(batches):
-        for _, rows in parts_of(batches, "key"):
-            if not any(r["kind"] == "history" for r in rows):
-                continue
-            hist, weight = weights(rows)
-            found, n = [], 0
+        for part, rows in runs_of(rows_of(batches), "part"):
+            pile = Pile()
             for r in rows:
-                if r["kind"] != "need":
-                    continue
-                need, doc, number, flushes = unpack(r["blob"])
-                need = widen(need)
-                at = np.minimum(np.searchsorted(hist, need), len(hist) - 1)
-                hit = np.flatnonzero(hist[at] == need)
-                if len(hit):
-                    found.append((flushes[number[hit]], doc[hit], weight[at[hit]]))
-                    n += len(hit)
-                if n > MOST_NEEDS_HELD:
-                    yield made(written(found))
-                    found, n = [], 0
-            if found:
-                yield made(written(found))
+                pile.add(r)
+            names, totals, v, u, w, times, *_ = pile.opened()
+            width = np.int64(len(names))
+            order = np.argsort((v * width + u) * width + w, kind="stable") if width < 1 << 20 else np.lexsort((w, u, v))
+            v, u, w, times = v[order], u[order], w[order], times[order]
+            new = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
+            c3 = np.add.reduceat(times, new)
+            v, u, w = v[new], u[new], w[new]
+            pair, of = np.unique(v * width + w, return_inverse=True)
+            total = np.bincount(of, c3).astype(np.int64)
+            spread = totals[pair // width] > hot
+            none = [None] * 4
+            yield batch([("table", part, packed(names), packed(totals), packed(v), packed(u), packed(w), packed(c3), packed(total[of]), *none)], COUNTS)
+            if spread.any():
+                keys, seconds = pair[spread] // width, pair[spread] % width
+                yield batch([("spread", part, *[None] * 7, names[keys], names[seconds], totals[seconds], total[spread])], COUNTS)
+            stats = [[int((x == r).sum()) for r in range(1, K + 2)] for x in (c3, total[~spread])]
+            yield batch([("stats", part, *[None] * 7, None, None, stats[0], stats[1])], COUNTS)
 
     return run
 
 
-def finisher(uni: Unigrams, d: np.ndarray, train_docs: int):
+class Table:
+    """The counts of a part, with weights: looks up trigrams."""
+
+    def __init__(self, row: dict, fixes: list[dict], uni: Unigrams, d2: np.ndarray, d3: np.ndarray, hot: int, order: int):
+        self.names, self.totals, v, u, w, c3, c2 = (unpacked(row[k]) for k in ("names", "totals", "v", "u", "w", "c3", "c2"))
+        self.uni, self.d2, self.d3, self.hot, self.order = uni, d2, d3, hot, order
+        self.width = width = np.int64(len(self.names))
+        self.pair, first, of = np.unique(v * width + w, return_index=True, return_inverse=True)
+        self.c2 = c2[first]
+        a2_hot: dict[int, float] = {}
+        for f in fixes:  # what all parts together know of hot words
+            if f["kind"] == "fix":
+                at = np.searchsorted(self.pair, np.searchsorted(self.names, f["keys"]) * width + np.searchsorted(self.names, f["seconds"]))
+                self.c2[at] = f["counts"]
+            else:
+                a2_hot |= dict(zip(np.searchsorted(self.names, f["keys"]).tolist(), f["weights"], strict=True))
+        # weights of middle words
+        heads = self.pair // width
+        self.a2 = np.ones(len(self.names))
+        known, start = np.unique(heads, return_index=True)
+        if len(known):
+            seen = self.c2
+            p1 = uni.probability(self.totals[self.pair % width])
+            free = np.add.reduceat(seen - discounted(seen, d2), start) + HELD
+            self.a2[known] = free / (self.totals[known] + HELD) / np.maximum(1 - np.add.reduceat(p1, start), uni.unknown)
+        for i, weight in a2_hot.items():
+            self.a2[i] = weight
+        p2 = discounted(self.c2, d2) / (self.totals[heads] + HELD) if len(heads) else np.zeros(0)
+        # weights of the first two words
+        self.history, start = np.unique(v * width + u, return_index=True)
+        self.tri, self.c3 = (v * width + u) * width + w, c3
+        if width >= 1 << 21:  # such numbers do not fit: the place of the history stands for it
+            self.tri = np.searchsorted(self.history, v * width + u) * width + w
+        self.wide = width >= 1 << 21
+        self.c12 = self.a3 = np.zeros(0)
+        if len(self.history):
+            self.c12 = np.add.reduceat(c3, start)
+            free = np.add.reduceat(c3 - discounted(c3, d3), start) + HELD
+            least = self.a2[self.history // width] * uni.unknown
+            self.a3 = free / (self.c12 + HELD) / np.maximum(1 - np.add.reduceat(p2[of], start), least)
+
+    def log_probability(self, names, totals, v, u, w):
+        """log10 P of each trigram; and of those whose bigram other parts must tell: their places,
+        log10 P1 of the last word, and the count of the middle one."""
+        at = np.searchsorted(self.names, names)
+        at = np.where((at < len(self.names)) & (self.names[np.minimum(at, len(self.names) - 1)] == names), at, -1) if len(self.names) else np.full(len(names), -1)
+        width = self.width
+
+        def place(keys, wanted, fine):
+            i = np.searchsorted(keys, wanted)
+            return np.where(fine & (i < len(keys)) & (keys[np.minimum(i, max(0, len(keys) - 1))] == wanted), i, -1) if len(keys) else np.full(len(wanted), -1)
+
+        tv, tu, tw = at[v], at[u], at[w]
+        out = np.zeros(len(v))
+        if self.order > 2:
+            h = place(self.history, tv * width + tu, (tv >= 0) & (tu >= 0))
+            t = place(self.tri, (h if self.wide else tv * width + tu) * width + tw, (h >= 0) & (tw >= 0))
+            seen = t >= 0
+            out[seen] = np.log10(discounted(self.c3[t[seen]], self.d3)) - np.log10(self.c12[h[seen]] + HELD)
+            back = ~seen & (h >= 0)
+            out[back] = np.log10(self.a3[h[back]])
+            rest = np.flatnonzero(~seen)
+        else:
+            rest = np.arange(len(v))
+        cv, cw = totals[v[rest]], totals[w[rest]]
+        p1 = np.log10(self.uni.probability(cw))
+        if self.order < 2:
+            out[rest] += p1
+            return out, None
+        p = place(self.pair, tv[rest] * width + tw[rest], (tv[rest] >= 0) & (tw[rest] >= 0))
+        weight = np.where((cv > 0) & (tv[rest] >= 0), np.log10(self.a2[tv[rest]]) if len(self.names) else 0.0, 0.0)
+        unseen = weight + p1
+        two = p >= 0
+        known = unseen.copy()
+        known[two] = np.log10(discounted(self.c2[p[two]], self.d2)) - np.log10(cv[two] + HELD)
+        # a hot word's bigram and weight may be known to other parts alone
+        ask = ~two & (cv > self.hot)
+        out[rest[~ask]] += known[~ask]
+        if not ask.any():
+            return out, None
+        return out, (rest[ask], p1[ask], cv[ask])
+
+
+def evaluator(uni: Unigrams, d2, d3, hot: int, order: int, n_groups: int):
+    """Sums of log10 probabilities by document, from the trigrams of all documents and the
+    tables of their parts."""
+
     def run(batches):
-        logs = np.log10(d)
-        start = math.log10(train_docs + HELD) if train_docs else 0.0
-        denominator = math.log10(uni.tokens + 0.5 * (uni.types + 1))
-        for _, rows in parts_of(batches, "key"):
-            doc = next(r for r in rows if r["kind"] == "doc")
-            n = unpack(doc["blob"])[0]
-            base, score, known = np.zeros(len(n)), np.full(len(n), -start), np.zeros(len(n), dtype=np.int64)
-            # in a fixed order, so that reruns give the same last digit
-            parts = sorted((r["kind"], r["blob"]) for r in rows if r["kind"] != "doc")
-            for kind, blob in parts:
-                got = unpack(blob)
-                if kind == "score":
-                    base += got[0]
-                    score += got[1] + got[3] @ logs
-                    known += got[2]
-                else:
-                    score[got[0]] += got[1]
-            held = np.arange(len(n)) >= doc["n_train"]
+        for _, rows in runs_of(rows_of(batches), "part"):
+            table, fixes, sums, size = None, [], [], 0
+            for r in rows:
+                if r["kind"] in ("fix", "weight"):
+                    fixes.append(r)
+                    continue
+                if r["kind"] == "table":
+                    table = Table(r, fixes, uni, d2, d3, hot, order)
+                    continue
+                if table is None:  # no training text has come here
+                    table = Table({k: packed(np.zeros(0, np.int64)) for k in ("names", "totals", "v", "u", "w", "c3", "c2")}, [], uni, d2, d3, hot, order)
+                names, totals, v, u, w, times, at, docs = (unpacked(r[k]) for k in ("names", "totals", "v", "u", "w", "times", "at", "docs"))
+                score, ask = table.log_probability(names, totals, v, u, w)
+                flushes = np.asarray(r["flushes"])
+                most = int(docs.max()) + 1
+                total = np.bincount(at * most + docs, np.repeat(score, times))
+                some = np.unique(at * most + docs)
+                sums.append((flushes[some // most], some % most, total[some]))
+                size += len(some)
+                if ask is not None:
+                    places, unseen, cv = ask
+                    number = times[places]
+                    own = np.repeat((np.cumsum(times) - times)[places] - (np.cumsum(number) - number), number) + np.arange(int(number.sum()))
+                    yield ("ask", 0, flushes[at[own]], docs[own], np.repeat(-np.log10(cv + HELD), number), np.repeat(names[v[places]], number), np.repeat(names[w[places]], number), np.repeat(unseen, number))
+                if size > 1 << 20:
+                    yield from grouped(sums)
+                    sums, size = [], 0
+            if sums:
+                yield from grouped(sums)
+
+    def grouped(sums: list) -> list[tuple]:
+        flush, doc, total = (np.concatenate(x) for x in zip(*sums, strict=True))
+        group = ((flush >> 32) * 31 + (flush & 0xFFFFFFFF)) % n_groups
+        order = np.argsort(group, kind="stable")
+        group, flush, doc, total = group[order], flush[order], doc[order], total[order]
+        cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        return [("sums", int(group[a]), flush[a:b], doc[a:b], total[a:b], None, None, None) for a, b in zip(cut, np.r_[cut[1:], len(group)], strict=True)]
+
+    return lambda batches: (batch([row], RESULTS) for row in run(batches))
+
+
+def finisher(batches):
+    """The sums of a group of flushes, in a fixed order, beside what is known of their documents."""
+    for _, rows in runs_of(rows_of(batches), "group"):
+        own: dict[int, dict] = {}
+        for r in rows:
+            if r["kind"] == "docs":
+                own[int(r["flush"][0])] = r | {"score": np.zeros(len(r["n"]))}
+                continue
+            order = np.argsort(r["flush"], kind="stable")
+            flush, doc, score = r["flush"][order], r["doc"][order], r["score"][order]
+            cut = np.flatnonzero(np.r_[True, flush[1:] != flush[:-1]])
+            for a, b in zip(cut, np.r_[cut[1:], len(flush)], strict=True):
+                held = own[int(flush[a])]["score"]
+                held += np.bincount(doc[a:b], score[a:b], minlength=len(held))
+        for flush in sorted(own):
+            r = own[flush]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc["ids"], pa.int64()), pa.array(held), pa.array(n), pa.array(known), pa.array(np.full(len(n), uni.tokens)), pa.array(base - n * denominator), pa.array(score)],
-                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                [pa.array(list(r["doc_ids"]), pa.int64()), pa.array(list(r["held"]), pa.bool_()), pa.array(r["n"].astype(np.int64)), pa.array(r["known"].astype(np.int64)), pa.array(r["base"]), pa.array(r["score"])],
+                ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
             )
 
-    return run
+
+def discounted_column(count: Column, d: np.ndarray) -> Column:
+    factor = F.lit(1.0)
+    for r in range(K, 0, -1):
+        factor = F.when(count == r, float(d[r - 1])).otherwise(factor)
+    return count * factor
+
+
+def hot_weights(bigrams: DataFrame, uni: Unigrams, d2: np.ndarray) -> DataFrame:
+    """(v, weight) of the words whose bigrams many parts hold."""
+    p1 = discounted_column(F.col("cw"), uni.d) / (uni.tokens + HELD)
+    sums = bigrams.groupBy("v").agg(F.sum("c").alias("all"), F.sum(F.col("c") - discounted_column(F.col("c"), d2)).alias("free"), F.sum(p1).alias("mass"))
+    return sums.select("v", ((F.col("free") + HELD) / (F.col("all") + HELD) / F.greatest(1 - F.col("mass"), F.lit(uni.unknown))).alias("weight"))
+
+
+def by(frame: DataFrame, n: int, key: str, *then: str) -> DataFrame:
+    """Rows of a numbered key together, dealt evenly over at most ``n`` tasks, in order."""
+    return frame.repartitionById(n, F.pmod(F.col(key), F.lit(n)).cast("int")).sortWithinPartitions(key, *then)
+
+
+def added(rows: DataFrame, kind: str, column: str, n: int) -> list[int]:
+    """Sums over parts of a short array of counts, made where the parts are."""
+    sums = rows.filter(F.col("kind") == kind).select(*[F.sum(F.col(column)[i]) for i in range(n)]).head()
+    return [x or 0 for x in sums]
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
+    ``order``: words of the longest n-gram, 1 to 3."""
+    if order not in (1, 2, 3):
+        raise ValueError("order must be 1, 2 or 3")
     held = F.coalesce(in_hash_bucket("doc_id", 5, 1), F.lit(False)).alias("held")
     rows = docs.select("doc_id", held, "text")
-    n_parts = max(8, 3 * rows.rdd.getNumPartitions() // 2)
-
-    def by(frame: DataFrame, key: str, *then: str) -> DataFrame:
-        """Keys are numbers of parts, dealt evenly; sorted, so that sums are the same in reruns."""
-        return frame.repartitionById(n_parts, F.pmod(F.col(key), F.lit(n_parts)).cast("int")).sortWithinPartitions(key, *then)
-
-    counted = rows.filter("not held").select("text").mapInArrow(unigram_counter(n_parts), "part int, blob binary")
-    unigrams = materialize(by(counted, "part").mapInArrow(unigram_merger, "part int, blob binary, stats array<long>"), "unigrams")
-    stats = [sum(x) for x in zip(*[r["stats"] for r in unigrams.select("stats").collect()], strict=True)] or [0] * (K + 3)
-    # words of over a quarter of an even part's tokens: fewer than four for each part
-    hot = unigrams.select("blob").mapInArrow(frequent(stats[0] / (4 * n_parts)), "word long, count long").collect()
-    uni = Unigrams(stats, {r["word"]: r["count"] for r in hot})
-    train_docs = next((r["count"] for r in hot if r["word"] == END), None)
-    if train_docs is None:
-        train_docs = rows.filter("not held").count()
-
-    sent = rows.mapInArrow(bigram_sender(n_parts, uni), SENT)
-    pieces = sent.repartitionById(n_parts, F.expr(f"part div {FINE}").cast("int")).sortWithinPartitions("part", "flush")
-    worked = materialize(pieces.mapInArrow(part_worker(n_parts, uni), MADE), "bigrams")
-    of_count = [sum(x) for x in zip(*[r["ids"] for r in worked.filter("kind = 'stats'").select("ids").collect()], strict=True)] or [0] * (K + 1)
-    d = discounts(of_count)
-    weighed = by(worked.filter("kind in ('history', 'need')"), "key", "kind").mapInArrow(history_worker(d), MADE)
-    together = worked.filter("kind in ('doc', 'score')").union(weighed)
-    return by(together, "key").mapInArrow(finisher(uni, d, train_docs), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    n_words = max(8, rows.rdd.getNumPartitions())
+
+    tokens = materialize(rows.mapInArrow(flusher(n_words), TOKENS), "tokens")
+    asked = tokens.select("flush", "words", "cuts", "train").mapInArrow(asker, WORDS)
+    vocabulary = materialize(by(asked, n_words, "part", "flush").mapInArrow(word_counter(n_words), WORDS), "unigrams")
+    uni = Unigrams(added(vocabulary, "stats", "counts", K + 3))
+    size = tokens.select(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("all"), F.size("n").alias("docs"), F.size(F.filter("held", lambda h: ~h)).alias("train")).agg(F.sum("all"), F.sum("docs"), F.sum("train")).head()
+    all_tokens, n_docs, train_docs = (int(x or 0) for x in size)
+    n_parts, n_groups = max(8, -(-all_tokens // PART_TOKENS)), max(8, -(-n_docs // GROUP_DOCS))
+    hot = PART_TOKENS // 2
+    dealer = Dealer(n_parts, hot)
+    ways = 1 if n_parts <= WAYS else -(-n_parts // WAYS)
+
+    nothing = lambda kind: F.lit(None).cast(kind)
+    flushes = tokens.select("flush", F.lit(-1).alias("part"), "doc_ids", "held", "n", F.col("ids").alias("blob"), nothing("array<long>").alias("ids"), nothing("array<long>").alias("counts"))
+    answers = vocabulary.filter("kind = 'answer'").select("flush", "part", nothing("array<long>"), nothing("array<boolean>"), nothing("array<int>"), nothing("binary"), "ids", "counts")
+    together = flushes.union(answers)
+    numbered = materialize(together.repartition(n_words, "flush").sortWithinPartitions("flush", "part").mapInArrow(numberer(uni), NUMBERED), "numbered")
+    discard(tokens)
+
+    def delivered(only_training: bool) -> DataFrame:
+        sent = numbered.select("flush", "held", "n", "ids", "names", "totals").mapInArrow(sender(dealer, train_docs, only_training, ways), MESSAGE)
+        if ways > 1:
+            sent = by(sent, WAYS, "part").mapInArrow(redealer(dealer), MESSAGE)
+        return sent
+
+    counts = materialize(by(delivered(True), n_parts, "part").mapInArrow(counter(hot), COUNTS), "ngrams")
+    d3, d2_counts = discounts(added(counts, "stats", "thirds", K + 1)), added(counts, "stats", "counts", K + 1)
+    spread = counts.filter("kind = 'spread'").select("part", F.inline(F.arrays_zip("keys", "seconds", "thirds", "counts"))).toDF("part", "v", "w", "cw", "c")
+    bigrams = None
+    if counts.filter("kind = 'spread'").head(1):
+        bigrams = materialize(spread.groupBy("v", "w").agg(F.sum("c").alias("c"), F.first("cw").alias("cw")), "bigrams")
+        more = bigrams.filter(F.col("c") <= K + 1).groupBy("c").count().collect()
+        for r in more:
+            d2_counts[r["c"] - 1] += r["count"]
+    d2 = discounts(d2_counts)
+
+    parts = counts.filter("kind = 'table'").select("part", F.lit("table").alias("kind"), F.lit(1).alias("_order"), "names", "totals", "v", "u", "w", "c3", "c2", nothing("binary").alias("times"), nothing("binary").alias("at"), nothing("binary").alias("docs"), nothing("array<long>").alias("flushes"), nothing("array<long>").alias("keys"), nothing("array<long>").alias("seconds"), nothing("array<long>").alias("counts"), nothing("array<double>").alias("weights"))
+    blank = lambda **given: [given.get(f.name, nothing(f.dataType)).alias(f.name) for f in parts.schema]
+    look = delivered(False).select(*blank(**{k: F.col(k) for k in ("part", "kind", "names", "totals", "v", "u", "w", "times", "at", "docs", "flushes")}, _order=F.lit(2)))
+    everything = parts.union(look)
+    if bigrams is not None:
+        column = lambda name: F.transform("all", lambda x: x[name])
+        whole = spread.select("part", "v", "w").join(bigrams.select("v", "w", "c"), ["v", "w"]).groupBy("part").agg(F.collect_list(F.struct("v", "w", "c")).alias("all"))
+        fix = whole.select(*blank(part=F.col("part"), kind=F.lit("fix"), _order=F.lit(0), keys=column("v"), seconds=column("w"), counts=column("c")))
+        weights = hot_weights(bigrams, uni, d2)
+        own = spread.select("part", "v").distinct().join(weights, "v").groupBy("part").agg(F.collect_list(F.struct("v", "weight")).alias("all"))
+        weight = own.select(*blank(part=F.col("part"), kind=F.lit("weight"), _order=F.lit(0), keys=column("v"), weights=column("weight")))
+        everything = everything.union(fix).union(weight)
+    results = materialize(by(everything, n_parts, "part", "_order").drop("_order").mapInArrow(evaluator(uni, d2, d3, hot, order, n_groups), RESULTS), "sums")
+    sums = results.filter("kind = 'sums'").select("group", "flush", "doc", "score")
+    if bigrams is not None:
+        asks = results.filter("kind = 'ask'").select(F.inline(F.arrays_zip("flush", "doc", "score", "v", "w", "unseen")))
+        told = spread_join(asks.join(bigrams.select("v", "w", "c"), ["v", "w"], "left"), weights, "v", "flush")
+        value = F.coalesce(F.log10(discounted_column(F.col("c"), d2)) + F.col("score"), F.log10("weight") + F.col("unseen"))
+        each = told.groupBy("flush", "doc").agg(F.sum(value).alias("score"))
+        sums = sums.union(each.groupBy("flush").agg(F.collect_list(F.struct("doc", "score")).alias("all")).select(group_of(F.col("flush"), n_groups), F.transform("all", lambda x: F.col("flush")), F.transform("all", lambda x: x["doc"]), F.transform("all", lambda x: x["score"])))
+    known = numbered.select(group_of(F.col("flush"), n_groups).alias("group"), F.lit(0).alias("_order"), F.lit("docs").alias("kind"), F.array("flush").alias("flush"), nothing("array<int>").alias("doc"), nothing("array<double>").alias("score"), "doc_ids", "held", "n", "known", "base")
+    rest = sums.select("group", F.lit(1), F.lit("sums"), "flush", "doc", "score", *[nothing(k) for k in ("array<long>", "array<boolean>", "array<int>", "array<int>", "array<double>")])
+    # sums come in one order, so that reruns give the same last digit
+    ended = by(known.union(rest), n_groups, "group", "_order", "flush", "doc").drop("_order").mapInArrow(finisher, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return ended.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(uni.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def group_of(flush: Column, n_groups: int) -> Column:
+    """The group that ends a flush; evaluator has the same."""
+    return ((F.shiftright(flush, 32) * 31 + flush.bitwiseAND(F.lit(0xFFFFFFFF))) % n_groups).cast("int")

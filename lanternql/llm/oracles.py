@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lanternql.llm import quality
+from lanternql.llm import lm_scoring, quality
 from lanternql.llm.secret_scan import RULES
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -81,5 +81,59 @@ SELECT t.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0
 FROM t LEFT JOIN a ON t.doc_id = a.doc_id"""
 
 
+#: crc32 of a number's text, as zlib has it.
+CRC = """
+crc_table AS (
+  SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) r(n)),
+crc AS (
+  SELECT doc_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS crc
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), crc_table)"""
+
+
+def katz_sql() -> str:
+    """The model by joins on words themselves; discounts, weights and all three levels."""
+    k, spare = lm_scoring.K, lm_scoring.HELD
+
+    def factors(level: str) -> str:
+        """d(1..K) of a table of counts c."""
+        numbers = ", ".join(f"count(*) FILTER (c = {r})" for r in range(1, k + 2))
+        common = f"CASE WHEN n[1] > 0 THEN {k + 1.0} * n[{k + 1}] / n[1] ELSE 1.0 END"
+        d = [f"CASE WHEN n[{r}] > 0 AND common < 1 THEN ({r + 1.0} * n[{r + 1}] / ({r} * nullif(n[{r}], 0)) - common) / nullif(1 - common, 0) ELSE 0 END" for r in range(1, k + 1)]
+        fit = ", ".join(f"CASE WHEN x[{r}] > 0 AND x[{r}] < 1 THEN x[{r}] ELSE {(r - 0.5) / r!r} END" for r in range(1, k + 1))
+        return f"SELECT [{fit}] AS d FROM (SELECT [{', '.join(d)}] AS x FROM (SELECT *, {common} AS common FROM (SELECT [{numbers}] AS n FROM {level})))"
+
+    cut = lambda c, d: f"({c} * CASE WHEN {c} <= {k} THEN {d}[{c}] ELSE 1 END)"
+    return rf"""
+WITH {CRC},
+d AS (
+  SELECT row_number() OVER () AS row, documents.doc_id, coalesce(crc % 5 = 1, false) AS held,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS words
+  FROM documents LEFT JOIN crc ON documents.doc_id = crc.doc_id),
+t AS (SELECT row, held, unnest(list_append(words, ' end')) AS w, generate_subscripts(list_append(words, ' end'), 1) AS i FROM d),
+g AS (SELECT row, held, w, coalesce(lag(w) OVER o, ' start') AS v, coalesce(lag(w, 2) OVER o, ' start') AS u FROM t WINDOW o AS (PARTITION BY row ORDER BY i)),
+one AS (SELECT w, count(*) AS c FROM g WHERE NOT held GROUP BY w),
+two AS (SELECT v, w, count(*) AS c FROM g WHERE NOT held GROUP BY v, w),
+three AS (SELECT u, v, w, count(*) AS c FROM g WHERE NOT held GROUP BY u, v, w),
+d1 AS ({factors("one")}), d2 AS ({factors("two")}), d3 AS ({factors("three")}),
+n AS (SELECT coalesce(sum(c), 0)::DOUBLE AS n, count(*) AS types FROM one),
+unknown AS (SELECT (coalesce((SELECT sum(c - {cut("c", "d")}) FROM one, d1), 0) + {spare}) / (n + {spare}) AS rest FROM n),
+p1 AS (SELECT w, {cut("c", "d")} / (n + {spare}) AS p FROM one, d1, n),
+h1 AS (
+  SELECT v, sum(two.c) AS c, (sum(two.c - {cut("two.c", "d")}) + {spare}) / (sum(two.c) + {spare}) / greatest(1 - sum(p), any_value(rest)) AS a
+  FROM two JOIN p1 ON two.w = p1.w, d2, unknown GROUP BY v),
+p2 AS (SELECT two.v, w, {cut("two.c", "d")} / (h1.c + {spare}) AS p FROM two JOIN h1 ON two.v = h1.v, d2),
+h2 AS (
+  SELECT u, three.v, sum(three.c) AS c, (sum(three.c - {cut("three.c", "d")}) + {spare}) / (sum(three.c) + {spare}) / greatest(1 - sum(p), any_value(h1.a) * any_value(rest)) AS a
+  FROM three JOIN p2 ON three.v = p2.v AND three.w = p2.w JOIN h1 ON three.v = h1.v, d3, unknown GROUP BY u, three.v),
+p3 AS (SELECT three.u, three.v, w, {cut("three.c", "d")} / (h2.c + {spare}) AS p FROM three JOIN h2 ON three.u = h2.u AND three.v = h2.v, d3),
+s AS (
+  SELECT g.row, one.c AS c, log10(coalesce(p3.p, coalesce(h2.a, 1) * coalesce(p2.p, coalesce(h1.a, 1) * coalesce(p1.p, rest)))) AS score
+  FROM g LEFT JOIN one ON g.w = one.w LEFT JOIN p1 ON g.w = p1.w LEFT JOIN p2 ON g.v = p2.v AND g.w = p2.w LEFT JOIN h1 ON g.v = h1.v
+    LEFT JOIN h2 ON g.u = h2.u AND g.v = h2.v LEFT JOIN p3 ON g.u = p3.u AND g.v = p3.v AND g.w = p3.w, unknown)
+SELECT any_value(d.doc_id) AS doc_id, any_value(held) AS held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n)::BIGINT AS train_tokens,
+  sum(log10((coalesce(c, 0) + 0.5) / (n + 0.5 * (types + 1)))) AS base_score, sum(score) AS score
+FROM s JOIN d ON s.row = d.row, n GROUP BY s.row"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op2_quality_divergence": quality_sql(), "op4_secret_scan": secrets_sql()}
+    return {"op2_quality_divergence": quality_sql(), "op3_katz_scores": katz_sql(), "op4_secret_scan": secrets_sql()}

@@ -1,6 +1,7 @@
 """Mixing, packing, joins, near-duplicates and models against brute force on small tables."""
 
 import collections
+import functools
 import math
 import zlib
 
@@ -225,57 +226,105 @@ def test_embeddings_exact_where_passes_miss(spark, monkeypatch):
     assert {g["vec_id"]: (g["n_links"], g["component_id"]) for g in got} == want
 
 
-def katz(rows):
-    """The model by plain dictionaries: {id: [score, base, known, tokens]} and probabilities."""
+def katz(rows, order=3):
+    """The model by plain dictionaries: results and probabilities."""
     tokens = {k: [*(t or "").encode().lower().split(), 0] for k, (_, t) in enumerate(rows)}
     held = {k: i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for k, (i, _) in enumerate(rows)}
-    one, two, hist, after = collections.Counter(), collections.Counter(), collections.Counter(), collections.defaultdict(set)
+    one, two, three = (collections.Counter() for _ in range(3))
+    after1, after2 = collections.defaultdict(set), collections.defaultdict(set)
     for k, ws in tokens.items():
-        h = 1
+        u = v = 1
         for w in [] if held[k] else ws:
             one[w] += 1
-            two[h, w] += 1
-            hist[h] += 1
-            after[h].add(w)
-            h = w
-    numbers = lambda c: [sum(v == r for v in c.values()) for r in range(1, lm_scoring.K + 2)]
-    d1, d2 = lm_scoring.discounts(numbers(one)), lm_scoring.discounts(numbers(two))
+            two[v, w] += 1
+            three[u, v, w] += 1
+            after1[v].add(w)
+            after2[u, v].add(w)
+            u, v = v, w
+    hist1, hist2 = collections.Counter(), collections.Counter()
+    for (v, _), c in two.items():
+        hist1[v] += c
+    for (u, v, _), c in three.items():
+        hist2[u, v] += c
+    numbers = lambda c: [sum(x == r for x in c.values()) for r in range(1, lm_scoring.K + 2)]
+    d1, d2, d3 = (lm_scoring.discounts(numbers(c)) for c in (one, two, three))
     cut = lambda c, d: c * (d[c - 1] if c <= lm_scoring.K else 1)
-    n = sum(one.values())
-    p1 = {w: cut(c, d1) / n for w, c in one.items()}
-    rest = 1 - sum(p1.values())
-
-    def p(w, h):
-        if two[h, w]:
-            return cut(two[h, w], d2) / (hist[h] + lm_scoring.HELD)
-        if not hist[h]:
-            return p1.get(w, rest)
-        free = 1 - sum(cut(two[h, x], d2) / (hist[h] + lm_scoring.HELD) for x in after[h])
-        return free / (1 - sum(p1[x] for x in after[h])) * p1.get(w, rest)
+    n, spare = sum(one.values()), lm_scoring.HELD
+    unknown = (sum(c - cut(c, d1) for c in one.values()) + spare) / (n + spare)
+    p1 = lambda w: cut(one[w], d1) / (n + spare) if one[w] else unknown
+
+    @functools.cache
+    def a1(v):
+        free = (sum(two[v, w] - cut(two[v, w], d2) for w in after1[v]) + spare) / (hist1[v] + spare)
+        return free / max(1 - sum(p1(w) for w in after1[v]), unknown)
+
+    def p2(w, v):
+        if order < 2 or not hist1[v]:
+            return p1(w)
+        return cut(two[v, w], d2) / (hist1[v] + spare) if two[v, w] else a1(v) * p1(w)
+
+    @functools.cache
+    def a2(u, v):
+        free = (sum(three[u, v, w] - cut(three[u, v, w], d3) for w in after2[u, v]) + spare) / (hist2[u, v] + spare)
+        return free / max(1 - sum(p2(w, v) for w in after2[u, v]), a1(v) * unknown)
+
+    def p(w, u, v):
+        if order < 3 or not hist2[u, v]:
+            return p2(w, v)
+        return cut(three[u, v, w], d3) / (hist2[u, v] + spare) if three[u, v, w] else a2(u, v) * p2(w, v)
 
     out = []
     for k, ws in tokens.items():
         score = base = known = 0
-        h = 1
+        u = v = 1
         for w in ws:
-            score += math.log10(p(w, h))
+            score += math.log10(p(w, u, v))
             base += math.log10((one[w] + 0.5) / (n + 0.5 * (len(one) + 1)))
             known += one[w] > 0
-            h = w
+            u, v = v, w
         out.append((str(rows[k][0]), held[k], len(ws), known, n, base, score))
-    return out, p, one, hist
+    return out, p, one, hist2
 
 
-def test_katz(spark, texts, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "FLUSH_DOCS", 7)
-    rows = texts + [(7000 + i, " ".join(["the same words again"] * (i + 1))) for i in range(25)]
-    want, p, one, hist = katz(rows)
-    for h in [1, b"the", *list(hist)[5:8]]:
-        assert sum(p(w, h) for w in [*one, b"never seen"]) == pytest.approx(1, abs=1e-9)
-    got = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+def same_scores(got, want):
+    assert len(got) == len(want)
     for a, b in zip(sorted((str(x[0]), *x[1:]) for x in got), sorted(want), strict=True):
         assert a[:5] == b[:5]
         assert a[5:] == pytest.approx(b[5:], rel=1e-9)
+        assert a[6] <= 0
+
+
+@pytest.mark.parametrize(("flush", "part", "ways"), [(1 << 20, 2 << 20, 2048), (300, 4000, 2048), (700, 300, 5)])
+def test_katz(spark, texts, monkeypatch, flush, part, ways):
+    """One flush and part; many, with hot words spread over parts; and messages dealt twice."""
+    for name, value in (("FLUSH_TOKENS", flush), ("PART_TOKENS", part), ("WAYS", ways), ("GROUP_DOCS", 9)):
+        monkeypatch.setattr(lm_scoring, name, value)
+    rows = texts + [(7000 + i, " ".join(["the same words again"] * (i + 1))) for i in range(25)]
+    rows += [(7100 + i, rows[i][1]) for i in range(20)]  # the same texts, some held out
+    want, p, one, hist = katz(rows)
+    for u, v in [(1, 1), (b"the", b"same"), *list(hist)[5:8]]:
+        assert sum(p(w, u, v) for w in [*one, b"never seen"]) == pytest.approx(1, abs=1e-9)
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, part int, flush string").repartition(3)
+    same_scores(lm_scoring.score(df).collect(), want)
+
+
+@pytest.mark.parametrize("order", [1, 2])
+def test_katz_lower_orders(spark, texts, order):
+    want, *_ = katz(texts, order)
+    same_scores(lm_scoring.score(spark.createDataFrame(texts, "doc_id long, text string").repartition(2), order).collect(), want)
+
+
+def test_katz_where_little_is_left(spark):
+    """Histories whose continuations hold nearly all mass, and no training text at all."""
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1]
+    train = [i for i in range(200) if i not in held]
+    rows = [(i, "a a a a") for i in train[:40]] + [(held[0], "a b"), (held[1], "b b a"), (held[2], "a a a a"), (held[3], None)]
+    want, p, one, _ = katz(rows)
+    for u, v in [(1, 1), (1, b"a"), (b"a", b"a")]:
+        assert sum(p(w, u, v) for w in [*one, b"never seen"]) == pytest.approx(1, abs=1e-9)
+    same_scores(lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect(), want)
+    none = [(held[0], "x y"), (held[1], "")]
+    same_scores(lm_scoring.score(spark.createDataFrame(none, "doc_id long, text string")).collect(), katz(none)[0])
 
 
 def test_discounts_fall_back():
