@@ -59,8 +59,8 @@ END = b""
 #: Number of the mark before a document; words are numbered from 1.
 START = 0
 
-TOKENS = "flush long, doc_ids array<long>, held array<boolean>, n array<int>, ids binary, words array<binary>, cuts array<int>, train array<long>"
-WORDS = "kind string, part int, flush long, words array<binary>, ids array<long>, counts array<long>"
+TOKENS = "flush long, doc_ids array<long>, held array<boolean>, n array<int>, ids binary, parts array<int>, words array<binary>, train array<binary>"
+WORDS = "kind string, part int, flush long, words binary, ids binary, counts binary, sums array<long>"
 NUMBERED = "flush long, doc_ids array<long>, held array<boolean>, n array<int>, known array<int>, base array<double>, ids binary, names binary, totals binary"
 MESSAGE = "part int, kind string, flushes array<long>, names binary, totals binary, v binary, u binary, w binary, times binary, at binary, docs binary"
 COUNTS = "kind string, part int, names binary, totals binary, v binary, u binary, w binary, c3 binary, c2 binary, keys array<long>, seconds array<long>, thirds array<long>, counts array<long>"
@@ -131,9 +131,60 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def ascending(a: np.ndarray) -> bytes:
+    """Numbers in order: their steps are packed."""
+    return packed(np.diff(a, prepend=0) if len(a) else a)
+
+
+def stepped(outer: np.ndarray, inner: np.ndarray) -> bytes:
+    """Numbers in order wherever ``outer`` stays the same: steps within, whole ones at each start."""
+    if not len(inner):
+        return packed(inner)
+    same = np.r_[False, outer[1:] == outer[:-1]]
+    return packed(np.where(same, inner - np.r_[0, inner[:-1]], inner))
+
+
+def unstepped(outer: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    if not len(steps):
+        return steps
+    whole = np.cumsum(steps)
+    start = np.flatnonzero(np.r_[True, outer[1:] != outer[:-1]])
+    before = whole[start] - steps[start]
+    return whole - np.repeat(before, np.diff(np.r_[start, len(steps)]))
+
+
+def words_packed(words: list[bytes]) -> bytes:
+    """Words hold no white space, so it parts them; one more stands first, as END is empty."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(b" " + b" ".join(words))
+
+
+def words_unpacked(b: bytes) -> list[bytes]:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(b)[1:].split(b" ")
+
+
 # words
 
 
+def runs_in(a: np.ndarray):
+    """(from, to) of the runs of equal values."""
+    if not len(a):
+        return []
+    cut = np.flatnonzero(np.r_[True, a[1:] != a[:-1], True])
+    return list(zip(cut[:-1], cut[1:], strict=True))
+
+
+class Places(dict):
+    """Keys by the order they came in."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 def flusher(n_parts: int):
     """(doc_id, held, text) -> a row for each flush: its distinct words by part of the
     vocabulary, their counts in training documents, and the tokens as places among them."""
@@ -141,8 +192,12 @@ def flusher(n_parts: int):
     def flush_row(number: int, docs: list[tuple]) -> tuple:
         import xxhash
 
-        place: dict[bytes, int] = {END: 0}
-        tokens = np.fromiter((place.setdefault(w, len(place)) for _, _, ws in docs for w in (*ws, END)), dtype=np.int64)
+        place = Places()
+        flat: list[bytes] = []
+        for _, _, ws in docs:
+            flat += ws
+            flat.append(END)
+        tokens = np.fromiter(map(place.__getitem__, flat), dtype=np.int64, count=len(flat))
         n = np.array([len(ws) + 1 for _, _, ws in docs], dtype=np.int32)
         held = np.array([h for _, h, _ in docs], dtype=bool)
         words = list(place)
@@ -152,7 +207,10 @@ def flusher(n_parts: int):
         new[order] = np.arange(len(order))
         tokens = new[tokens]
         train = np.bincount(tokens[np.repeat(~held, n)], minlength=len(words))
-        return (number, [d for d, _, _ in docs], held, n, packed(tokens), [words[i] for i in order], np.searchsorted(part[order], np.arange(n_parts + 1)), train)
+        own = part[order]
+        cuts = [(int(own[a]), a, b) for a, b in runs_in(own)]
+        words = [words[i] for i in order]
+        return (number, [d for d, _, _ in docs], held, n, packed(tokens), [p for p, _, _ in cuts], [words_packed(words[a:b]) for _, a, b in cuts], [packed(train[a:b]) for _, a, b in cuts])
 
     def run(batches):
         from pyspark import TaskContext
@@ -174,39 +232,30 @@ def flusher(n_parts: int):
     return run
 
 
-def asker(batches):
-    """The words of a flush, to the parts of the vocabulary."""
-    for r in rows_of(batches):
-        cuts = r["cuts"]
-        out = [("ask", p, r["flush"], r["words"][a:b], None, r["train"][a:b]) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
-        yield batch(out, WORDS)
-
-
 def word_counter(n_parts: int):
     """A part of the vocabulary: words are numbered by falling count, and every flush gets the
     numbers and counts of its words back, in its own order."""
 
     def run(batches):
         for part, rows in runs_of(rows_of(batches), "part"):
-            place: dict[bytes, int] = {}
-            asked = []
+            place, asked = Places(), []
             counts = np.zeros(1024, dtype=np.int64)
             for r in rows:
-                at = np.fromiter((place.setdefault(w, len(place)) for w in r["words"]), dtype=np.int64, count=len(r["words"]))
+                words = words_unpacked(r["words"])
+                at = np.fromiter(map(place.__getitem__, words), dtype=np.int64, count=len(words))
                 if len(place) > len(counts):
                     counts = np.concatenate([counts, np.zeros(2 * len(place), dtype=np.int64)])
-                counts[at] += r["counts"]
+                counts[at] += unpacked(r["train"])
                 asked.append((r["flush"], at))
             counts = counts[: len(place)]
             order = np.argsort(-counts, kind="stable")
             number = np.empty_like(order)
             number[order] = np.arange(len(order)) * n_parts + part + 1
             for flush, at in asked:
-                yield batch([("answer", part, flush, None, number[at], counts[at])], WORDS)
-            words = list(place)
-            for a in range(0, len(words), 50_000):
-                yield batch([("word", part, None, words[a : a + 50_000], number[a : a + 50_000], counts[a : a + 50_000])], WORDS)
-            yield batch([("stats", part, None, None, None, [int(counts.sum()), int((counts > 0).sum()), *[int((counts == r).sum()) for r in range(1, K + 2)]])], WORDS)
+                yield batch([("answer", part, flush, None, packed(number[at]), packed(counts[at]), None)], WORDS)
+            yield batch([("word", part, None, words_packed([w for w in place]), packed(number), packed(counts), None)], WORDS)
+            sums = [int(counts.sum()), int((counts > 0).sum()), *[int((counts == r).sum()) for r in range(1, K + 2)]]
+            yield batch([("stats", part, None, None, None, None, sums)], WORDS)
 
     return run
 
@@ -251,7 +300,7 @@ def numberer(uni: Unigrams):
         for _, rows in runs_of(rows_of(batches), "flush"):
             own = next(rows)
             answers = list(rows)  # by part, as the words are
-            names, totals = (np.concatenate([r[k] for r in answers]) for k in ("ids", "counts"))
+            names, totals = (np.concatenate([unpacked(r[k]) for r in answers]) for k in ("ids", "counts"))
             order = np.argsort(-totals, kind="stable")
             place = np.empty_like(order)
             place[order] = np.arange(len(order))
@@ -305,10 +354,9 @@ def messages(names, totals, u, v, w, times, at, docs, flushes, part, kind):
     rank[by_name] = np.arange(len(by_name))
     names, totals = names[by_name], totals[by_name]
     u, v, w = rank[u], rank[v], rank[w]
-    if width < 1 << 20:
-        key = (v * width + u) * width + w
-        order = np.argsort(key, kind="stable")
-        order = order[np.argsort(part[order], kind="stable")]
+    if width < 1 << 20 and part.max(initial=0) < 1 << 16:
+        order = np.argsort((v * width + u) * width + w)
+        order = order[np.argsort(part[order].astype(np.uint16), kind="stable")]
     else:
         order = np.lexsort((w, u, v, part))
     u, v, w, part = u[order], v[order], w[order], part[order]
@@ -319,11 +367,10 @@ def messages(names, totals, u, v, w, times, at, docs, flushes, part, kind):
         number, docs, at = np.diff(np.r_[new, len(u)]), docs[order], at[order]
     u, v, w = u[new], v[new], w[new]
     own = part[new]
-    starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
     seen = np.zeros(len(names), dtype=bool)
     local = np.empty(len(names), dtype=np.int64)
     out = []
-    for a, b in zip(starts, np.r_[starts[1:], len(own)], strict=True):
+    for a, b in runs_in(own):
         seen[u[a:b]] = seen[v[a:b]] = seen[w[a:b]] = True
         used = np.flatnonzero(seen)
         seen[used] = False
@@ -332,7 +379,8 @@ def messages(names, totals, u, v, w, times, at, docs, flushes, part, kind):
         if docs is not None:
             i, j = new[a], new[b] if b < len(new) else len(docs)
             held = (packed(at[i:j]), packed(docs[i:j]))
-        out.append((int(own[a]), kind, flushes, packed(names[used]), packed(totals[used]), packed(local[v[a:b]]), packed(local[u[a:b]]), packed(local[w[a:b]]), packed(number[a:b]), *held))
+        lv, lu, lw = local[v[a:b]], local[u[a:b]], local[w[a:b]]
+        out.append((int(own[a]), kind, flushes, ascending(names[used]), packed(totals[used]), ascending(lv), stepped(lv, lu), stepped(lv * len(used) + lu, lw), packed(number[a:b]), *held))
     return out
 
 
@@ -355,6 +403,13 @@ def sender(dealer: Dealer, start_total: int, only_training: bool, ways: int):
     return run
 
 
+def opened(r: dict):
+    """names, totals, v, u, w of a row."""
+    names, v = np.cumsum(unpacked(r["names"])), np.cumsum(unpacked(r["v"]))
+    u = unstepped(v, unpacked(r["u"]))
+    return names, unpacked(r["totals"]), v, u, unstepped(v * len(names) + u, unpacked(r["w"]))
+
+
 class Pile:
     """Messages opened and put together, under one dictionary."""
 
@@ -364,7 +419,8 @@ class Pile:
         self.size, self.words = 0, 0
 
     def add(self, r: dict) -> None:
-        names, totals, v, u, w, times = (unpacked(r[k]) for k in ("names", "totals", "v", "u", "w", "times"))
+        names, totals, v, u, w = opened(r)
+        times = unpacked(r["times"])
         got = [names, totals, v + self.words, u + self.words, w + self.words, times]
         if r["docs"] is not None:
             got += [unpacked(r["at"]) + len(self.flushes), unpacked(r["docs"])]
@@ -415,7 +471,7 @@ def counter(hot: int):
                 pile.add(r)
             names, totals, v, u, w, times, *_ = pile.opened()
             width = np.int64(len(names))
-            order = np.argsort((v * width + u) * width + w, kind="stable") if width < 1 << 20 else np.lexsort((w, u, v))
+            order = np.argsort((v * width + u) * width + w) if width < 1 << 20 else np.lexsort((w, u, v))
             v, u, w, times = v[order], u[order], w[order], times[order]
             new = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
             c3 = np.add.reduceat(times, new)
@@ -424,7 +480,7 @@ def counter(hot: int):
             total = np.bincount(of, c3).astype(np.int64)
             spread = totals[pair // width] > hot
             none = [None] * 4
-            yield batch([("table", part, packed(names), packed(totals), packed(v), packed(u), packed(w), packed(c3), packed(total[of]), *none)], COUNTS)
+            yield batch([("table", part, ascending(names), packed(totals), ascending(v), stepped(v, u), stepped(v * width + u, w), packed(c3), packed(total[of]), *none)], COUNTS)
             if spread.any():
                 keys, seconds = pair[spread] // width, pair[spread] % width
                 yield batch([("spread", part, *[None] * 7, names[keys], names[seconds], totals[seconds], total[spread])], COUNTS)
@@ -438,7 +494,8 @@ class Table:
     """The counts of a part, with weights: looks up trigrams."""
 
     def __init__(self, row: dict, fixes: list[dict], uni: Unigrams, d2: np.ndarray, d3: np.ndarray, hot: int, order: int):
-        self.names, self.totals, v, u, w, c3, c2 = (unpacked(row[k]) for k in ("names", "totals", "v", "u", "w", "c3", "c2"))
+        self.names, self.totals, v, u, w = opened(row)
+        c3, c2 = unpacked(row["c3"]), unpacked(row["c2"])
         self.uni, self.d2, self.d3, self.hot, self.order = uni, d2, d3, hot, order
         self.width = width = np.int64(len(self.names))
         self.pair, first, of = np.unique(v * width + w, return_index=True, return_inverse=True)
@@ -463,10 +520,12 @@ class Table:
             self.a2[i] = weight
         p2 = discounted(self.c2, d2) / (self.totals[heads] + HELD) if len(heads) else np.zeros(0)
         # weights of the first two words
-        self.history, start = np.unique(v * width + u, return_index=True)
-        self.tri, self.c3 = (v * width + u) * width + w, c3
+        both = v * width + u
+        start = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.zeros(0, np.int64)
+        self.history = both[start]
+        self.tri, self.c3 = both * width + w, c3
         if width >= 1 << 21:  # such numbers do not fit: the place of the history stands for it
-            self.tri = np.searchsorted(self.history, v * width + u) * width + w
+            self.tri = np.searchsorted(self.history, both) * width + w
         self.wide = width >= 1 << 21
         self.c12 = self.a3 = np.zeros(0)
         if len(self.history):
@@ -533,12 +592,13 @@ def evaluator(uni: Unigrams, d2, d3, hot: int, order: int, n_groups: int):
                     continue
                 if table is None:  # no training text has come here
                     table = Table({k: packed(np.zeros(0, np.int64)) for k in ("names", "totals", "v", "u", "w", "c3", "c2")}, [], uni, d2, d3, hot, order)
-                names, totals, v, u, w, times, at, docs = (unpacked(r[k]) for k in ("names", "totals", "v", "u", "w", "times", "at", "docs"))
+                names, totals, v, u, w = opened(r)
+                times, at, docs = (unpacked(r[k]) for k in ("times", "at", "docs"))
                 score, ask = table.log_probability(names, totals, v, u, w)
                 flushes = np.asarray(r["flushes"])
                 most = int(docs.max()) + 1
                 total = np.bincount(at * most + docs, np.repeat(score, times))
-                some = np.unique(at * most + docs)
+                some = np.flatnonzero(np.bincount(at * most + docs))
                 sums.append((flushes[some // most], some % most, total[some]))
                 size += len(some)
                 if ask is not None:
@@ -620,9 +680,9 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     n_words = max(8, rows.rdd.getNumPartitions())
 
     tokens = materialize(rows.mapInArrow(flusher(n_words), TOKENS), "tokens")
-    asked = tokens.select("flush", "words", "cuts", "train").mapInArrow(asker, WORDS)
+    asked = tokens.select("flush", F.inline(F.arrays_zip("parts", "words", "train"))).withColumnRenamed("parts", "part")
     vocabulary = materialize(by(asked, n_words, "part", "flush").mapInArrow(word_counter(n_words), WORDS), "unigrams")
-    uni = Unigrams(added(vocabulary, "stats", "counts", K + 3))
+    uni = Unigrams(added(vocabulary, "stats", "sums", K + 3))
     size = tokens.select(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("all"), F.size("n").alias("docs"), F.size(F.filter("held", lambda h: ~h)).alias("train")).agg(F.sum("all"), F.sum("docs"), F.sum("train")).head()
     all_tokens, n_docs, train_docs = (int(x or 0) for x in size)
     n_parts, n_groups = max(8, -(-all_tokens // PART_TOKENS)), max(8, -(-n_docs // GROUP_DOCS))
@@ -631,7 +691,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     ways = 1 if n_parts <= WAYS else -(-n_parts // WAYS)
 
     nothing = lambda kind: F.lit(None).cast(kind)
-    flushes = tokens.select("flush", F.lit(-1).alias("part"), "doc_ids", "held", "n", F.col("ids").alias("blob"), nothing("array<long>").alias("ids"), nothing("array<long>").alias("counts"))
+    flushes = tokens.select("flush", F.lit(-1).alias("part"), "doc_ids", "held", "n", F.col("ids").alias("blob"), nothing("binary").alias("ids"), nothing("binary").alias("counts"))
     answers = vocabulary.filter("kind = 'answer'").select("flush", "part", nothing("array<long>"), nothing("array<boolean>"), nothing("array<int>"), nothing("binary"), "ids", "counts")
     together = flushes.union(answers)
     numbered = materialize(together.repartition(n_words, "flush").sortWithinPartitions("flush", "part").mapInArrow(numberer(uni), NUMBERED), "numbered")
