@@ -23,11 +23,11 @@ number of tokens in a task:
 
 * flushes of FLUSH_TOKENS tokens: distinct words, and the tokens as places among them;
 * parts of the vocabulary count the words of all flushes and number them;
-* parts of the n-grams count the distinct trigrams of all flushes.  A part holds all trigrams
+* parts of the n-grams count the trigrams of the training documents of all flushes.  A part holds all trigrams
   around a middle word, so it knows c(u v w), c(u v), c(v w), c(v) and both weights.  Words of
   more than half a part's tokens are spread over all parts by the word before; for these,
   c(v w) and a(v) are added up across parts first;
-* the same parts look up the trigrams of every document, and give sums by document.
+* the same parts, with the trigrams of the other documents too, give sums by document.
 
 Between stages travel rows of integer arrays (``packed``), one for each flush and part, at most
 WAYS parts at a time: beyond that, messages go to groups of parts and are dealt again there.
@@ -63,7 +63,7 @@ TOKENS = "flush long, doc_ids array<long>, held array<boolean>, n array<int>, id
 WORDS = "kind string, part int, flush long, words binary, ids binary, counts binary, sums array<long>"
 NUMBERED = "flush long, doc_ids array<long>, held array<boolean>, n array<int>, known array<int>, base array<double>, ids binary, names binary, totals binary"
 MESSAGE = "part int, kind string, flushes array<long>, names binary, totals binary, v binary, u binary, w binary, times binary, at binary, docs binary"
-COUNTS = "kind string, part int, names binary, totals binary, v binary, u binary, w binary, c3 binary, c2 binary, keys array<long>, seconds array<long>, thirds array<long>, counts array<long>"
+COUNTS = "kind string, part int, flushes array<long>, names binary, totals binary, v binary, u binary, w binary, c3 binary, c2 binary, times binary, at binary, docs binary, keys array<long>, seconds array<long>, thirds array<long>, counts array<long>"
 #: Sums by document; and for bigrams of hot words, what to add to a document's sum if the
 #: bigram was seen (score, beside its discounted count) and if not (unseen, beside the weight).
 RESULTS = "kind string, group int, flush array<long>, doc array<int>, score array<double>, v array<long>, w array<long>, unseen array<double>"
@@ -330,8 +330,8 @@ class Dealer:
         return (own % np.uint64(self.n_parts)).astype(np.int64)
 
 
-def trigrams(row: dict, start_total: int, only_training: bool):
-    """names, totals, u, v, w and document of every token of a flush."""
+def trigrams(row: dict, start_total: int, training: bool):
+    """names, totals, u, v, w and document of the tokens of a flush, of training or other documents."""
     names, totals, tokens = unpacked(row["names"]), unpacked(row["totals"]), unpacked(row["ids"])
     names, totals = np.append(names, START), np.append(totals, start_total)
     n, mark = row["n"].astype(np.int64), len(names) - 1
@@ -339,15 +339,13 @@ def trigrams(row: dict, start_total: int, only_training: bool):
     at = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
     v = np.where(at > 0, np.r_[mark, tokens[:-1]], mark)
     u = np.where(at > 1, np.r_[mark, mark, tokens[:-2]][: len(tokens)], mark)
-    if only_training:
-        keep = ~np.asarray(row["held"], dtype=bool)[doc]
-        return names, totals, u[keep], v[keep], tokens[keep], doc[keep]
-    return names, totals, u, v, tokens, doc
+    keep = np.asarray(row["held"], dtype=bool)[doc] != training
+    return names, totals, u[keep], v[keep], tokens[keep], doc[keep]
 
 
-def messages(names, totals, u, v, w, times, at, docs, flushes, part, kind):
+def messages(names, totals, u, v, w, at, docs, flushes, part):
     """Rows of MESSAGE from trigram occurrences (sorted here): a dictionary of the words in
-    each, and the distinct trigrams with how often, or with the documents, they occur."""
+    each, and the distinct trigrams with the documents they occur in."""
     width = np.int64(len(names))
     by_name = np.argsort(names, kind="stable")
     rank = np.empty_like(by_name)
@@ -361,10 +359,7 @@ def messages(names, totals, u, v, w, times, at, docs, flushes, part, kind):
         order = np.lexsort((w, u, v, part))
     u, v, w, part = u[order], v[order], w[order], part[order]
     new = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1])]) if len(u) else np.zeros(0, np.int64)
-    if docs is None:
-        number = np.add.reduceat(times[order], new) if len(new) else new
-    else:
-        number, docs, at = np.diff(np.r_[new, len(u)]), docs[order], at[order]
+    number, docs, at = np.diff(np.r_[new, len(u)]), docs[order], at[order]
     u, v, w = u[new], v[new], w[new]
     own = part[new]
     seen = np.zeros(len(names), dtype=bool)
@@ -375,28 +370,21 @@ def messages(names, totals, u, v, w, times, at, docs, flushes, part, kind):
         used = np.flatnonzero(seen)
         seen[used] = False
         local[used] = np.arange(len(used))
-        held = (None, None)
-        if docs is not None:
-            i, j = new[a], new[b] if b < len(new) else len(docs)
-            held = (packed(at[i:j]), packed(docs[i:j]))
+        i, j = new[a], new[b] if b < len(new) else len(docs)
         lv, lu, lw = local[v[a:b]], local[u[a:b]], local[w[a:b]]
-        out.append((int(own[a]), kind, flushes, ascending(names[used]), packed(totals[used]), ascending(lv), stepped(lv, lu), stepped(lv * len(used) + lu, lw), packed(number[a:b]), *held))
+        out.append((int(own[a]), "look", flushes, ascending(names[used]), packed(totals[used]), ascending(lv), stepped(lv, lu), stepped(lv * len(used) + lu, lw), packed(number[a:b]), packed(at[i:j]), packed(docs[i:j])))
     return out
 
 
-def sender(dealer: Dealer, start_total: int, only_training: bool, ways: int):
+def sender(dealer: Dealer, start_total: int, training: bool, ways: int):
     """The trigrams of a flush, to parts, or to groups of parts where these are many."""
 
     def run(batches):
         for r in rows_of(batches):
-            names, totals, u, v, w, doc = trigrams(r, start_total, only_training)
+            names, totals, u, v, w, doc = trigrams(r, start_total, training)
             if not len(u):
                 continue
-            part = dealer.part(names, totals, v, u) // ways
-            if only_training:
-                out = messages(names, totals, u, v, w, np.ones(len(u), dtype=np.int64), None, None, [], part, "count")
-            else:
-                out = messages(names, totals, u, v, w, None, np.zeros(len(u), dtype=np.int64), doc, [r["flush"]], part, "look")
+            out = messages(names, totals, u, v, w, np.zeros(len(u), dtype=np.int64), doc, [r["flush"]], dealer.part(names, totals, v, u) // ways)
             for a in range(0, len(out), 64):
                 yield batch(out[a : a + 64], MESSAGE)
 
@@ -413,22 +401,22 @@ def opened(r: dict):
 class Pile:
     """Messages opened and put together, under one dictionary."""
 
-    def __init__(self):
-        self.parts: list[list[np.ndarray]] = [[] for _ in range(8)]
+    def __init__(self, with_docs: bool = True):
+        self.with_docs = with_docs
+        self.parts: list[list[np.ndarray]] = [[] for _ in range(8 if with_docs else 6)]
         self.flushes: list[int] = []
         self.size, self.words = 0, 0
 
     def add(self, r: dict) -> None:
         names, totals, v, u, w = opened(r)
-        times = unpacked(r["times"])
-        got = [names, totals, v + self.words, u + self.words, w + self.words, times]
-        if r["docs"] is not None:
+        got = [names, totals, v + self.words, u + self.words, w + self.words, unpacked(r["times"])]
+        if self.with_docs:
             got += [unpacked(r["at"]) + len(self.flushes), unpacked(r["docs"])]
             self.flushes += list(r["flushes"])
         for held, more in zip(self.parts, got, strict=False):
             held.append(more)
         self.words += len(names)
-        self.size += int(times.sum()) if r["docs"] is not None else len(times)
+        self.size += int(got[5].sum())
 
     def opened(self):
         """names (sorted), totals, v, u, w, times, at, docs."""
@@ -442,10 +430,8 @@ def redealer(dealer: Dealer):
 
     def dealt(pile: Pile):
         names, totals, v, u, w, times, at, docs = pile.opened()
-        if not len(docs):
-            return messages(names, totals, u, v, w, times, None, None, [], dealer.part(names, totals, v, u), "count")
         u, v, w = (np.repeat(x, times) for x in (u, v, w))
-        return messages(names, totals, u, v, w, None, at, docs, pile.flushes, dealer.part(names, totals, v, u), "look")
+        return messages(names, totals, u, v, w, at, docs, pile.flushes, dealer.part(names, totals, v, u))
 
     def run(batches):
         pile = Pile()
@@ -461,31 +447,39 @@ def redealer(dealer: Dealer):
 
 
 def counter(hot: int):
-    """All trigrams of a part, counted: a row "table" of parallel arrays; a row "spread" of
-    the bigrams of hot middle words, which other parts hold too; count-of-counts."""
+    """All training trigrams of a part, counted: a row "table" of parallel arrays; each message
+    again as a row "seen", its trigrams by their places in the table; a row "spread" of the
+    bigrams of hot middle words, which other parts hold too; count-of-counts."""
 
     def run(batches):
         for part, rows in runs_of(rows_of(batches), "part"):
-            pile = Pile()
+            pile, sent = Pile(with_docs=False), []
             for r in rows:
                 pile.add(r)
-            names, totals, v, u, w, times, *_ = pile.opened()
+                sent.append((len(pile.parts[5][-1]), r["flushes"], r["times"], r["at"], r["docs"]))
+            names, totals, v, u, w, times = pile.opened()
+            del pile
             width = np.int64(len(names))
             order = np.argsort((v * width + u) * width + w) if width < 1 << 20 else np.lexsort((w, u, v))
-            v, u, w, times = v[order], u[order], w[order], times[order]
-            new = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
-            c3 = np.add.reduceat(times, new)
+            v, u, w = v[order], u[order], w[order]
+            new = np.r_[True, (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1])]
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = np.cumsum(new) - 1
+            c3 = np.add.reduceat(times[order], np.flatnonzero(new))
             v, u, w = v[new], u[new], w[new]
             pair, of = np.unique(v * width + w, return_inverse=True)
             total = np.bincount(of, c3).astype(np.int64)
             spread = totals[pair // width] > hot
-            none = [None] * 4
-            yield batch([("table", part, ascending(names), packed(totals), ascending(v), stepped(v, u), stepped(v * width + u, w), packed(c3), packed(total[of]), *none)], COUNTS)
+            yield batch([("table", part, None, ascending(names), packed(totals), ascending(v), stepped(v, u), stepped(v * width + u, w), packed(c3), packed(total[of]), *[None] * 7)], COUNTS)
+            at = 0
+            for n, flushes, *blobs in sent:
+                yield batch([("seen", part, flushes, None, None, ascending(place[at : at + n]), *[None] * 4, *blobs, *[None] * 4)], COUNTS)
+                at += n
             if spread.any():
                 keys, seconds = pair[spread] // width, pair[spread] % width
-                yield batch([("spread", part, *[None] * 7, names[keys], names[seconds], totals[seconds], total[spread])], COUNTS)
+                yield batch([("spread", part, *[None] * 11, names[keys], names[seconds], totals[seconds], total[spread])], COUNTS)
             stats = [[int((x == r).sum()) for r in range(1, K + 2)] for x in (c3, total[~spread])]
-            yield batch([("stats", part, *[None] * 7, None, None, stats[0], stats[1])], COUNTS)
+            yield batch([("stats", part, *[None] * 11, None, None, stats[0], stats[1])], COUNTS)
 
     return run
 
@@ -578,23 +572,27 @@ class Table:
 
 def evaluator(uni: Unigrams, d2, d3, hot: int, order: int, n_groups: int):
     """Sums of log10 probabilities by document, from the trigrams of all documents and the
-    tables of their parts."""
+    tables of their parts: a table's own trigrams are computed once, others looked up."""
 
     def run(batches):
         for _, rows in runs_of(rows_of(batches), "part"):
-            table, fixes, sums, size = None, [], [], 0
+            table, own_scores, fixes, sums, size = None, None, [], [], 0
             for r in rows:
                 if r["kind"] in ("fix", "weight"):
                     fixes.append(r)
                     continue
                 if r["kind"] == "table":
                     table = Table(r, fixes, uni, d2, d3, hot, order)
+                    own_scores, _ = table.log_probability(*opened(r))
                     continue
                 if table is None:  # no training text has come here
                     table = Table({k: packed(np.zeros(0, np.int64)) for k in ("names", "totals", "v", "u", "w", "c3", "c2")}, [], uni, d2, d3, hot, order)
-                names, totals, v, u, w = opened(r)
                 times, at, docs = (unpacked(r[k]) for k in ("times", "at", "docs"))
-                score, ask = table.log_probability(names, totals, v, u, w)
+                if r["kind"] == "seen":
+                    score, ask = own_scores[np.cumsum(unpacked(r["v"]))], None
+                else:
+                    names, totals, v, u, w = opened(r)
+                    score, ask = table.log_probability(names, totals, v, u, w)
                 flushes = np.asarray(r["flushes"])
                 most = int(docs.max()) + 1
                 total = np.bincount(at * most + docs, np.repeat(score, times))
@@ -697,8 +695,8 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     numbered = materialize(together.repartition(n_words, "flush").sortWithinPartitions("flush", "part").mapInArrow(numberer(uni), NUMBERED), "numbered")
     discard(tokens)
 
-    def delivered(only_training: bool) -> DataFrame:
-        sent = numbered.select("flush", "held", "n", "ids", "names", "totals").mapInArrow(sender(dealer, train_docs, only_training, ways), MESSAGE)
+    def delivered(training: bool) -> DataFrame:
+        sent = numbered.select("flush", "held", "n", "ids", "names", "totals").mapInArrow(sender(dealer, train_docs, training, ways), MESSAGE)
         if ways > 1:
             sent = by(sent, WAYS, "part").mapInArrow(redealer(dealer), MESSAGE)
         return sent
@@ -714,7 +712,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
             d2_counts[r["c"] - 1] += r["count"]
     d2 = discounts(d2_counts)
 
-    parts = counts.filter("kind = 'table'").select("part", F.lit("table").alias("kind"), F.lit(1).alias("_order"), "names", "totals", "v", "u", "w", "c3", "c2", nothing("binary").alias("times"), nothing("binary").alias("at"), nothing("binary").alias("docs"), nothing("array<long>").alias("flushes"), nothing("array<long>").alias("keys"), nothing("array<long>").alias("seconds"), nothing("array<long>").alias("counts"), nothing("array<double>").alias("weights"))
+    parts = counts.filter("kind in ('table', 'seen')").select("part", "kind", F.when(F.col("kind") == "table", 1).otherwise(2).alias("_order"), "names", "totals", "v", "u", "w", "c3", "c2", "times", "at", "docs", "flushes", "keys", "seconds", "counts", nothing("array<double>").alias("weights"))
     blank = lambda **given: [given.get(f.name, nothing(f.dataType)).alias(f.name) for f in parts.schema]
     look = delivered(False).select(*blank(**{k: F.col(k) for k in ("part", "kind", "names", "totals", "v", "u", "w", "times", "at", "docs", "flushes")}, _order=F.lit(2)))
     everything = parts.union(look)
