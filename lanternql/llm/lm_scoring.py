@@ -25,7 +25,7 @@ number of tokens in a task:
 * parts of the vocabulary count the words of all flushes and number them;
 * parts of the n-grams count the trigrams of the training documents of all flushes.  A part holds all trigrams
   around a middle word, so it knows c(u v w), c(u v), c(v w), c(v) and both weights.  Words of
-  more than half a part's tokens are spread over all parts by the word before; for these,
+  more than a part's tokens are spread over all parts by the word before; for these,
   c(v w) and a(v) are added up across parts first;
 * the same parts, with the trigrams of the other documents too, give sums by document.
 
@@ -684,7 +684,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     size = tokens.select(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("all"), F.size("n").alias("docs"), F.size(F.filter("held", lambda h: ~h)).alias("train")).agg(F.sum("all"), F.sum("docs"), F.sum("train")).head()
     all_tokens, n_docs, train_docs = (int(x or 0) for x in size)
     n_parts, n_groups = max(8, -(-all_tokens // PART_TOKENS)), max(8, -(-n_docs // GROUP_DOCS))
-    hot = PART_TOKENS // 2
+    hot = PART_TOKENS
     dealer = Dealer(n_parts, hot)
     ways = 1 if n_parts <= WAYS else -(-n_parts // WAYS)
 
