@@ -409,7 +409,8 @@ class Pile:
 
     def add(self, r: dict) -> None:
         names, totals, v, u, w = opened(r)
-        got = [names, totals, v + self.words, u + self.words, w + self.words, unpacked(r["times"])]
+        # places and times in four bytes: a pile is bounded, and most of a task's memory
+        got = [names, totals, *((x + self.words).astype(np.int32) for x in (v, u, w)), unpacked(r["times"]).astype(np.int32)]
         if self.with_docs:
             got += [unpacked(r["at"]) + len(self.flushes), unpacked(r["docs"])]
             self.flushes += list(r["flushes"])
@@ -422,6 +423,8 @@ class Pile:
         """names (sorted), totals, v, u, w, times, at, docs."""
         cat = [np.concatenate(p) if p else np.zeros(0, np.int64) for p in self.parts]
         names, first, place = np.unique(cat[0], return_index=True, return_inverse=True)
+        place = place.astype(np.int32)
+        self.parts = []
         return (names, cat[1][first], *(place[x] for x in cat[2:5]), *cat[5:])
 
 
@@ -430,7 +433,7 @@ def redealer(dealer: Dealer):
 
     def dealt(pile: Pile):
         names, totals, v, u, w, times, at, docs = pile.opened()
-        u, v, w = (np.repeat(x, times) for x in (u, v, w))
+        u, v, w = (np.repeat(x, times).astype(np.int64) for x in (u, v, w))
         return messages(names, totals, u, v, w, at, docs, pile.flushes, dealer.part(names, totals, v, u))
 
     def run(batches):
@@ -458,15 +461,26 @@ def counter(hot: int):
                 pile.add(r)
                 sent.append((len(pile.parts[5][-1]), r["flushes"], r["times"], r["at"], r["docs"]))
             names, totals, v, u, w, times = pile.opened()
-            del pile
             width = np.int64(len(names))
-            order = np.argsort((v * width + u) * width + w) if width < 1 << 20 else np.lexsort((w, u, v))
-            v, u, w = v[order], u[order], w[order]
-            new = np.r_[True, (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1])]
-            place = np.empty(len(order), dtype=np.int64)
+            # a trigram as one number, or, where the words are too many for that, its place among them
+            key = v.astype(np.int64) * width + u
+            histories = None
+            if width >= 1 << 20:
+                histories, key = np.unique(key, return_inverse=True)
+            key = key * width + w
+            del v, u, w
+            order = np.argsort(key)
+            key = key[order]
+            new = np.r_[True, key[1:] != key[:-1]]
+            place = np.empty(len(order), dtype=np.int32)
             place[order] = np.cumsum(new) - 1
-            c3 = np.add.reduceat(times[order], np.flatnonzero(new))
-            v, u, w = v[new], u[new], w[new]
+            c3 = np.add.reduceat(times[order].astype(np.int64), np.flatnonzero(new))
+            key = key[new]
+            del order, new, times
+            w, key = key % width, key // width
+            key = key if histories is None else histories[key]
+            v, u = key // width, key % width
+            del key
             pair, of = np.unique(v * width + w, return_inverse=True)
             total = np.bincount(of, c3).astype(np.int64)
             spread = totals[pair // width] > hot
