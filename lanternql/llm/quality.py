@@ -7,8 +7,9 @@ with the length of the document, and very short documents are not judged at all.
 
 Everything is a row-local column expression: no shuffle, no Python.
 
-Null text: no words.  Unknown or null language: the nearest reference counts.
-Repeated rows are judged each alike.  Empty table: empty result.
+Null text: no words.  Unknown or null language: the nearest reference counts, the first of
+equals.  Repeated rows are judged each alike.  Very long texts: time and memory follow their
+length.  Extra columns, also of the names used here, are carried along.  Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ CHAR_LIMIT = (0.10, 1.20)  # limit + slope / sqrt(n words)
 WORD_LIMIT = (0.14, 1.15)
 
 #: Character classes; what is in none of them is the last bin.
-CLASSES = ("a-z", "A-Z", "0-9", r"\x20\x09-\x0D", r".,;:!?'\"()\-", "#*$%&|<>")
+SYMBOLS = "#*$%&|<>"
+CLASSES = ("a-z", "A-Z", "0-9", r"\x20\x09-\x0D", r".,;:!?'\"()\-", SYMBOLS)
 
 # Shares of the character classes, common words, and their shares (last bin:
 # all other words), measured on documents labelled good.
@@ -52,13 +54,16 @@ REFERENCES = {
         (0.0557, 0.0278, 0.0225, 0.0161, 0.0144, 0.0113, 0.0103, 0.0085, 0.0072, 0.0095, 0.0068, 0.0050, 0.8049),
     ),
 }
-#: One letter for each common word, in their order; "." for any other word.
-CODES = ".abcdefghijkl"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+def single_spaced(text: Column) -> Column:
+    """The words, joined by single blanks."""
+    return F.trim(F.regexp_replace(text, SPACE, " "))
+
+
+def number_of_words(spaced: Column) -> Column:
+    return F.when(spaced == "", 0).otherwise(F.octet_length(spaced) - F.octet_length(F.replace(spaced, F.lit(" "), F.lit(""))) + 1)
 
 
 def duplicate_lines(text: Column) -> Column:
@@ -66,38 +71,45 @@ def duplicate_lines(text: Column) -> Column:
     return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
 
-def repeated_words(words: Column) -> Column:
+def repeated_words(spaced: Column) -> Column:
     """Words that lie in a 3-word window found twice or more."""
-    n = F.size(words) - 2
-    hashes = F.transform(F.slice(words, 1, n), lambda w, i: F.xxhash64(w, words[i + 1], words[i + 2]))
+    windows = F.regexp_extract_all(F.concat(F.lit(" "), spaced), F.lit(" (?=([^ ]+ [^ ]+ [^ ]+))"), F.lit(1))
 
-    def exact(h: Column) -> Column:
-        # windows in order of hash, text, place: equal ones are neighbours
-        ordered = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), F.concat_ws(" ", words[i], words[i + 1], words[i + 2]).alias("g"), i.alias("i"))))
+    def exact(g: Column) -> Column:
+        # windows in order of text and place: equal ones are neighbours
+        ordered = F.array_sort(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
 
         def hit(s: Column) -> Column:
-            same = lambda x, y: (x["h"] == y["h"]) & (x["g"] == y["g"])
-            twice = F.filter(s, lambda x, j: F.coalesce(same(x, F.get(s, j - 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, j + 1)), F.lit(False)))
+            twice = F.filter(s, lambda x, j: F.coalesce(x["g"] == F.get(s, j - 1)["g"], F.lit(False)) | F.coalesce(x["g"] == F.get(s, j + 1)["g"], F.lit(False)))
             return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
 
         return let(ordered, hit)
 
-    some = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), exact(h)).otherwise(0))
-    return F.when(n < 2, F.lit(0)).otherwise(some).cast("long")
+    return let(windows, lambda g: F.when(F.size(F.array_distinct(g)) < F.size(g), exact(g)).otherwise(0)).cast("long")
 
 
 def class_counts(text: Column) -> Column:
-    """Counts of CLASSES in their order and of all other characters."""
-    counts = F.array(*[F.length(F.regexp_replace(text, f"[^{c}]+", "")) for c in CLASSES])
-    return let(counts, lambda x: F.concat(x, F.array(F.length(text) - F.aggregate(x, F.lit(0), lambda a, b: a + b))))
+    """Counts of CLASSES in their order and of all other characters; what one class takes
+    away the next need not read."""
+
+    def peeled(rest: Column, classes: tuple[str, ...], counts: list[Column]) -> Column:
+        if not classes:
+            return F.array(*counts, F.length(rest))
+        return let(F.regexp_replace(rest, f"[{classes[0]}]+", ""), lambda less: peeled(less, classes[1:], [*counts, F.length(rest) - F.length(less)]))
 
+    return peeled(text, CLASSES, [])
 
-def word_counts(words: Column, common: tuple[str, ...]) -> Column:
+
+def word_counts(spaced: Column, n_words: Column, common: tuple[str, ...]) -> Column:
     """Counts of the common words in their order and of all other words."""
-    listed = F.array(*map(F.lit, common))
-    coded = F.array_join(F.transform(words, lambda w: F.substring(F.lit(CODES), F.array_position(listed, F.lower(w)).cast("int") + 1, F.lit(1))), "")
-    order = CODES[1 : len(common) + 1] + "."
-    return let(coded, lambda s: F.array(*[F.length(s) - F.length(F.replace(s, F.lit(c), F.lit(""))) for c in order]))
+    # every word between blanks of its own, so that neighbours do not share one
+    apart = F.concat(F.lit(" "), F.replace(F.lower(spaced), F.lit(" "), F.lit("  ")), F.lit(" "))
+
+    def counted(p: Column) -> Column:
+        counts = F.array(*[((F.octet_length(p) - F.octet_length(F.replace(p, F.lit(f" {c} "), F.lit("")))) / (len(c.encode()) + 2)).cast("int") for c in common])
+        return let(counts, lambda x: F.concat(x, F.array(n_words - F.aggregate(x, F.lit(0), lambda a, b: a + b))))
+
+    return let(apart, counted)
 
 
 def js_distance(counts: Column, reference: tuple[float, ...]) -> Column:
@@ -133,32 +145,35 @@ def verdict(m: Column) -> Column:
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """``docs`` with the measures, base_failed and kept added under a struct named _quality.
+    """A struct _row of all columns of ``docs``, and a struct _quality of the measures,
+    base_failed and kept.
 
     The row number, always true here, makes it an expression that no filter is moved through:
     moved down, its costly parts would be computed again for every mention.
     """
     text = text_or_empty()
 
-    def measures(words: Column) -> Column:
+    def measures(spaced: Column, counts: Column) -> Column:
+        n = number_of_words(spaced)
         return F.struct(
-            F.size(words).cast("long").alias("n_words"),
-            F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
-            F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+            n.cast("long").alias("n_words"),
+            F.length(F.replace(spaced, F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
+            counts[CLASSES.index(SYMBOLS)].cast("long").alias("n_symbols"),
             duplicate_lines(text).alias("n_dup_lines"),
-            repeated_words(words).alias("n_repeat_words"),
-            let(class_counts(text), lambda c: by_language(F.col("lang"), lambda r: js_distance(c, r[0]))).alias("char_distance"),
-            by_language(F.col("lang"), lambda r: js_distance(word_counts(words, r[1]), r[2])).alias("word_distance"),
+            repeated_words(spaced).alias("n_repeat_words"),
+            by_language(F.col("lang"), lambda r: js_distance(counts, r[0])).alias("char_distance"),
+            by_language(F.col("lang"), lambda r: js_distance(word_counts(spaced, n, r[1]), r[2])).alias("word_distance"),
             F.length(text).alias("chars"),
         )
 
-    return docs.withColumn("_quality", F.when(F.monotonically_increasing_id() >= 0, let(let(words_of(text), measures), verdict)))
+    judged = let(single_spaced(text), lambda s: let(class_counts(text), lambda c: let(measures(s, c), verdict)))
+    return carried(docs, "text", "lang").select("_row", F.when(F.monotonically_increasing_id() >= 0, judged).alias("_quality"))
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    return judge(docs.select("doc_id", "text", "lang")).select("doc_id", *[F.col(f"_quality.{n}") for n in (*MEASURES, "base_failed", "kept")])
+    return judge(docs.select("doc_id", "text", "lang")).select("_row.doc_id", *[F.col(f"_quality.{n}") for n in (*MEASURES, "base_failed", "kept")])
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents kept, with their own columns."""
-    return judge(carried(docs, "text", "lang")).filter("_quality.kept").select("_row.*")
+    return judge(docs).filter("_quality.kept").select("_row.*")
