@@ -2,14 +2,17 @@
 
 Base kinds are found by their patterns and checks.  High-recall generators then propose
 further spans, which may overlap, also single formats in a run of numbers; boosted trees judge each by its format and by the words
-before it, and those above a calibrated threshold are kept where no base span lies.
+before it.  Of those above the calibrated threshold of their kind, the strongest is taken
+first, then the next that overlaps nothing taken, and so on; base spans stand before all.
 
 Main path: DataFrame operations only.  The trees are trained on candidates of known truth,
 made from templates with a fixed seed (``MADE_ROWS`` of one number and a quarter as many of
 several side by side, the bound of the sample), and
 enter the plan as CASE expressions.
 
-Null text: as empty.  Repeated rows: each is searched.  Empty table: empty result.
+Null text: as empty.  Repeated rows: each is searched.  Ties: the earlier span, then the
+earlier kind.  Very long texts: whole; only spans that overlap in a chain are compared with one
+another.  Extra columns, also of the names used here, are carried along.  Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternql.llm import boosting
-from lanternql.llm.common import let, text_or_empty
-from lanternql.llm.spans import SPAN, find_spans, written
+from lanternql.llm.common import carried, let, text_or_empty
+from lanternql.llm.spans import SPAN, find_spans, running_max, written
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("mail_like", "number_like", "account_like")
@@ -43,9 +46,9 @@ PATTERNS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]+\.[0-9]+\.[0-9]+",
     "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "mail_like": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\]|\{at\})\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\]|\{dot\})\x20?[A-Za-z0-9-]++){1,8}",
+    "mail_like": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\]|\{at\})\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\]|\{dot\})\x20?[A-Za-z0-9-]++)++",
     "number_like": r"\(?[0-9][0-9().\x20/-]{5,}[0-9]",
-    "account_like": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "account_like": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2}(?:\x20?[A-Z0-9]{4})*+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
 }
 #: Single formats within a run that number_like takes as one: numbers may stand next to each other.
 PARTS = (
@@ -73,6 +76,7 @@ FEATURES = {
     "slashes": "length(c.body) - length(replace(c.body, '/', ''))",
     "bracket": "if(c.body rlike '^[(][0-9]{2,5}[)]', 1, 0)",
     "date": "if(c.body rlike '^([0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.]([0-9]{2}|[0-9]{4}))$', 1, 0)",
+    "phone_format": "if(c.body rlike '^([(][0-9]{3}[)] ?|[0-9]{3}[-. /])[0-9]{3}[-. ][0-9]{4}$', 1, 0)",
     "three_two_four": "if(c.body rlike '^[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}$', 1, 0)",
     "decimal": "if(c.body rlike '^[0-9]+[.][0-9]+$', 1, 0)",
     "spelled_at": "if(c.body rlike '[(\\\\[{]at[)\\\\]}]', 1, 0)",
@@ -162,7 +166,7 @@ def made_candidates(seed: int = 7, rows: int = MADE_ROWS) -> list[dict]:
     kinds = [
         (lambda: say("phone", "tel:", "call", "mobile", "fax") + phone(), 1),
         (lambda: say("ssn", "social security", "tax id", "passport") + r.choice([f"{d(3)}-{d(2)}-{d(4)}", d(9)]), 1),
-        (lambda: plain() + f"({d(3)}) {d(3)}-{d(4)}", 1),
+        (lambda: plain() + r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}"]), 1),
         (lambda: say("card", "visa", "credit card") + " ".join(d(4) for _ in range(4)), 1),
         (lambda: r.choice([plain(), say("mail", "contact", "reach")]) + f"{word()}.{word()} (at) {word()} (dot) com", 1),
         (lambda: r.choice([plain(), say("mail", "contact")]) + f"{word()}[at]{word()}.org", 1),
@@ -197,52 +201,80 @@ def made_candidates(seed: int = 7, rows: int = MADE_ROWS) -> list[dict]:
 
 @cache
 def trained(seed: int = 7):
-    """(trees as SQL, threshold on the log-odds); features come from the same expressions
+    """(trees as SQL, thresholds on the log-odds by kind); features come from the same expressions
     as in the main path, so both see the same numbers."""
     spark = SparkSession.getActiveSession()
     made = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(made_candidates(seed))), "array<struct<id:int,text:string,label:int,truth:array<string>>>")).alias("m"))
     rows = made.select("m.id", "m.label", "m.truth", F.explode(proposals(F.col("m.text"))).alias("c")).withColumn("label", F.coalesce("label", F.array_contains("truth", F.col("c.body")).cast("int")))
-    table = rows.orderBy("id", "c.start", "c.end", "c.rank").select("id", "label", *[F.expr(e).cast("double").alias(n) for n, e in FEATURES.items()]).collect()
-    x = np.array([list(r)[2:] for r in table], dtype=float)
+    table = rows.orderBy("id", "c.start", "c.end", "c.rank").select("id", "label", "c.kind", *[F.expr(e).cast("double").alias(n) for n, e in FEATURES.items()]).collect()
+    x = np.array([list(r)[3:] for r in table], dtype=float)
     y = np.array([r["label"] for r in table], dtype=float)
     aside = np.array([r["id"] // 14 % 3 == 2 for r in table])
     model = boosting.fit(x[~aside], y[~aside], trees=24, depth=3, rate=0.3)
-    score, truth = boosting.log_odds(model, x[aside]), y[aside]
-    # the lowest threshold from which on the share of true ones is high enough
-    order = np.argsort(-score)
-    precise = np.cumsum(truth[order]) / np.arange(1, len(order) + 1) >= PRECISION
-    threshold = float(score[order][np.flatnonzero(precise)[-1]]) if precise.any() else float("inf")
-    return model, max(threshold, 0.0)
+    score, truth, kinds = boosting.log_odds(model, x[aside]), y[aside], np.array([r["kind"] for r in table])[aside]
+
+    def threshold(own: np.ndarray) -> float:
+        """The lowest from which on the share of true ones is high enough."""
+        order = np.argsort(-score[own], kind="stable")
+        precise = np.cumsum(truth[own][order]) / np.arange(1, len(order) + 1) >= PRECISION
+        return max(float(score[own][order][np.flatnonzero(precise)[-1]]) if precise.any() else float("inf"), 0.0)
+
+    return model, {k: threshold(np.flatnonzero(kinds == k)) for k in ADDED}
 
 
 def judged(proposed: str) -> Column:
     """Of the column of proposals, those above the threshold, with their log-odds."""
-    (start, trees), threshold = trained()
+    (start, trees), thresholds = trained()
     features = "named_struct(" + ", ".join(f"'{n}', {e}" for n, e in FEATURES.items()) + ")"
     names = [f"x.f.{n}" for n in FEATURES]
     score = " + ".join([f"{start!r}D", *[boosting.as_sql(t, names) for t in trees]])
     scored = f"transform(transform({proposed}, c -> struct(c AS c, {features} AS f)), x -> struct(x.c.rank AS rank, x.c.start AS start, x.c.end AS end, x.c.kind AS kind, {score} AS score))"
-    return F.expr(f"filter({scored}, s -> s.score >= {threshold!r}D)")
+    least = " ".join(f"WHEN '{k}' THEN {'double(\'infinity\')' if t == float('inf') else f'{t!r}D'}" for k, t in thresholds.items())
+    return F.expr(f"filter({scored}, s -> s.score >= CASE s.kind {least} END)")
 
 
 def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
+def chains(spans: Column) -> Column:
+    """Spans in order of start, cut where none reaches over: an array of arrays."""
+
+    def cut(s: Column) -> Column:
+        def starts(reach: Column) -> Column:
+            first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (s[i]["start"] >= F.get(reach, i - 1)))
+            return let(first, lambda at: F.transform(at, lambda i, k: F.slice(s, i + 1, F.coalesce(F.get(at, k + 1), F.size(s)) - i)))
+
+        return let(running_max(F.transform(s, lambda x: x["end"])), starts)
+
+    return F.when(F.size(spans) > 0, let(spans, cut)).otherwise(F.array().cast(f"array<{CHOSEN}>"))
+
+
+CHOSEN = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
+
+
+def picked(chain: Column) -> Column:
+    """Of spans that overlap in a chain: those of the base, then the strongest that is free."""
+    base = F.filter(chain, lambda s: s["score"].isNull())
+    added = F.array_sort(F.transform(F.filter(chain, lambda s: s["score"].isNotNull()), lambda s: F.struct((-s["score"]).alias("weak"), s.alias("s"))))
+    take = lambda acc, x: F.when(F.exists(acc, lambda o: overlaps(o, x["s"])), acc).otherwise(F.concat(acc, F.array(x["s"])))
+    return F.when(F.size(chain) == 1, chain).otherwise(F.aggregate(added, base, take))
+
+
 def search(docs: DataFrame) -> DataFrame:
-    """``docs`` with found: array of (rank, start, end, kind) in that order."""
-    text = text_or_empty()
+    """A struct _row of all columns of ``docs``, and found: array of (rank, start, end, kind)
+    in that order."""
+    text = F.col("text")
     plain = lambda s: F.struct(s["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
-    stronger = lambda a, b: (a["score"] > b["score"]) | ((a["score"] == b["score"]) & ((a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["rank"] < b["rank"]))))
-    # an added span gives way to base spans, and to a stronger added one it overlaps
-    free = F.filter("_good", lambda s: ~F.exists("_base", lambda b: overlaps(s, b)))
-    chosen = let(free, lambda g: F.filter(g, lambda s: ~F.exists(g, lambda o: overlaps(s, o) & stronger(o, s))))
+    weighed = lambda s, score: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), score.cast("double").alias("score"))
+    every = F.array_sort(F.concat(F.transform("base", lambda s: weighed(s, F.lit(None))), F.transform("good", lambda s: weighed(s, s["score"]))))
+    chosen = F.flatten(F.transform(chains(every), picked))
     return (
-        docs.withColumn("_base", F.concat(*[checked(text, k) for k in BASE]))
-        .withColumn("_proposed", proposals(text))
-        .withColumn("_good", F.when(F.size("_proposed") > 0, judged("_proposed")))
-        .withColumn("found", F.array_sort(F.concat(F.transform("_base", plain), F.transform(F.coalesce(chosen, F.array().cast("array<struct<rank:int,start:int,end:int,kind:string,score:double>>")), plain))))
-        .drop("_base", "_proposed", "_good")
+        carried(docs, text_or_empty().alias("text"))
+        .withColumn("base", F.concat(*[checked(text, k) for k in BASE]))
+        .withColumn("proposed", proposals(text))
+        .withColumn("good", F.when(F.size("proposed") > 0, judged("proposed")))
+        .select("_row", F.array_sort(F.transform(F.when(F.coalesce(F.size("good"), F.lit(0)) > 0, chosen).otherwise(F.transform("base", lambda s: weighed(s, F.lit(None)))), plain)).alias("found"))
     )
 
 
@@ -254,4 +286,4 @@ def digest(docs: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256 and spans."""
     found = F.col("found")
     base = written(F.filter(found, lambda s: s["rank"] < len(BASE)))
-    return search(docs.select("doc_id", "text")).select("doc_id", *[count_of(found, k) for k in BASE], F.sha2(base.cast("binary"), 256).alias("base_sha256"), written(found).alias("spans"))
+    return search(docs.select("doc_id", "text")).select("_row.doc_id", *[count_of(found, k) for k in BASE], F.sha2(base.cast("binary"), 256).alias("base_sha256"), written(found).alias("spans"))

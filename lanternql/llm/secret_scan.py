@@ -1,26 +1,29 @@
 """Secret scans over a trigram inverted index.
 
 Each rule's regular expression is turned into a Boolean query over the trigrams any match
-must contain.  The index holds postings (trigram, document) for the trigrams that occur in
-some query; intersecting a document's postings gives the rules it is a candidate for, and
-only these are run on its text.  A rule without mandatory trigrams scans every text.
+must contain: pieces that must all be there, each of alternatives, each of trigrams that must
+all be there.  The index has a bitmap for each document, a bit for each trigram that occurs in
+some query; it lies beside the document, so postings meet where the text is.  Intersecting the
+bits with a query's gives the rules a document is a candidate for, and only these are run on
+its text.  A rule without mandatory trigrams scans every text.
 
-Main path: DataFrame operations only.  Postings meet by document, never by trigram, so a
-common trigram makes no hot group.
+Main path: DataFrame operations only, and no shuffle: a common trigram makes no hot group.
 
-Null text: as empty.  Null or repeated ids: the index key is the id with a hash of the
-text, and what is found depends on the text alone.  Empty table: empty result.
+Null text: as empty.  Null or repeated ids, repeated rows and ties: each row is scanned alike,
+by its text alone.  Very long texts: whole, in time that follows their length.  Extra columns,
+also of the names used here, are carried along.  Empty table: empty result.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanternql.llm.common import carried, text_or_empty
+from lanternql.llm.common import carried, let, text_or_empty
 from lanternql.llm.spans import find_spans, written
 
 try:
@@ -59,12 +62,12 @@ def grams(text: str) -> frozenset[str]:
     return frozenset(text[i : i + 3] for i in range(len(text) - 2))
 
 
-def mandatory_trigrams(pattern: str) -> list[frozenset[str]] | None:
-    """The lower-cased trigrams that matches contain, as alternatives (any of these sets
-    must be there in full); None if some match may contain none.
+def mandatory_trigrams(pattern: str) -> list[list[frozenset[str]]] | None:
+    """The lower-cased trigrams that matches contain: pieces that must all be met, each by any
+    of its alternatives, whose trigrams must all be there; None if some match may contain none.
 
     The pattern is read from left to right into the exact strings it may spell.  Where
-    these become unknown or too many, the best piece so far is kept and a new one begins.
+    these become unknown or too many, a new piece begins.
     """
 
     def strings_of(op, arg) -> list[str] | None:
@@ -110,34 +113,49 @@ def mandatory_trigrams(pattern: str) -> list[frozenset[str]] | None:
     pieces.append(current)
     queries = [[grams(s) for s in piece] for piece in pieces]
     # an alternative that asks for more than another one adds nothing
-    queries = [[g for g in set(q) if not any(o < g for o in q)] for q in queries if all(q)]
-    if not queries:
-        return None
-    return max(queries, key=lambda q: (min(len(g) for g in q), -len(q)))
+    queries = [sorted({g for g in q if not any(o < g for o in q)}, key=sorted) for q in queries if all(q)]
+    return queries or None
+
+
+#: Bits of one bitmap; more trigrams take more of them.
+BITS = 62
+
+
+def rarest(trigrams: frozenset[str], most: int = 2) -> frozenset[str]:
+    """The trigrams of an alternative that are the least common in prose: fewer are looked for,
+    and what they let pass is verified anyway."""
+    common = "etaoinshrdlu"
+    return frozenset(sorted(trigrams, key=lambda g: (sum(common.index(c) + 1 if c in common else 20 for c in g), g), reverse=True)[:most])
+
 
+class Index:
+    """Bits of the trigrams of some queries: of documents, and of the queries themselves."""
 
-def key_of(text: Column) -> Column:
-    return F.xxhash64(text)
+    def __init__(self, queries: dict[str, list[list[frozenset[str]]]]):
+        self.queries = {kind: [[rarest(g) for g in piece] for piece in pieces] for kind, pieces in queries.items()}
+        self.trigrams = sorted({t for pieces in self.queries.values() for piece in pieces for g in piece for t in g})
 
+    def of(self, text: Column) -> Column:
+        """The bitmaps of a text."""
 
-def index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """Postings: one row (doc_id, h, trigram) for each listed trigram of each text."""
-    lowered = F.lower(text_or_empty())
-    present = F.array_compact(F.array(*[F.when(F.contains(F.col("low"), F.lit(t)), F.lit(t)) for t in trigrams]))
-    return docs.select("doc_id", key_of(text_or_empty()).alias("h"), lowered.alias("low")).select("doc_id", "h", F.explode(present).alias("trigram"))
+        def maps(low: Column) -> Column:
+            bits = [F.when(F.contains(low, F.lit(t)), F.lit(1 << i % BITS)).otherwise(F.lit(0)).cast("long") for i, t in enumerate(self.trigrams)]
+            sums = [bits[a : a + BITS] for a in range(0, len(bits), BITS)]
+            return F.array(*[reduce(lambda x, y: x + y, part) for part in sums])
 
+        return let(F.lower(text), maps)
 
-def candidates(postings: DataFrame, queries: dict[str, list[frozenset[str]]]) -> DataFrame:
-    """(doc_id, h, rules): the intersection of postings, for every rule."""
-    have = F.col("have")
-    met = []
-    for kind, alternatives in queries.items():
-        hit = F.lit(False)
-        for needed in alternatives:
-            hit = hit | (F.size(F.array_intersect(have, F.array(*map(F.lit, sorted(needed))))) == len(needed))
-        met.append(F.when(hit, F.lit(kind)))
-    sets = postings.groupBy("doc_id", "h").agg(F.collect_set("trigram").alias("have"))
-    return sets.select("doc_id", "h", F.array_compact(F.array(*met)).alias("rules")).filter(F.size("rules") > 0)
+    def met(self, postings: Column, kind: str) -> Column:
+        """Whether a document with these bitmaps is a candidate for a rule."""
+
+        def holds(trigrams: frozenset[str]) -> Column:
+            need: dict[int, int] = {}
+            for t in trigrams:
+                i = self.trigrams.index(t)
+                need[i // BITS] = need.get(i // BITS, 0) | 1 << i % BITS
+            return reduce(lambda x, y: x & y, [postings[m].bitwiseAND(F.lit(bits)) == bits for m, bits in need.items()])
+
+        return reduce(lambda x, y: x & y, [reduce(lambda x, y: x | y, map(holds, piece)) for piece in self.queries[kind]])
 
 
 def spans_of(text: Column, rule: Rule) -> Column:
@@ -158,22 +176,21 @@ def count_of(found: Column, kind: str) -> Column:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with found: array of (start, rank, end, kind, base) in that order."""
-    queries = {r.kind: q for r in rules if (q := mandatory_trigrams(r.pattern)) is not None}
-    text, own = text_or_empty(), [F.col(f"d.`{c}`") for c in docs.columns]
-    hashed = docs.withColumn("_h", key_of(text)).alias("d")
-    if queries:
-        trigrams = sorted({t for q in queries.values() for alternative in q for t in alternative})
-        c = candidates(index(docs, trigrams), queries).select(F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h2"), "rules").alias("c")
-        joined = hashed.join(c, F.col("d.doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_h") == F.col("_h2")), "left").select(*own, "rules")
-    else:
-        joined = hashed.select(*own, F.array().cast("array<string>").alias("rules"))
+    """A struct _row of all columns of ``docs``, its text, and found: array of (start, rank,
+    end, kind, base) in that order."""
+    index = Index({r.kind: q for r in rules if (q := mandatory_trigrams(r.pattern)) is not None})
+    text = F.col("text")
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,base:boolean>>")
-    parts = []
-    for rank, rule in enumerate(rules):
-        spans = labelled(spans_of(text, rule), rank, rule)
-        parts.append(F.when(F.array_contains("rules", rule.kind), spans).otherwise(none) if rule.kind in queries else spans)
-    return joined.withColumn("found", F.array_sort(F.concat(*parts))).drop("rules")
+
+    def verified(postings: Column) -> Column:
+        parts = []
+        for rank, rule in enumerate(rules):
+            spans = labelled(spans_of(text, rule), rank, rule)
+            parts.append(F.when(index.met(postings, rule.kind), spans).otherwise(none) if rule.kind in index.queries else spans)
+        return F.array_sort(F.concat(*parts))
+
+    found = let(index.of(text), verified) if index.queries else verified(F.array())
+    return carried(docs, text_or_empty().alias("text")).withColumn("found", found)
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -181,12 +198,12 @@ def digest(docs: DataFrame) -> DataFrame:
     found = F.col("found")
     counts = [count_of(found, kind) for kind in ("assign", "access", "hex")]
     base = written(F.filter(found, lambda s: s["base"]))
-    return scan(docs.select("doc_id", "text")).select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), written(found).alias("spans"))
+    return scan(docs.select("doc_id", "text")).select("_row.doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), written(found).alias("spans"))
 
 
 def masked(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span replaced by ``mask``; n_chars follows the text."""
-    text = text_or_empty()
+    text = F.col("text")
     # spans in order of start; what a span shares with those before it is cut once
     state = "struct<at:int,out:array<string>>"
 
@@ -197,7 +214,7 @@ def masked(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(state)
     clean = F.aggregate("found", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    out = scan(carried(docs, "doc_id", "text")).withColumn("clean", F.when(F.size("found") > 0, clean).otherwise(F.col("text")))
+    out = scan(docs).withColumn("clean", F.when(F.size("found") > 0, clean).otherwise(F.col("_row.text")))
     row = F.col("_row").withField("text", F.col("clean"))
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.length("clean").cast("long"))

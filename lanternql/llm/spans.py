@@ -33,6 +33,19 @@ def running_sums(lengths: Column) -> Column:
     return let(whole(F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), within)
 
 
+def running_max(values: Column) -> Column:
+    """The largest of the first 1, 2, ... elements of a non-empty array, by blocks."""
+    n_blocks = F.floor((F.size(values) - 1) / BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), n_blocks), lambda b: F.array_max(F.slice(values, b * BLOCK + 1, F.lit(BLOCK))))
+
+    def within(blocks: Column) -> Column:
+        before = F.transform(blocks, lambda _, b: F.array_max(F.slice(blocks, F.lit(1), b)))
+        own = lambda i: F.array_max(F.slice(values, i - i % BLOCK + 1, i % BLOCK + 1))
+        return let(before, lambda x: F.transform(values, lambda _, i: F.greatest(own(i), x[F.floor(i / BLOCK).cast("int")])))
+
+    return let(blocks, within)
+
+
 def find_spans(text: Column, pattern: str) -> Column:
     """All leftmost non-overlapping matches as array of (start, end, body)."""
 

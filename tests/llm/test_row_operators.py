@@ -88,9 +88,38 @@ def test_secret_scan(spark, texts):
 
 
 def test_trigram_queries():
-    assert secret_scan.mandatory_trigrams("[0-9a-f]{32,}") is None
-    assert secret_scan.mandatory_trigrams("AKIA[A-Z]+") == [frozenset({"aki", "kia"})]
-    assert set(secret_scan.mandatory_trigrams("(?i:abc|xyz)[0-9]+")) == {frozenset({"abc"}), frozenset({"xyz"})}
+    query = secret_scan.mandatory_trigrams
+    assert query("[0-9a-f]{32,}") is None
+    assert query("AKIA[A-Z]+") == [[frozenset({"aki", "kia"})]]
+    assert query("(?i:abc|xyz)[0-9]+") == [[frozenset({"abc"}), frozenset({"xyz"})]]
+    assert query("abc[0-9]+xyzw") == [[frozenset({"abc"})], [frozenset({"xyz", "yzw"})]]  # both pieces
+    assert query("(abcd|abc)x?") == [[frozenset({"abc"})]]
+
+
+def test_index_meets_what_a_rule_needs(spark):
+    """Bits of more trigrams than one bitmap holds; every text with all of a query's is a candidate."""
+    words = [a + b + c for a in "abcd" for b in "efgh" for c in "ijklm"]
+    index = secret_scan.Index({w: [[frozenset({w})]] for w in words} | {"both": [[frozenset({words[0]})], [frozenset({words[-1]}), frozenset({words[5]})]]})
+    assert len(index.trigrams) == 80
+    rows = [(" ".join(words[:3]),), (words[0].upper() + "." + words[-1],), (words[0],), ("",)]
+    met = spark.createDataFrame(rows, "text string").select(index.of(F.col("text")).alias("p")).select(*[index.met(F.col("p"), k).alias(k) for k in (words[0], words[79], "both")])
+    assert [tuple(r) for r in met.collect()] == [(True, False, False), (True, True, True), (True, False, False), (False, False, False)]
+
+
+def test_secrets_in_very_long_texts(spark):
+    text = ("ghp_" + "a1B2" * 9 + " x ") * 3000
+    row = secret_scan.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).head()
+    assert row["spans"].split(",") == [f"github:{43 * i}:{43 * i + 40}" for i in range(3000)]
+
+
+def test_clashing_columns(spark):
+    """Inputs with columns that the operators use inside."""
+    names = "text string, lang string, rules string, found string, _row string, _quality string, _base string, doc_id long, low string"
+    df = spark.createDataFrame([("token = abcdefgh1 a@b.cd", "en", "r", "f", "w", "q", "b", 7, "l")], names)
+    for run in (secret_scan.scan, quality.judge, pii.search):
+        assert run(df).select("_row.*").exceptAll(df).count() == 0
+        assert run(df).count() == 1
+    assert secret_scan.masked(df).columns == df.columns
 
 
 def test_masked(docs, spark):
@@ -196,3 +225,25 @@ def test_merges_of_equal_symbols():
 @pytest.mark.parametrize("run", [quality.quality, secret_scan.digest, secret_scan.masked, quality.keep_good, pii.digest, lambda d: token_counts.token_counts(d, vocabulary("byte_bpe_50k.json"))])
 def test_no_rows(run, no_docs):
     assert run(no_docs).count() == 0
+
+
+def test_added_spans_are_chosen_greedily(spark):
+    """The choice among overlapping candidates, against a plain loop over the same scores."""
+    import random
+
+    r = random.Random(6)
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    makers = [lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: " ".join(d(4) for _ in range(4)), lambda: f"DE{d(2)} {d(4)} {d(4)} {d(4)}", lambda: f"joe (at) x{d(1)} (dot) com", lambda: ".".join(str(r.randint(1, 255)) for _ in range(4)), lambda: "word", lambda: "phone:"]
+    rows = [(i, " ".join(r.choice(makers)() for _ in range(r.randint(1, 30)))) for i in range(60)] + [(60, " ".join(makers[0]() for _ in range(1500)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    scored = df.withColumn("base", F.concat(*[pii.checked(F.col("text"), k) for k in pii.BASE])).withColumn("p", pii.proposals(F.col("text"))).withColumn("good", pii.judged("p"))
+    want = {}
+    for x in scored.collect():
+        taken = [(s["rank"], s["start"], s["end"]) for s in x["base"]]
+        for s in sorted(x["good"] or [], key=lambda s: (-s["score"], s["start"], s["rank"], s["end"])):
+            if all(s["end"] <= a or b <= s["start"] for _, a, b in taken):
+                taken.append((s["rank"], s["start"], s["end"]))
+        want[x["doc_id"]] = sorted(taken)
+    got = {x["doc_id"]: [(s["rank"], s["start"], s["end"]) for s in x["found"]] for x in pii.search(df).select("_row.doc_id", "found").collect()}
+    assert got == want
+    assert len(got[60]) == 1500 and sum(len(v) for v in got.values()) > 1800
