@@ -266,7 +266,7 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
             break
     else:  # the passes miss too much: all vectors that could be linked are compared
         members, group = nodes.select("id", "vector", "weight", F.xxhash64("label", F.size("vector")).alias("all")), "all"
-    units = in_blocks(members, group, BLOCK)
+    units = in_blocks(members, group, BLOCK, least=64)
     linked = materialize(gathered(units.select("id", "vector", "unit", "side", "both", "weight")).mapInArrow(linker(similar_vectors), LINKED), "linked")
     result = with_least(nodes.select("id", "least", "weight"), linked, "least", "component_id").drop("least")
     component = F.coalesce("component_id", "vec_id").alias("component_id")

@@ -26,47 +26,70 @@ def shortened(edges: DataFrame) -> DataFrame:
     return lowest.select("a", F.col("low").alias("b")).union(lowest.select(F.col("b").alias("a"), F.col("low").alias("b"))).filter("a != b").distinct()
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+#: A key of more than this share of the rows is hot; so at most a thousand keys are.
+HOT_SHARE = 0.001
+HOT_ROWS = 256
+SALTS = 32
+
+
+def hot_keys(rows: DataFrame, key: str) -> list:
+    """The keys that hold more than HOT_SHARE of the rows: counted where the rows are."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).head()[0] or 0
+    return [r[0] for r in counts.filter(F.col("n") > max(HOT_ROWS, HOT_SHARE * total)).select(key).collect()]
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", hot: list | None = None) -> DataFrame:
+    """Join to ``right``, of one row per key.  The rows of hot keys are spread over SALTS tasks
+    by ``by``, and only their rows of ``right`` are repeated."""
+    hot = hot_keys(left, key) if hot is None else hot
+    if not hot:
+        return left.join(right, key, how)
+    salt = lambda made: F.when(F.col(key).isin(*hot), made)
+    salted = left.withColumn("_salt", salt(F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0))
+    repeated = right.withColumn("_salt", F.explode(salt(F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every end of ``edges`` (a, b): component is the least id reachable.
 
     Least labels travel along edges and then jump to their own label, so the rounds grow
-    with the logarithm of a group's diameter rather than with its size.
+    with the logarithm of a group's diameter rather than with its size.  The node that a large
+    group hangs on is a hot key of both joins.
     """
     few = shortened(edges)
     both = materialize(few.union(few.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    hubs = hot_keys(both, "b")
     labels = materialize(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("id"), F.least("a", "low").alias("component")), "labels")
-    for _ in range(most_rounds):
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+    while True:
+        near = spread_join(both, labels.withColumnRenamed("id", "b"), "b", "a", hot=hubs).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         step = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         goal = step.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        new = materialize(step.join(goal, "component").select("id", "old", F.least("component", "further").alias("component")), "labels")
+        # a component is hot before a step as after it, or comes of hot ones and hubs
+        hot = list(dict.fromkeys([*hubs, *hot_keys(labels, "component")]))
+        new = materialize(spread_join(step, goal, "component", "id", hot=hot).select("id", "old", F.least("component", "further").alias("component")), "labels")
         done = not new.filter("old != component").head(1)
         discard(labels)
         labels = new.select("id", "component")
         if done:
-            break
-    else:
-        raise RuntimeError("labels have not settled")
-    return labels
-
-
-def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", parts: int = 16) -> DataFrame:
-    """Join to ``right``, of one row per key, with each key's rows of ``left`` spread over
-    ``parts`` tasks by ``by``: a hot key is split, and ``right`` is repeated."""
-    salted = left.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
-    repeated = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return salted.join(repeated, [key, "_part"], how).drop("_part")
+            discard(both)
+            return labels
 
 
-def in_blocks(members: DataFrame, group: str, block: int) -> DataFrame:
+def in_blocks(members: DataFrame, group: str, block: int, *, least: int | None = None) -> DataFrame:
     """``members`` (with id and ``group``) dealt to units of work: adds unit, side and the
     flag ``both`` (the unit compares two different blocks).
 
     A member of one of n blocks goes to n units; sizes come from a count, so a large group
-    is spread before it is gathered.
+    is spread before it is gathered.  With ``least``, a group is cut into up to eight blocks of
+    that size or more, so that many tasks share it.
     """
     sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    dealt = spread_join(members, sizes, group, "id").withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int")).withColumn("_own", F.pmod(F.xxhash64("id"), "_blocks").cast("int"))
+    blocks = F.ceil(F.col("_n") / block)
+    if least is not None:
+        blocks = F.greatest(blocks, F.least(F.lit(8), F.ceil(F.col("_n") / least)))
+    dealt = spread_join(members, sizes, group, "id").withColumn("_blocks", blocks.cast("int")).withColumn("_own", F.pmod(F.xxhash64("id"), "_blocks").cast("int"))
     other = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     low, high = F.least("_own", "_other"), F.greatest("_own", "_other")
     return other.withColumn("unit", F.xxhash64(F.col(group), low, high)).withColumn("side", (F.col("_own") > F.col("_other")).cast("int")).withColumn("both", low != high).drop("_n", "_blocks", "_own", "_other")

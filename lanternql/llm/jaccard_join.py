@@ -2,15 +2,18 @@
 
 Texts are sets of five-word shingles.  Equal texts form a class, kept as one node.  Each
 run splits the nodes on a sampled shared token (the least shingle under the run's hash);
-buckets that stay large are split again on further sampled tokens, small ones are compared
-whole on short sketches.  Runs are repeated until a pair at the threshold is found with
-the target recall.  What the runs connect is then compared exactly on its full shingle
-sets, all members with all, in blocks.
+buckets that stay large are split again, each node going down BRANCHES further sampled tokens,
+and small ones are compared whole on short sketches.  What MOST_DEPTH levels leave large is
+compared in blocks.  Passes of runs are repeated, each twice as large as the one before, until
+the recall on a bounded draw of texts, held against all texts, meets the target.  What the
+runs connect is then compared exactly on its full shingle sets, all members with all, in blocks.
 
 Null, empty texts and texts without words: no shingles, linked with nothing but equal
 texts.  Fewer than five words: the words together are the one shingle.  Null ids: such a
 row is counted, its class_id comes from the others.  Repeated rows count as documents of
-their own.  Empty table: empty result.  Extra columns are ignored.
+their own.  Ties: the least id names a class.  Very long texts: whole; a task holds the
+shingles of one text at a time beside those of a block.  Empty table: empty result.  Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,19 +30,36 @@ from lanternql.llm.grouping import LINKED, connected_components, gathered, in_bl
 
 SHINGLE = 5
 SIMILARITY = 0.8
+#: Links that the runs of a pass are meant to find, and that the audit asks for.
 RECALL = 0.999
-TYPICAL_DEPTH = 2
+AUDITED = 0.995
+#: Texts drawn for the audit.
+DRAWN = 256
 COORDINATES = 96
 SLACK = 0.14
 SMALL = 200
-MOST_DEPTH = 3
+BRANCHES = 2
+MOST_DEPTH = 4
 BLOCK = 256
 SEED = 20240
 
 
-def runs_needed(similarity: float = SIMILARITY, recall: float = RECALL, depth: int = TYPICAL_DEPTH) -> int:
-    """A pair at the threshold survives a path of this depth with similarity**depth."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity**depth)))
+def survival(similarity: float, depth: int) -> float:
+    """How likely a pair stays together down a path: it shares the first token, and one of
+    BRANCHES at each level below."""
+    return similarity * (1 - (1 - similarity) ** BRANCHES) ** (depth - 1)
+
+
+def sketch_recall(similarity: float = SIMILARITY) -> float:
+    """How likely sketches of a pair at the threshold agree in enough places, bytes of unlike
+    tokens agreeing by chance left out."""
+    need = math.ceil((similarity - SLACK) * COORDINATES)
+    return sum(math.comb(COORDINATES, k) * similarity**k * (1 - similarity) ** (COORDINATES - k) for k in range(need, COORDINATES + 1))
+
+
+def runs_needed(similarity: float = SIMILARITY, recall: float = RECALL, depth: int = MOST_DEPTH) -> int:
+    """Runs after which a pair at the threshold has met, all of its buckets being deep."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(similarity, depth))))
 
 
 def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -63,18 +83,18 @@ def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out * np.uint64(0xD6E8FEB86659FD93), count
 
 
-def constants(n: int) -> tuple[np.ndarray, np.ndarray]:
-    r = np.random.default_rng(SEED)
+def constants(n: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    r = np.random.default_rng([SEED, turn])
     return r.integers(1 << 62, size=n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), r.integers(1 << 62, size=n, dtype=np.uint64)
 
 
-def sketcher(n_runs: int):
+def sketcher(n_runs: int, turn: int):
     """(doc_id, id, text) -> (doc_id, id, paths, sketch): whole least hashes of the first
     coordinates, and a byte of each of the others."""
     n = n_runs + COORDINATES
 
     def run(batches):
-        multiply, add = constants(n)
+        multiply, add = constants(n, turn)
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for a in range(0, len(texts), 128):
@@ -136,29 +156,84 @@ def chosen_paths(nodes: DataFrame) -> DataFrame:
         links = gathered(units.select("id", "sketch", "unit", "side", "both", "weight")).mapInArrow(linker(similar_sketches), LINKED).select(F.col("id").alias("a"), F.col("root").alias("b")).filter("a != b")
         found = links if found is None else found.union(links)
         if depth < MOST_DEPTH:
-            # the next token of the path: a byte of the sketch, at a place drawn by run and depth
-            place = F.pmod(F.col("run") * 31 + depth * 17, F.lit(COORDINATES)).cast("int") + 1
-            level = shared.filter(F.col("n") > SMALL).select("id", "sketch", "run", F.xxhash64("bucket", F.substring("sketch", place, F.lit(1))).alias("bucket"))
+            # the next tokens of the path: bytes of the sketch, at places drawn by run and depth
+            places = F.array(*[F.pmod(F.col("run") * 31 + depth * 17 + branch * 41, F.lit(COORDINATES)).cast("int") + 1 for branch in range(BRANCHES)])
+            large = shared.filter(F.col("n") > SMALL).select("id", "sketch", "run", "bucket", F.posexplode(places).alias("branch", "place"))
+            level = large.select("id", "sketch", "run", F.xxhash64("bucket", "branch", F.substring("sketch", F.col("place"), F.lit(1))).alias("bucket"))
     return materialize(found.distinct(), "candidates")
 
 
+def partner_finder(queries: list[bytes], texts: list[str]):
+    """(id, text) -> (id, queries): which of the drawn texts a text is linked to, by number."""
+
+    def run(batches):
+        h, count = shingle_hashes(texts)
+        n = len(texts)
+        pair = np.unique(np.stack([h, np.repeat(np.arange(n), count).astype(np.uint64)]), axis=1) if len(h) else np.zeros((2, 0), np.uint64)
+        token, owner = pair[0], pair[1].astype(np.int64)
+        size = np.bincount(owner, minlength=n)
+        for batch in batches:
+            ids, found = [], []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                mine = np.unique(shingle_hashes([text.as_py()])[0])
+                a, b = np.searchsorted(token, mine), np.searchsorted(token, mine, side="right")
+                some = np.flatnonzero(b > a)
+                if not len(some):
+                    continue
+                both = np.bincount(np.concatenate([owner[a[k] : b[k]] for k in some]), minlength=n)
+                near = [q for q in np.flatnonzero((both > 0) & (both >= SIMILARITY * (size + len(mine) - both) - 1e-9)) if queries[q] != i]
+                if near:
+                    ids.append(i)
+                    found.append(near)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(found, pa.list_(pa.int32()))], ["id", "queries"])
+
+    return run
+
+
+def audit(rows: DataFrame, nodes: DataFrame, groups: DataFrame, turn: int) -> float:
+    """Share of its links, against all texts, that the group of a drawn text holds: the mean
+    over those of DRAWN texts that have links.  Texts of over a million characters are held
+    against the drawn ones but not drawn.  Only ids are shuffled."""
+    ids = [bytes(r[0]) for r in nodes.filter("some").select("id").orderBy(F.xxhash64("id", F.lit(turn)), "id").limit(DRAWN).collect()]
+    drawn = {bytes(r[0]): r[1] for r in rows.filter(F.col("id").isin(*ids) & (F.length("text") < 1_000_000)).select("id", "text").dropDuplicates(["id"]).collect()} if ids else {}
+    if not drawn:
+        return 1.0
+    order = sorted(drawn)
+    own = {bytes(i): bytes(c) for i, c in groups.filter(F.col("id").isin(*order)).select("id", "component").collect()}
+    components = [own.get(i, i) for i in order]
+    partners = rows.select("id", "text").mapInArrow(partner_finder(order, [drawn[i] for i in order]), "id binary, queries array<int>").dropDuplicates(["id"])
+    held = partners.join(groups, "id", "left").select(F.coalesce("component", "id").alias("component"), F.explode("queries").alias("query"))
+    mine = F.element_at(F.array(*[F.lit(bytearray(c)) for c in components]), F.col("query") + 1)
+    each = held.groupBy("query").agg(F.avg((F.col("component") == mine).cast("int")).alias("share"))
+    share = each.agg(F.avg("share")).head()[0]
+    return 1.0 if share is None else share
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (least id of its group of linked documents), n_links (other
-    documents of similarity >= 0.8, copies included), copy_id (least id of equal texts), kept; and id, the digest of the text."""
+    documents of similarity >= 0.8, copies included), copy_id (least id of equal texts), kept,
+    recall (of the candidate search, as audited); and id, the digest of the text."""
     digest = F.unhex(F.md5(text_or_empty())).alias("id")
     rows = docs.select("doc_id", digest, text_or_empty().alias("text"))
-    n_runs = runs_needed()
-    sketched = materialize(rows.mapInArrow(sketcher(n_runs), "doc_id long, id binary, some boolean, paths array<long>, sketch binary"), "sketches")
-    nodes = materialize(
-        sketched.groupBy("id").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("weight"), F.first("some").alias("some"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch")), "nodes"
-    )
-    groups = connected_components(chosen_paths(nodes))
-    members = nodes.select("id", "copy_id", "weight").join(groups, "id").withColumnRenamed("id", "_id")
+    n_runs, turn, found, recall = runs_needed(recall=RECALL / sketch_recall() if RECALL < sketch_recall() else RECALL), 0, None, 0.0
+    while recall < AUDITED:
+        sketched = materialize(rows.mapInArrow(sketcher(n_runs << turn, turn), "doc_id long, id binary, some boolean, paths array<long>, sketch binary"), "sketches")
+        nodes = materialize(
+            sketched.groupBy("id").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("weight"), F.first("some").alias("some"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch")), "nodes"
+        )
+        ids = sketched.select("doc_id", "id")
+        edges = chosen_paths(nodes)
+        found = edges if found is None else found.union(edges)
+        groups = connected_components(found)
+        recall = audit(rows, nodes, groups, turn)
+        turn += 1
+    members = nodes.select(F.col("id").alias("_id"), "copy_id", "weight").join(groups.withColumnRenamed("id", "_id"), "_id")
     texts = rows.join(members, (F.col("id") == F.col("_id")) & F.col("doc_id").eqNullSafe(F.col("copy_id"))).select("id", "text", "weight", "component").dropDuplicates(["id"])
     units = in_blocks(texts, "component", BLOCK)
     linked = materialize(gathered(units.select("id", "text", "unit", "side", "both", "weight")).mapInArrow(linker(similar_sets), LINKED), "linked")
     result = with_least(nodes.select("id", "copy_id", "weight"), linked, "copy_id", "class_id")
-    return sketched.select("doc_id", "id").join(result, "id").select("doc_id", "class_id", "n_links", "copy_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"), "id")
+    kept = F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept")
+    return spread_join(ids, result, "id", "doc_id").select("doc_id", "class_id", "n_links", "copy_id", kept, F.lit(recall).alias("recall"), "id")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:

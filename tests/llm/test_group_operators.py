@@ -126,12 +126,46 @@ def test_jaccard_join(spark, texts):
             least[root[k]] = min(least.get(root[k], 1 << 60), i)
     want = sorted((str(i), n_links[k], str(least.get(root[k]))) for k, (i, _) in enumerate(rows))
     got = jaccard_join.join(df).collect()
+    assert {x["recall"] for x in got} == {1.0}
     assert sorted((str(x["doc_id"]), x["n_links"], str(x["class_id"])) for x in got) == want
     stay = jaccard_join.drop_copies(df)
     assert stay.columns == df.columns
     assert stay.count() == len(set(root))
 
 
+def test_jaccard_runs_are_repeated_until_the_audit_is_met(spark, monkeypatch):
+    """A pass that finds nothing is followed by a larger one."""
+    passes, whole = [], jaccard_join.chosen_paths
+
+    def first_finds_nothing(nodes):
+        passes.append(nodes.select(F.size("paths")).head()[0])
+        return whole(nodes) if len(passes) > 1 else whole(nodes.limit(0))
+
+    monkeypatch.setattr(jaccard_join, "chosen_paths", first_finds_nothing)
+    rows = [(i, prose(i // 2, 80) + (" one more" if i % 2 else "")) for i in range(40)]
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x["doc_id"]: x["class_id"] for x in got} == {i: i - i % 2 for i in range(40)}
+    assert len(passes) == 2 and passes[1] == 2 * passes[0]
+
+
+def test_jaccard_of_large_buckets(spark, monkeypatch):
+    """Buckets split on, down to the last level and then in blocks, lose no link of the whole."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 3)
+    common = prose(1, 60)
+    rows = [(i, common + " " + prose(100 + i // 3, 40) + (f" x{i}" if i % 3 else "")) for i in range(90)]
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {x["doc_id"]: (x["class_id"], x["n_links"]) for x in got} == {i: (i - i % 3, 2) for i in range(90)}
+
+
+def test_spread_join_repeats_hot_keys_alone(spark, monkeypatch):
+    monkeypatch.setattr(grouping, "HOT_ROWS", 20)
+    left = spark.createDataFrame([(b"hot" if i % 2 else b"%d" % i, i) for i in range(200)], "k binary, v int")
+    right = left.select("k").distinct().withColumn("w", F.lit(1))
+    assert [bytes(k) for k in grouping.hot_keys(left, "k")] == [b"hot"]
+    assert grouping.spread_join(left, right, "k", "v").count() == 200
+    assert grouping.spread_join(left, right.filter("k <> binary('hot')"), "k", "v", "left").filter("w is null").count() == 100
+
+
 def test_components(spark):
     chain = [(f"{i:03}".encode(), f"{i + 1:03}".encode()) for i in range(40)] + [(b"x", b"y"), (b"y", b"x")]
     got = dict(map(tuple, grouping.connected_components(spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in chain], "a binary, b binary")).collect()))
