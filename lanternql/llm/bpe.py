@@ -6,7 +6,7 @@
 
 from __future__ import annotations
 
-import base64
+import heapq
 import json
 import re
 
@@ -21,6 +21,8 @@ LETTERS = r"A-Za-zÀ-ÖØ-öø-ſ"
 PLAIN_TEXT = rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[0-9]+| ?[^\t-\r {LETTERS}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 NOT_PLAIN = rf"[^\x00-\x7f{LETTERS}]"
 NO_RANK = 1 << 30
+#: Bytes from which a pre-token is merged by a heap.
+LONG = 1024
 
 
 def splitter():
@@ -61,9 +63,51 @@ class MergeTable:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], NO_RANK)
 
+    def count_long(self, raw: bytes) -> int:
+        """Symbols left of one long pre-token: pairs wait in a heap by rank and place, so time
+        follows n log n where rounds over all of it would follow its square."""
+        symbol = self.of_byte[np.frombuffer(raw, dtype=np.uint8)].tolist()
+        n = len(symbol)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        ranks = self.ranks_of(np.array(symbol[:-1]), np.array(symbol[1:])).tolist()
+        heap = [(r, i, symbol[i], symbol[i + 1]) for i, r in enumerate(ranks) if r < NO_RANK]
+        heapq.heapify(heap)
+        of_pair: dict[tuple[int, int], int] = {}
+        left = n
+
+        def wait(i: int, j: int) -> None:
+            pair = (symbol[i], symbol[j])
+            if pair not in of_pair:
+                of_pair[pair] = int(self.ranks_of(np.array([pair[0]]), np.array([pair[1]]))[0])
+            if of_pair[pair] < NO_RANK:
+                heapq.heappush(heap, (of_pair[pair], i, *pair))
+
+        while heap:
+            rank, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if symbol[i] != a or j >= n or symbol[j] != b:
+                continue  # one of the two has merged since
+            symbol[i], symbol[j] = int(self.made[rank]), -1
+            after[i] = after[j]
+            left -= 1
+            if after[i] < n:
+                before[after[i]] = i
+                wait(i, after[i])
+            if before[i] >= 0:
+                wait(before[i], i)
+        return left
+
     def count(self, tokens: list[str]) -> np.ndarray:
         """Symbols left of each (non-empty) pre-token after all merges."""
         raw = [t.encode() for t in tokens]
+        long = [i for i, r in enumerate(raw) if len(r) > LONG]
+        if long:
+            out = np.zeros(len(raw), dtype=np.int64)
+            out[long] = [self.count_long(raw[i]) for i in long]
+            short = np.setdiff1d(np.arange(len(raw)), long)
+            if len(short):
+                out[short] = self.count([tokens[i] for i in short])
+            return out
         length = np.array([len(r) for r in raw], dtype=np.int64)
         symbol = self.of_byte[np.frombuffer(b"".join(raw), dtype=np.uint8)]
         alive = np.arange(len(raw))
@@ -95,21 +139,29 @@ class MergeTable:
 
 
 class IdCache(dict):
-    """pre-token -> its ids as little-endian unsigned 32-bit bytes.  Emptied when full,
-    so memory stays bounded; an emptied entry is computed anew."""
+    """pre-token -> its ids as little-endian unsigned 32-bit bytes, from a tokenizers .json
+    file.  Emptied when full, so memory stays bounded; an emptied entry is computed anew.
+
+    The file's merges come in order of the ids they make, which is what ranks by id mean."""
 
     def __init__(self, vocabulary: str, most: int = 400_000):
         super().__init__()
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("bytes", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        with open(vocabulary, encoding="utf-8") as f:
+            spec = json.load(f)
+        ids, byte_of = spec["model"]["vocab"], byte_symbols()
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        made = [ids["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+        if any(a >= b for a, b in zip(made, made[1:], strict=False)):
+            raise ValueError(f"{vocabulary}: merges are not in the order of their ids")
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in ids.items() if t not in self.special}
+        self.encode = tiktoken.Encoding("bytes", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.most = most
 
     def __missing__(self, token: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        ids = np.array(self.encode(token.encode()), dtype="<u4").tobytes()
+        ids = np.array(self.encode(token), dtype="<u4").tobytes()
         self[token] = ids
         return ids

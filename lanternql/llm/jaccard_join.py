@@ -2,9 +2,8 @@
 
 Texts are sets of five-word shingles.  Equal texts form a class, kept as one node.  Each
 run splits the nodes on a sampled shared token (the least shingle under the run's hash);
-buckets that stay large are split again, each node going down BRANCHES further sampled tokens,
-and small ones are compared whole on short sketches.  What MOST_DEPTH levels leave large is
-compared in blocks.  Passes of runs are repeated, each twice as large as the one before, until
+buckets that stay large are split again on further sampled tokens, and small ones are compared
+whole on short sketches.  What MOST_DEPTH levels leave large is compared whole too, in blocks.  Passes of runs are repeated, each twice as large as the one before, until
 the recall on a bounded draw of texts, held against all texts, meets the target.  What the
 runs connect is then compared exactly on its full shingle sets, all members with all, in blocks.
 
@@ -38,18 +37,12 @@ DRAWN = 256
 COORDINATES = 96
 SLACK = 0.14
 SMALL = 200
-BRANCHES = 2
-MOST_DEPTH = 4
+TYPICAL_DEPTH = 2
+MOST_DEPTH = 3
 BLOCK = 256
 SEED = 20240
 
 
-def survival(similarity: float, depth: int) -> float:
-    """How likely a pair stays together down a path: it shares the first token, and one of
-    BRANCHES at each level below."""
-    return similarity * (1 - (1 - similarity) ** BRANCHES) ** (depth - 1)
-
-
 def sketch_recall(similarity: float = SIMILARITY) -> float:
     """How likely sketches of a pair at the threshold agree in enough places, bytes of unlike
     tokens agreeing by chance left out."""
@@ -57,9 +50,10 @@ def sketch_recall(similarity: float = SIMILARITY) -> float:
     return sum(math.comb(COORDINATES, k) * similarity**k * (1 - similarity) ** (COORDINATES - k) for k in range(need, COORDINATES + 1))
 
 
-def runs_needed(similarity: float = SIMILARITY, recall: float = RECALL, depth: int = MOST_DEPTH) -> int:
-    """Runs after which a pair at the threshold has met, all of its buckets being deep."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(similarity, depth))))
+def runs_needed(similarity: float = SIMILARITY, recall: float = RECALL, depth: int = TYPICAL_DEPTH) -> int:
+    """Runs of the first pass: a pair at the threshold survives a path of this depth with
+    similarity**depth, and agrees in its sketch with ``sketch_recall``."""
+    return max(1, math.ceil(math.log(1 - min(recall / sketch_recall(similarity), 1 - 1e-6)) / math.log(1 - similarity**depth)))
 
 
 def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -156,10 +150,9 @@ def chosen_paths(nodes: DataFrame) -> DataFrame:
         links = gathered(units.select("id", "sketch", "unit", "side", "both", "weight")).mapInArrow(linker(similar_sketches), LINKED).select(F.col("id").alias("a"), F.col("root").alias("b")).filter("a != b")
         found = links if found is None else found.union(links)
         if depth < MOST_DEPTH:
-            # the next tokens of the path: bytes of the sketch, at places drawn by run and depth
-            places = F.array(*[F.pmod(F.col("run") * 31 + depth * 17 + branch * 41, F.lit(COORDINATES)).cast("int") + 1 for branch in range(BRANCHES)])
-            large = shared.filter(F.col("n") > SMALL).select("id", "sketch", "run", "bucket", F.posexplode(places).alias("branch", "place"))
-            level = large.select("id", "sketch", "run", F.xxhash64("bucket", "branch", F.substring("sketch", F.col("place"), F.lit(1))).alias("bucket"))
+            # the next token of the path: a byte of the sketch, at a place drawn by run and depth
+            place = F.pmod(F.col("run") * 31 + depth * 17, F.lit(COORDINATES)).cast("int") + 1
+            level = shared.filter(F.col("n") > SMALL).select("id", "sketch", "run", F.xxhash64("bucket", F.substring("sketch", place, F.lit(1))).alias("bucket"))
     return materialize(found.distinct(), "candidates")
 
 
@@ -171,20 +164,24 @@ def partner_finder(queries: list[bytes], texts: list[str]):
         n = len(texts)
         pair = np.unique(np.stack([h, np.repeat(np.arange(n), count).astype(np.uint64)]), axis=1) if len(h) else np.zeros((2, 0), np.uint64)
         token, owner = pair[0], pair[1].astype(np.int64)
+        known = np.unique(token)
         size = np.bincount(owner, minlength=n)
         for batch in batches:
+            all_ids, all_texts = batch.column(0).to_pylist(), batch.column(1)
             ids, found = [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                mine = np.unique(shingle_hashes([text.as_py()])[0])
-                a, b = np.searchsorted(token, mine), np.searchsorted(token, mine, side="right")
-                some = np.flatnonzero(b > a)
-                if not len(some):
-                    continue
-                both = np.bincount(np.concatenate([owner[a[k] : b[k]] for k in some]), minlength=n)
-                near = [q for q in np.flatnonzero((both > 0) & (both >= SIMILARITY * (size + len(mine) - both) - 1e-9)) if queries[q] != i]
-                if near:
-                    ids.append(i)
-                    found.append(near)
+            for at in range(0, len(all_ids), 128):
+                mine, number = shingle_hashes(all_texts.slice(at, 128).to_pylist())
+                place = np.searchsorted(known, mine)
+                shared = known[np.minimum(place, len(known) - 1)] == mine if len(known) else np.zeros(len(mine), bool)
+                ends = np.cumsum(number)
+                for i in np.flatnonzero(np.add.reduceat(np.r_[shared, False], np.minimum(ends - number, len(mine))) * (number > 0)):
+                    own = np.unique(mine[ends[i] - number[i] : ends[i]])
+                    a, b = np.searchsorted(token, own), np.searchsorted(token, own, side="right")
+                    both = np.bincount(np.concatenate([owner[a[k] : b[k]] for k in np.flatnonzero(b > a)]), minlength=n)
+                    near = [q for q in np.flatnonzero((both > 0) & (both >= SIMILARITY * (size + len(own) - both) - 1e-9)) if queries[q] != all_ids[at + i]]
+                    if near:
+                        ids.append(all_ids[at + i])
+                        found.append(near)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(found, pa.list_(pa.int32()))], ["id", "queries"])
 
     return run
@@ -194,8 +191,9 @@ def audit(rows: DataFrame, nodes: DataFrame, groups: DataFrame, turn: int) -> fl
     """Share of its links, against all texts, that the group of a drawn text holds: the mean
     over those of DRAWN texts that have links.  Texts of over a million characters are held
     against the drawn ones but not drawn.  Only ids are shuffled."""
-    ids = [bytes(r[0]) for r in nodes.filter("some").select("id").orderBy(F.xxhash64("id", F.lit(turn)), "id").limit(DRAWN).collect()]
-    drawn = {bytes(r[0]): r[1] for r in rows.filter(F.col("id").isin(*ids) & (F.length("text") < 1_000_000)).select("id", "text").dropDuplicates(["id"]).collect()} if ids else {}
+    picked = nodes.filter("some and copy_id is not null").select("id", "copy_id").orderBy(F.xxhash64("id", F.lit(turn)), "id").limit(DRAWN).collect()
+    of = F.col("doc_id").isin(*[r["copy_id"] for r in picked]) & F.col("id").isin(*[bytes(r["id"]) for r in picked]) & (F.length("text") < 1_000_000)
+    drawn = {bytes(r[0]): r[1] for r in rows.filter(of).select("id", "text").dropDuplicates(["id"]).collect()} if picked else {}
     if not drawn:
         return 1.0
     order = sorted(drawn)
@@ -215,7 +213,7 @@ def join(docs: DataFrame) -> DataFrame:
     recall (of the candidate search, as audited); and id, the digest of the text."""
     digest = F.unhex(F.md5(text_or_empty())).alias("id")
     rows = docs.select("doc_id", digest, text_or_empty().alias("text"))
-    n_runs, turn, found, recall = runs_needed(recall=RECALL / sketch_recall() if RECALL < sketch_recall() else RECALL), 0, None, 0.0
+    n_runs, turn, found, recall = runs_needed(), 0, None, 0.0
     while recall < AUDITED:
         sketched = materialize(rows.mapInArrow(sketcher(n_runs << turn, turn), "doc_id long, id binary, some boolean, paths array<long>, sketch binary"), "sketches")
         nodes = materialize(

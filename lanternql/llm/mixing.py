@@ -2,13 +2,14 @@
 
 Sizes are words.  Target shares become integer numbers of equal-token blocks, first
 for sources and then for shards of a source, always by the highest quotients
-w/1, w/3, w/5...  Within a shard, blocks are taken along a seeded order of its
-documents, round after round when the quota exceeds the shard.
+w/1, w/3, w/5...  The words of a shard, along a seeded order of its documents, are cut into
+blocks; the quota takes the blocks of least seeded hash, all of them round after round where it
+exceeds the shard.  A document is taken as far as its words lie in blocks taken.
 
 Nulls: a null text has size 0 and is never taken; null sources form one source, last
 in order.  Ties and repeated rows: the seeded order falls back on doc_id and the text's
-hash; equal rows may swap their parts, so the result is the same set of rows.
-Empty table: empty result.  Extra columns are ignored.
+hash; equal rows may swap their parts, so the result is the same set of rows.  Very long texts:
+one row of many blocks.  Empty table: empty result.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -120,36 +121,41 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, most_repeats: in
     for i, shards in by_source.items():
         shards.sort()
         for (shard, size), n in zip(shards, sainte_lague([s for _, s in shards], int(seats[i])), strict=True):
-            quotas.append((sources[i]["source"], shard, size, int(min(n * block, most_repeats * size))))
-    quota_type = "source string, shard long, shard_size long, quota long"
-    quota = spark.createDataFrame(quotas, quota_type)
+            quotas.append((sources[i]["source"], shard, min(int(n), most_repeats * -(-size // block)), -(-size // block)))
+    quota = spark.createDataFrame(quotas, "source string, shard long, quota long, blocks long")
+    # of the blocks beside whole rounds, those of least hash: up to the hash of the last one
+    of_block = lambda j: F.xxhash64(F.lit(seed), "source", "shard", j)
+    rest = F.expr("CASE WHEN blocks > 0 THEN quota % blocks ELSE 0 END")
+    last = F.when(rest > 0, F.element_at(F.array_sort(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), of_block)), rest.cast("int")))
+    quota = quota.select("source", "shard", F.expr("CASE WHEN blocks > 0 THEN quota div blocks ELSE 0 END").alias("rounds"), last.alias("last"))
     along = W.Window.partitionBy("d.source", "d.shard").orderBy("draw", "doc_id", "size").rowsBetween(W.Window.unboundedPreceding, 0)
-    before = F.sum("size").over(along) - F.col("size")
-    rounds = F.when(F.col("shard_size") > 0, F.expr("quota div shard_size")).otherwise(0)
-    rest = F.col("quota") - rounds * F.col("shard_size")
-    return (
+    placed = (
         dealt.alias("d")
-        .withColumn("before", before)
+        .withColumn("begin", F.sum("size").over(along) - F.col("size"))
         .join(quota.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source")) & (F.col("d.shard") == F.col("q.shard")))
-        .select("doc_id", "size", "source_size", "target", (rounds * F.col("size") + F.greatest(F.lit(0), F.least("size", rest - F.col("before")))).cast("long").alias("taken"), "draw")
+        .select("doc_id", "d.source", "d.shard", "size", "source_size", "target", "draw", "begin", "rounds", "last")
     )
+    inside = lambda j: F.least(F.col("begin") + F.col("size"), (j + 1) * block) - F.greatest("begin", j * block)
+    own_blocks = F.sequence(F.expr(f"begin div {block}"), F.expr(f"(begin + size - 1) div {block}"))
+    part = F.aggregate(F.filter(own_blocks, lambda j: of_block(j) <= F.col("last")), F.lit(0).cast("long"), lambda a, j: a + inside(j))
+    taken = F.col("rounds") * F.col("size") + F.when(F.col("last").isNotNull() & (F.col("size") > 0), part).otherwise(0)
+    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "draw")
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed rows: a document appears once for each whole time it is taken; a part
-    taken is its first words, joined by blanks.  Equal rows share what they take evenly.
-    Columns as in ``docs``; n_chars follows the text."""
+    taken is its first words, joined by blanks.  Equal rows share what they take evenly, the
+    first of them one word more where it does not divide.  Columns as in ``docs``; n_chars
+    follows the text."""
     seed = options.get("seed", 17)
-    taken = (
-        mix(docs, **options)
-        .groupBy("doc_id", "draw")
-        .agg(F.first("size").alias("size"), F.expr("sum(taken) div count(1)").alias("taken"))
-        .filter("taken > 0")
-    )
-    keyed = carried(docs, "doc_id", "text", F.xxhash64(F.lit(seed), "doc_id", text_or_empty()).alias("_draw")).alias("d")
+    taken = mix(docs, **options).groupBy("doc_id", "draw").agg(F.first("size").alias("size"), F.sum("taken").alias("all"), F.count(F.lit(1)).alias("rows")).filter(F.col("all") > 0)
+    keyed = carried(docs, "doc_id", "text", F.xxhash64(F.lit(seed), "doc_id", text_or_empty()).alias("_draw"))
+    keyed = keyed.withColumn("_nth", F.row_number().over(W.Window.partitionBy("doc_id", "_draw").orderBy("doc_id"))).alias("d")
+    share = F.expr("CAST(`all` div rows AS BIGINT)") + (F.col("_nth") <= F.expr("`all` % rows")).cast("long")
+    joined = keyed.join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("_draw") == F.col("t.draw"))).select("d._row", "d.text", "size", share.alias("taken"))
     whole = F.array_repeat(F.col("size"), F.expr("taken div size").cast("int"))
     part = F.when(F.expr("taken % size > 0"), F.array(F.expr("taken % size"))).otherwise(F.array().cast("array<bigint>"))
-    rows = keyed.join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("_draw") == F.col("t.draw"))).select("d._row", "d.text", "size", F.explode(F.concat(whole, part)).alias("words"))
+    rows = joined.select("_row", "text", "size", F.explode(F.concat(whole, part)).alias("words"))
     words = F.split(F.regexp_replace("text", f"^{SPACE}", ""), SPACE)
     text = F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("words").cast("int")), " "))
     row = F.col("_row").withField("text", F.col("mixed"))

@@ -12,6 +12,7 @@ fills whole windows with its first tokens.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -75,9 +76,8 @@ class Windows:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, TYPES, strict=True)], NAMES)
 
 
-def packer(vocabulary: str, window: int, most_open: int, most_gap: int, special: str | None, special_id: int):
+def packer(vocabulary: str, window: int, most_open: int, most_gap: int):
     end = np.array([END_ID], dtype="<u4").tobytes()
-    special_bytes = np.array([special_id], dtype="<u4").tobytes()
 
     def pack(batches):
         from pyspark import TaskContext
@@ -85,11 +85,20 @@ def packer(vocabulary: str, window: int, most_open: int, most_gap: int, special:
         cache = worker_memory(f"ids {vocabulary}", lambda: IdCache(vocabulary))
         split, ids_of = splitter(), cache.__getitem__
         encode = lambda text: b"".join(map(ids_of, split(text)))
+        special = {t: np.array([i], dtype="<u4").tobytes() for t, i in cache.special.items()}
+        around = re.compile("(" + "|".join(re.escape(t) for t in sorted(special, key=len, reverse=True)) + ")") if special else None
+
+        def ids_in(text: str) -> bytes:
+            """Special strings in a text are their ids, as the library has it."""
+            if around is None or not any(t in text for t in special):
+                return encode(text)
+            return b"".join(special.get(part) or encode(part) for part in around.split(text) if part)
+
         open_ = Windows(TaskContext.get().partitionId(), window, most_open)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = text or ""
-                ids = (special_bytes.join(map(encode, text.split(special))) if special and special in text else encode(text)) + end
+                ids = ids_in(text) + end
                 total, start = len(ids) // 4, 0
 
                 def piece(a, b):
@@ -144,12 +153,12 @@ def merger(window: int, most_open: int, task_base: int, last: bool):
     return merge
 
 
-def pack(docs: DataFrame, vocabulary: str, *, window: int = WINDOW, open_windows: int = OPEN_WINDOWS, most_gap: int = MOST_GAP, fan_in: int = FAN_IN, special: str | None = "<|endoftext|>", special_id: int = 50256) -> DataFrame:
-    """One row per piece; ``vocabulary``: a tiktoken file of byte-level BPE ranks that
-    every executor has at this path; ``special``: the added token and its id."""
+def pack(docs: DataFrame, vocabulary: str, *, window: int = WINDOW, open_windows: int = OPEN_WINDOWS, most_gap: int = MOST_GAP, fan_in: int = FAN_IN) -> DataFrame:
+    """One row per piece; ``vocabulary``: a tokenizers .json file of byte-level BPE that every
+    executor has at this path."""
     first = docs.select("doc_id", "text")
     tasks = first.rdd.getNumPartitions()
-    pieces = materialize(first.mapInArrow(packer(vocabulary, window, open_windows, most_gap, special, special_id), PIECE), "pieces")
+    pieces = materialize(first.mapInArrow(packer(vocabulary, window, open_windows, most_gap), PIECE), "pieces")
     done, left, base, used = pieces.filter("not open"), pieces.filter("open"), 1 << 24, [pieces]
     while tasks > 1:
         tasks = -(-tasks // fan_in)

@@ -47,12 +47,43 @@ def test_mix(docs, texts):
     assert sorted(map(key, rows)) == sorted(map(key, again))
 
 
+def test_mix_takes_the_blocks_of_least_hash(spark):
+    """What is taken, block by block, by a plain loop over the documents of every shard."""
+    rows = [(i, "w " * (1 + i * 37 % 200), "ab"[i % 2]) for i in range(120)] + [(500 + i, "same " * 30, "a") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    seed, block, per_shard = 17, 16, 1500
+    got = mixing.mix(df, block_words=block, shard_words=per_shard).collect()
+    keyed = df.select("doc_id", "source", F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw")).withColumn("h", F.xxhash64("draw")).collect()
+    size = {i: len(t.split()) for i, t, _ in rows}
+    sources = sorted({r["source"] for r in keyed})
+    sums = [sum(size[r["doc_id"]] for r in keyed if r["source"] == s) for s in sources]
+    targets = mixing.capped_targets(sums, mixing.WEIGHTS[: len(sources)])
+    seats = highest_quotients(targets.tolist(), round(sum(sums) / block))
+    want = []
+    for s, total, target, n in zip(sources, sums, targets, seats, strict=True):
+        n_shards = max(1, -(-total // per_shard))
+        shards = [[r for r in keyed if r["source"] == s and r["h"] % n_shards == k] for k in range(n_shards)]
+        shards = [(k, x) for k, x in enumerate(shards) if x]
+        sizes = [sum(size[r["doc_id"]] for r in x) for _, x in shards]
+        for (k, x), words, quota in zip(shards, sizes, highest_quotients(sizes, n), strict=True):
+            blocks = -(-words // block)
+            quota = min(quota, 3 * blocks)
+            hashes = [r[0] for r in spark.range(blocks).orderBy("id").select(F.xxhash64(F.lit(seed), F.lit(s), F.lit(k).cast("long"), "id")).collect()]
+            chosen = set(sorted(range(blocks), key=hashes.__getitem__)[: quota % blocks])
+            at = 0
+            for r in sorted(x, key=lambda r: (r["draw"], r["doc_id"])):
+                n_words = size[r["doc_id"]]
+                want.append((r["doc_id"], n_words, total, round(float(target), 6), quota // blocks * n_words + sum(j // block in chosen for j in range(at, at + n_words))))
+                at += n_words
+    assert sorted((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6), r["taken"]) for r in got) == sorted(want)
+
+
 def test_apply_mix(docs):
     mixed = mixing.apply_mix(docs)
     assert mixed.columns == docs.columns
     words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
     taken, kept = mixing.mix(docs).agg(F.sum("taken")).head()[0], mixed.agg(F.sum(words)).head()[0]
-    assert taken - 20 <= kept <= taken
+    assert kept == taken
     assert mixed.filter("n_chars <> length(text)").count() == 0
 
 
@@ -65,7 +96,7 @@ def test_packing(docs, texts, spark):
     for i, x in rows:
         ids[i].append(t.encode(x or "", add_special_tokens=False).ids + [1])
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = packing.pack(df, vocabulary("byte_bpe_50k.tiktoken"), open_windows=4, fan_in=2).collect()
+    got = packing.pack(df, vocabulary("byte_bpe_50k.json"), open_windows=4, fan_in=2).collect()
     assert sum(r["length"] for r in got) == sum(len(x) for v in ids.values() for x in v)
     sequences = collections.defaultdict(list)
     for r in got:
@@ -406,7 +437,7 @@ def test_near_second_person_at_every_length():
 def test_no_rows(spark, no_docs):
     assert mixing.mix(no_docs).count() == 0
     assert mixing.apply_mix(no_docs).count() == 0
-    assert packing.pack(no_docs, vocabulary("byte_bpe_50k.tiktoken")).count() == 0
+    assert packing.pack(no_docs, vocabulary("byte_bpe_50k.json")).count() == 0
     assert jaccard_join.join(no_docs).count() == 0
     assert jaccard_join.drop_copies(no_docs).count() == 0
     assert lm_scoring.score(no_docs).count() == 0

@@ -220,6 +220,11 @@ def test_merges_of_equal_symbols():
     t = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
     tokens = ["a" * n for n in range(1, 40)] + ["=" * n for n in range(1, 70)]
     assert merges.count(tokens).tolist() == [len(t.encode(x).ids) for x in tokens]
+    import random
+
+    r = random.Random(3)
+    long = ["".join(r.choice("aeioubcdlmnrst") for _ in range(n)) for n in (1025, 3000, 5)] + ["a" * 5000, "ab" * 3000, "é" * 2000]
+    assert merges.count(long).tolist() == [len(t.encode(x).ids) for x in long]
 
 
 @pytest.mark.parametrize("run", [quality.quality, secret_scan.digest, secret_scan.masked, quality.keep_good, pii.digest, lambda d: token_counts.token_counts(d, vocabulary("byte_bpe_50k.json"))])
