@@ -34,7 +34,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in windows of 2048 tokens."""
-    return packing.pack(docs, vocabulary("byte_bpe_50k.tiktoken"))
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
 STAGES = [
