@@ -149,10 +149,12 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     follows the text."""
     seed = options.get("seed", 17)
     taken = mix(docs, **options).groupBy("doc_id", "draw").agg(F.first("size").alias("size"), F.sum("taken").alias("all"), F.count(F.lit(1)).alias("rows")).filter(F.col("all") > 0)
-    keyed = carried(docs, "doc_id", "text", F.xxhash64(F.lit(seed), "doc_id", text_or_empty()).alias("_draw"))
-    keyed = keyed.withColumn("_nth", F.row_number().over(W.Window.partitionBy("doc_id", "_draw").orderBy("doc_id"))).alias("d")
+    # keys without nulls, so that the window and the join deal the rows once
+    keys = lambda draw: (F.coalesce("doc_id", F.lit(0)).alias("_k"), F.col("doc_id").isNull().alias("_n"), draw.alias("_draw"))
+    keyed = carried(docs, "doc_id", "text").select("_row", "text", *keys(F.xxhash64(F.lit(seed), "doc_id", text_or_empty())))
+    keyed = keyed.withColumn("_nth", F.row_number().over(W.Window.partitionBy("_k", "_n", "_draw").orderBy("_k")))
     share = F.expr("CAST(`all` div rows AS BIGINT)") + (F.col("_nth") <= F.expr("`all` % rows")).cast("long")
-    joined = keyed.join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("_draw") == F.col("t.draw"))).select("d._row", "d.text", "size", share.alias("taken"))
+    joined = keyed.join(taken.select(*keys(F.col("draw")), "size", "all", "rows"), ["_k", "_n", "_draw"]).select("_row", "text", "size", share.alias("taken"))
     whole = F.array_repeat(F.col("size"), F.expr("taken div size").cast("int"))
     part = F.when(F.expr("taken % size > 0"), F.array(F.expr("taken % size"))).otherwise(F.array().cast("array<bigint>"))
     rows = joined.select("_row", "text", "size", F.explode(F.concat(whole, part)).alias("words"))
