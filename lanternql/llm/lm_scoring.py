@@ -535,13 +535,20 @@ class Table:
         if width >= 1 << 21:  # such numbers do not fit: the place of the history stands for it
             self.tri = np.searchsorted(self.history, both) * width + w
         self.wide = width >= 1 << 21
-        self.c12 = self.a3 = np.zeros(0)
+        self.c12 = self.a3 = self.own = np.zeros(0)
         if len(self.history):
             self.c12 = np.add.reduceat(c3, start)
             free = np.add.reduceat(c3 - discounted(c3, d3), start) + HELD
+            number = np.diff(np.r_[start, len(c3)])
+            self.own = np.log10(discounted(c3, d3)) - np.repeat(np.log10(self.c12 + HELD), number)
             least = self.a2[self.history // width] * uni.unknown
             self.a3 = free / (self.c12 + HELD) / np.maximum(1 - np.add.reduceat(p2[of], start), least)
 
+    def scored_alone(self, row: dict, at_once: int = 200_000) -> np.ndarray:
+        """log10 P of the table's own trigrams by a lower model, some at a time."""
+        names, totals, v, u, w = opened(row)
+        return np.concatenate([self.log_probability(names, totals, v[a : a + at_once], u[a : a + at_once], w[a : a + at_once])[0] for a in range(0, max(1, len(v)), at_once)])
+
     def log_probability(self, names, totals, v, u, w):
         """log10 P of each trigram; and of those whose bigram other parts must tell: their places,
         log10 P1 of the last word, and the count of the middle one."""
@@ -597,7 +604,7 @@ def evaluator(uni: Unigrams, d2, d3, hot: int, order: int, n_groups: int):
                     continue
                 if r["kind"] == "table":
                     table = Table(r, fixes, uni, d2, d3, hot, order)
-                    own_scores, _ = table.log_probability(*opened(r))
+                    own_scores = table.own if order > 2 else table.scored_alone(r)
                     continue
                 if table is None:  # no training text has come here
                     table = Table({k: packed(np.zeros(0, np.int64)) for k in ("names", "totals", "v", "u", "w", "c3", "c2")}, [], uni, d2, d3, hot, order)
