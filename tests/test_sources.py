@@ -152,3 +152,116 @@ def test_stream_windows(spark, tmp_path):
     query.stop()
     assert sorted((str(r[0]), r[1], r[2]) for r in spark.table("seen").collect()) == [("2024-01-01 00:00:00", "x", 2), ("2024-01-01 00:01:00", "y", 1)]
     assert windows.sliding(events, "ts", "2 minutes", "1 minute", ["k"]).count() == 4
+
+
+def test_names_of_all_rows(engine, tmp_path):
+    """Fields, labels and columns first seen after the rows that types are guessed from."""
+    many = "\n".join('{"id":%d}' % i for i in range(40))
+    path = put(tmp_path, "late.json", many + '\n{"id":99,"late":"x","deep":{"a":1}}\n')
+    assert rows(engine.query(f"select id, late, deep from '{path}' where late is not null")) == [(99, "x", '{"a":1}')]
+    path = put(tmp_path, "late.ltsv", "a:1\n" * 40 + "z:5\n")
+    assert rows(engine.query(f"select z from '{path}' where z is not null")) == [("5",)]
+    path = put(tmp_path, "wide.csv", "a,b\n" + "1,2\n" * 40 + '3,"x,y",5\n')
+    assert rows(engine.query(f"select a, b, column2 from '{path}' where column2 is not null")) == [(3, None, "5")]  # what is no number is null
+    path = put(tmp_path, "path.json", '{"x":[' + ",".join('{"k":%d}' % i for i in range(30)) + ',{"late":1}]}')
+    assert rows(engine.query(f"select late from '{path}??$.x[*]' where late is not null")) == [(1,)]
+
+
+def test_records_over_lines(engine, tmp_path):
+    path = put(tmp_path, "lines.csv", 'id,v\r\n1,"two\r\nlines"\r\n2,"a ""b"", c"\r\n')
+    assert rows(engine.query(f"select id, v from '{path}' order by id")) == [(1, "two\nlines"), (2, 'a "b", c')]  # Spark reads any line end as \\n
+    path = put(tmp_path, "many.json", '{"a":1}{"a":2}\n{"a":\n3, "b":[1]} [{"a":4}, 5]')
+    assert sorted(rows(engine.query(f"select a, b, value from '{path}'")), key=repr) == sorted([(1, None, None), (2, None, None), (3, "[1]", None), (4, None, None), (None, None, 5)], key=repr)
+
+
+def test_files_go_together_by_name(engine, tmp_path):
+    put(tmp_path, "h1.csv", "id,v\n1,a\n")
+    put(tmp_path, "h2.csv", "V,Id\nb,2\n")
+    assert rows(engine.query(f"select id, v, filename from '{tmp_path}/h?.csv' order by id")) == [(1, "a", "h1.csv"), (2, "b", "h2.csv")]
+    put(tmp_path, "h3.csv", "id,w\n3,c\n")
+    with pytest.raises(QueryError, match="different columns"):
+        engine.query(f"select * from '{tmp_path}/h?.csv'")
+
+
+def test_headers():
+    fits = sniff.has_header
+    assert fits([["name", "city"], ["Bob", "Rome"], ["Ann", "Oslo"]]) and fits([["id", "on"], ["1", "yes"]]) and fits([["a", "b"], ["", "2"]])
+    assert not fits([["name", "name"], ["x", "y"]]) and not fits([["true", "x"], ["false", "y"]]) and not fits([["a", ""], ["1", "2"]])
+    assert not fits([["AB-12", "x"], ["CD-34", "x"], ["EF-56", "x"]]) and not fits([["2024-01-02"], ["2024-01-03"]]) and not fits([["a"]])
+
+
+def test_text_table_has_all_rows(engine):
+    out = io.StringIO()
+    engine.out = out
+    engine.run("select value as n into stdout() from generate_series(1, 1500)")
+    assert len(out.getvalue().splitlines()) == 1502
+
+
+def test_raw_bytes_survive(engine, tmp_path):
+    blob = bytes(range(256)) * 3
+    (tmp_path / "b.bin").write_bytes(blob)
+    engine.run(f"select value into '{tmp_path}/copy.bin' from '{tmp_path}/b.bin'")
+    assert (tmp_path / "copy.bin").read_bytes() == blob
+    from lanternql.sources.formats import Format
+
+    assert bytes(engine.read_blob(blob, Format("raw_fmt")).head()["value"]) == blob
+
+
+def test_grok_names():
+    assert len(grok.PATTERNS) == 73
+    regex, fields = grok.expand("%{free} %{TTY:tty} %{IPV6:ip}")
+    assert [f[0] for f in fields] == ["free", "tty", "ip"]
+    import re
+
+    assert re.compile(regex.replace(r"\p{Alnum}", "A-Za-z0-9")).groups == 3
+    assert "_lantern" not in grok.expand("%{SYSLOGBASE}")[0] and [f[0] for f in grok.expand("%{SYSLOGBASE:line}")[1]] == ["line"]
+
+
+def test_lateral_errors(engine, tmp_path):
+    put(tmp_path, "a.csv", "id\n1\n")
+    put(tmp_path, "b.csv", "other\n1\n")
+    with pytest.raises(QueryError, match="different columns"):
+        engine.query(f"select f.id from (values ('{tmp_path}/a.csv'), ('{tmp_path}/b.csv')) c, c.column1 as f")
+    with pytest.raises(QueryError, match="cannot"):
+        engine.query(f"select f.id from (values ('{tmp_path}/a.csv')) c right join read_file(c.column1) f on f.id = 1")
+    none = engine.query(f"select c.column2 as k, f.id from (values ('{tmp_path}/a.csv', 1), ('{tmp_path}/a.csv', 2)) c left join read_file(c.column1) f on f.id = c.column2")
+    assert sorted(rows(none), key=repr) == [(1, 1), (2, None)]
+
+
+def test_keyed_source_needs_its_keys(engine):
+    asked = []
+    engine.register_keyed("rates", "day long, land string, rate double", {"day": True, "land": False}, lambda k: asked.append(k) or [(k["day"], k.get("land") or "any", 1.5)])
+    with pytest.raises(QueryError, match="must give day"):
+        engine.query("select * from rates where land = 'x'")
+    assert rows(engine.query("select land, rate from rates() r where r.day = 3 and land = 'de'")) == [("de", 1.5)]
+    assert rows(engine.query("select day from rates where day in (1, 2) order by day")) == [(1,), (2,)]
+
+
+def test_tail_then_follow(spark, tmp_path):
+    path = put(tmp_path, "log.txt", "".join(f"line {i}\n" for i in range(50_000)))
+    reader = follow.GrowingFileReader(path, 3)
+    assert reader.lines(reader.initialOffset()["byte"], None)[0] == [("line 49997",), ("line 49998",), ("line 49999",)]
+    assert follow.GrowingFileReader(path, 0).initialOffset()["byte"] == len("".join(f"line {i}\n" for i in range(50_000)))
+    assert follow.GrowingFileReader(path, 10**6).initialOffset() == follow.GrowingFileReader(path, None).initialOffset() == {"byte": 0}
+
+
+def test_observed_errors(engine):
+    df, facts = engine.observed("select value as n, value > 7 as error from generate_series(1, 10)")
+    assert facts == {"rows": 10, "errors": 3} and df.count() == 10
+    with pytest.raises(QueryError, match="3 errors"):
+        engine.observed("select value > 7 as error from generate_series(1, 10)", most_errors=2)
+
+
+def test_plugins(engine, monkeypatch):
+    import importlib.metadata
+
+    class Point:
+        name = "greeter"
+
+        def load(self):
+            return lambda e: e.add_function("greet(x: string): string", lambda x: f"hi {x}")
+
+    monkeypatch.setattr(importlib.metadata, "entry_points", lambda group: [Point()])
+    engine.load_plugins()
+    assert rows(engine.query("select greet('you') as g")) == [("hi you",)]
+    assert rows(engine.query("select name from _plugins()")) == [("greeter",)]
