@@ -41,7 +41,8 @@ PLAIN = str.maketrans("0134578@$", "oieastbas")
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, part: Column, most_rows: int) -> DataFrame:
-    """doc_id, text, toxic of a bounded sample; the labels taken are at most ``most_rows``."""
+    """doc_id, text, toxic of a bounded sample: at most ``most_rows`` labels, and of documents
+    that repeat an id the text of least hash."""
     picked = (
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~in_hash_bucket("doc_id", 3, 1) & part)
         .groupBy("doc_id")
@@ -49,7 +50,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, part: Column, most_rows: i
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most_rows)
     )
-    return docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(picked), "doc_id")
+    labelled = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(picked), "doc_id")
+    return labelled.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic"))
 
 
 def learn_lexicon(rows: DataFrame) -> dict[int, frozenset[str]]:
