@@ -422,8 +422,8 @@ def test_toxicity(spark):
 
 def test_toxicity_sample_is_bounded(spark):
     """One row of an id, however often documents repeat it."""
-    docs_ = spark.createDataFrame([(i % 5, f"text {i % 3}") for i in range(200)], "doc_id long, text string")
-    labels_ = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, toxic int")
+    docs_ = spark.createDataFrame([(i % 20, f"text {i % 3}") for i in range(400)], "doc_id long, text string")
+    labels_ = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
     rows = toxicity.training_rows(docs_, labels_, F.lit(True), 3).collect()
     assert len(rows) == len({r["doc_id"] for r in rows}) == 3
 
