@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lanternql.llm import lm_scoring, quality
+from lanternql.llm import embedding_dedup, jaccard_join, lm_scoring, quality
 from lanternql.llm.secret_scan import RULES
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -135,5 +135,49 @@ SELECT any_value(d.doc_id) AS doc_id, any_value(held) AS held_out, count(*) AS n
 FROM s JOIN d ON s.row = d.row, n GROUP BY s.row"""
 
 
+def reach(links: str) -> str:
+    """Common table expressions: all (a, b) that ``links`` connect."""
+    return f"reach(a, b) AS (SELECT a, b FROM {links} UNION SELECT reach.a, {links}.b FROM reach JOIN {links} ON reach.b = {links}.a)"
+
+
+def jaccard_sql() -> str:
+    """All pairs of texts that share a shingle, on the words themselves; nothing is missed, so recall is 1."""
+    k = jaccard_join.SHINGLE
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+nodes AS (SELECT row_number() OVER () AS node, * FROM (SELECT text, min(doc_id) AS copy_id, count(*) AS weight FROM d GROUP BY text)),
+w AS (SELECT node, regexp_extract_all(text, '{WORD}') AS words FROM nodes),
+p AS (SELECT node, words, unnest(generate_series(1, greatest(len(words) - {k - 1}, least(len(words), 1)))) AS i FROM w),
+s AS (SELECT DISTINCT node, array_to_string(words[i:i + {k - 1}], ' ') AS g FROM p),
+size AS (SELECT node, count(*) AS n FROM s GROUP BY node),
+pairs AS (SELECT x.node AS a, y.node AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.node <> y.node GROUP BY x.node, y.node),
+links AS (SELECT a, b FROM pairs JOIN size x ON a = x.node JOIN size y ON b = y.node WHERE shared >= {jaccard_join.SIMILARITY} * (x.n + y.n - shared) - 1e-9),
+{reach("links")},
+own AS (SELECT a AS node, min(copy_id) AS least FROM reach JOIN nodes ON b = node GROUP BY a),
+other AS (SELECT a AS node, sum(weight) AS n FROM links JOIN nodes ON b = node GROUP BY a)
+SELECT doc_id, coalesce(least, copy_id) AS class_id, (coalesce(n, 0) + weight - 1)::BIGINT AS n_links, copy_id,
+  coalesce(doc_id = coalesce(least, copy_id), coalesce(least, copy_id) IS NULL) AS kept, 1::DOUBLE AS recall
+FROM d JOIN nodes ON d.text = nodes.text LEFT JOIN own ON nodes.node = own.node LEFT JOIN other ON nodes.node = other.node"""
+
+
+def embeddings_sql() -> str:
+    """All pairs of one label."""
+    return rf"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS row, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+fine AS (
+  SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT x.row AS a, y.row AS b FROM fine x JOIN fine y ON x.label = y.label AND x.row <> y.row AND len(x.e) = len(y.e)
+  WHERE CASE WHEN len(x.e) = len(y.e) THEN list_cosine_similarity(x.e, y.e) >= {embedding_dedup.COSINE} ELSE false END),
+{reach("links")},
+own AS (SELECT a AS row, min(vec_id) AS least FROM reach JOIN v ON b = v.row GROUP BY a),
+other AS (SELECT a AS row, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(least, vec_id) AS component_id, coalesce(vec_id = coalesce(least, vec_id), true) AS kept
+FROM v LEFT JOIN own ON v.row = own.row LEFT JOIN other ON v.row = other.row"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op2_quality_divergence": quality_sql(), "op3_katz_scores": katz_sql(), "op4_secret_scan": secrets_sql()}
+    return {
+        "op1_jaccard_join": jaccard_sql(), "op2_quality_divergence": quality_sql(), "op3_katz_scores": katz_sql(), "op4_secret_scan": secrets_sql(), "op6_embedding_dedup": embeddings_sql(),
+    }
